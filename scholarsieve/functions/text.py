@@ -12,13 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Dash code points, Unicode whitespace and word characters.
-DASHES = "‐-―−﹘﹣－-"
+DASHES = r"\u2010-\u2015\u2212\ufe58\ufe63\uff0d\-"
 SPACES = r"\s\x0b\x1c-\x1f\x85 \p{Z}"
 WORD = r"\p{L}\p{N}_"
 
 # For these characters NFKC + casefold equals lower() plus ß -> ss:
 # ASCII, Latin-1 letters, dashes U+2010..2015 and quotation marks U+2018..201F.
-_UNSAFE = "[^\\x00-\\x7fÀ-ÿ‒-―‘-‟]"
+_UNSAFE = r"[^\x00-\x7f\u00c0-\u00ff\u2010\u2012-\u2015\u2018-\u201f]"
 
 
 @F.pandas_udf("string")
