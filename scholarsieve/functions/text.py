@@ -9,7 +9,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Dash code points, Unicode whitespace and word characters.
 DASHES = r"\u2010-\u2015\u2212\ufe58\ufe63\uff0d\-"
@@ -21,7 +21,7 @@ WORD = r"\p{L}\p{N}_"
 _UNSAFE = r"[^\x00-\x7f\u00c0-\u00ff\u2010\u2012-\u2015\u2018-\u201f]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_fold_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 

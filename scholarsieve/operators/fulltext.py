@@ -2,16 +2,18 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scholarsieve.functions import markup
 from scholarsieve.functions.text import SPACES, collapse
 from scholarsieve.operators import ranking
 
-_SECTION = "struct<locator:string, text:string, kind:string>"
-_FIGURE = "struct<label:string, locator:string, caption:string, required:boolean>"
-_READ = f"sections array<{_SECTION}>, figures array<{_FIGURE}>, error string"
-_CHUNK = "array<struct<chunk:int, locator:string, text:string>>"
+_TEXT = T.StringType()
+_SECTIONS = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("locator", "text", "kind")]))
+_FIGURES = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("label", "locator", "caption")]
+                                    + [T.StructField("required", T.BooleanType())]))
+_READ = T.StructType([T.StructField("sections", _SECTIONS), T.StructField("figures", _FIGURES), T.StructField("error", _TEXT)])
+_CHUNKS = T.ArrayType(T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("locator", _TEXT), T.StructField("text", _TEXT)]))
 
 # Heading patterns of the quality gate.
 METHOD = r"(?i)\b(methods?|methodology|approach|framework|algorithm|model|objective|optimization|theor(?:y|em)s?|proof)\b"
@@ -191,7 +193,7 @@ def chunk_cap(chunk_chars: int, input_chars: int) -> int:
 
 def chunks(bodies: DataFrame, cap: int, *keys: str) -> DataFrame:
     """Chunk pieces (chunk, seq, locator, text) of every body's sections."""
-    @F.pandas_udf(_CHUNK)
+    @F.pandas_udf(_CHUNKS)
     def pack(batch: pd.Series) -> pd.Series:
         return batch.map(lambda s: [] if s is None else markup.pack_chunks(s, cap))
 

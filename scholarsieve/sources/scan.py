@@ -1,8 +1,10 @@
 """Windowed metadata scans, shard planning and the cached raw snapshot."""
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,12 +21,6 @@ def window_scan(papers: DataFrame, start: datetime, end: datetime, categories=()
     return kept.where(F.arrays_overlap("categories", F.array(*map(F.lit, categories)))) if categories else kept
 
 
-def minute_histogram(papers: DataFrame) -> DataFrame:
-    """Rows per (minute, category set): all that shard planning needs."""
-    return papers.groupBy(clock.minute(F.col("published")).alias("minute"), F.array_sort(F.array_distinct("categories")).alias("cats")) \
-        .agg(F.count("*").alias("rows"))
-
-
 @dataclass
 class Shard:
     start: datetime
@@ -74,18 +70,24 @@ def plan_shards(count, start: datetime, end: datetime, categories: tuple, shard_
 
 
 def shard_audit(papers: DataFrame, start: datetime, end: datetime, categories: tuple, shard_limit: int) -> DataFrame:
-    """Shard plan for a stored table. A shard's row count is one small aggregate over
-    the cached minute histogram, so planning never gathers the histogram itself."""
+    """Shard plan for a stored table.
+
+    The driver gets one count per minute of the window, so its size depends on the
+    window's length only. Shards narrower than the category list, which exist only
+    for a single saturated minute, are counted by a job of their own.
+    """
     spark = papers.sparkSession
-    minutes = minute_histogram(window_scan(papers, start, end)).cache()
+    rows_in = window_scan(papers, start, end, categories)
+    per_minute = sorted(rows_in.groupBy(clock.minute(F.col("published")).alias("m")).count().collect())
+    minutes = [r[0] for r in per_minute]
+    sums = list(accumulate((r[1] for r in per_minute), initial=0))
 
     def count(lo, hi, cats):
-        part = minutes.where((F.col("minute") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("minute") <= F.lit(hi).cast("timestamp_ntz")))
-        part = part.where(F.arrays_overlap("cats", F.array(*map(F.lit, cats)))) if cats else part
-        return part.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        if cats == tuple(categories):
+            return sums[bisect_right(minutes, hi)] - sums[bisect_left(minutes, lo)]
+        return window_scan(papers, max(lo, start), min(hi + timedelta(minutes=1, microseconds=-1), end), cats).count()
 
-    audit, _ = plan_shards(count, start, end, categories, shard_limit)
-    minutes.unpersist()
+    audit, _ = plan_shards(count, start.replace(second=0, microsecond=0), end.replace(second=0, microsecond=0), tuple(categories), shard_limit)
     rows = [(s.start, s.end, list(s.categories), s.depth, s.status, s.seen) for s in audit]
     return spark.createDataFrame(rows, "start timestamp_ntz, end timestamp_ntz, categories array<string>, depth int, status string, seen long")
 
