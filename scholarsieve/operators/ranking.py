@@ -22,12 +22,6 @@ def kth(df: DataFrame, group: list[str], order: str, k: int, out: str = "_cutoff
     return ranked.where(F.col("_rank") == k).select(*group, F.col(order).alias(out))
 
 
-def top_k(df: DataFrame, group: list[str], order: str, k: int) -> DataFrame:
-    """The first k rows of every group."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-    return ranked.where(F.col("_rank") <= k).drop("_rank")
-
-
 def mark_quota(df: DataFrame, group: list[str], order: str, k: int, counts: Column | None = None,
                out: str = "within") -> DataFrame:
     """Flag rows up to and including the k-th row that counts; no row is moved or lost.
@@ -45,9 +39,11 @@ def mark_quota(df: DataFrame, group: list[str], order: str, k: int, counts: Colu
     return joined.withColumn(out, F.col("_cutoff").isNull() | (F.col(order) <= F.col("_cutoff"))).drop("_cutoff")
 
 
-def first_k(df: DataFrame, order: str, k: int) -> DataFrame:
-    """Global top k: every task keeps k rows, so k must be a configured bound."""
-    return df.orderBy(order).limit(k)
+def fill_slots(queue: DataFrame, taken: DataFrame, group: list[str], order: str, k: int) -> DataFrame:
+    """First rows of the queue for the slots that `taken` rows have left free in each group."""
+    ranked = queue.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(order))).where(F.col("rank") <= k)
+    used = taken.groupBy(*group).agg(F.count("*").alias("_used"))
+    return ranked.join(used, group, "left").where(F.col("rank") <= k - F.coalesce("_used", F.lit(0))).drop("_used")
 
 
 def running_totals(df: DataFrame, group: list[str], order: str, totals: dict[str, Column],

@@ -1,5 +1,7 @@
 """All registered queries."""
-from scholarsieve.plans import queries_screening  # noqa: F401
+from scholarsieve.plans import (  # noqa: F401
+    queries_collection, queries_feedback, queries_ranking, queries_screening, queries_state,
+)
 from scholarsieve.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
