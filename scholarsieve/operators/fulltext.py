@@ -165,7 +165,7 @@ def bind_figures(required: DataFrame, captions: DataFrame, max_pages: int) -> Da
     keyed = required.withColumn("key", label_key(F.col("label")))
     pages = (captions.withColumn("key", label_key(F.col("label"))).groupBy("version_id", "key")
              .agg(F.min("page").alias("page"), (F.min("page") == F.max("page")).alias("single")))
-    bound = keyed.join(pages, ["version_id", "key"], "left").withColumn("page", F.when("single", F.col("page")))
+    bound = keyed.join(pages, ["version_id", "key"], "left").withColumn("page", F.when(F.col("single"), F.col("page")))
     verdict = bound.groupBy("version_id").agg(F.count_if(F.col("page").isNull()).alias("_open"), F.count_distinct("page").alias("visual_pages"))
     error = (F.when(F.col("_open") > 0, "html_figure_page_unlocated_or_ambiguous")
              .when(F.col("visual_pages") > max_pages, "critical_visual_pages_exceed_limit"))

@@ -72,6 +72,10 @@ def _substantive() -> Column:
     return F.col("e.field").isin("method", "experiments", "conclusion") & ~abstract & (~first_page | accepted)
 
 
+def _quotes_for(name: str) -> Column:
+    return F.transform(F.filter("summary.evidence", lambda e: e["field"] == name), lambda e: e["quote"])
+
+
 def summary_errors(summaries: DataFrame, bodies: DataFrame, sources: DataFrame, require_evidence: bool = True) -> DataFrame:
     """First reason a summary is not publishable, or null, per version_id.
 
@@ -95,7 +99,7 @@ def summary_errors(summaries: DataFrame, bodies: DataFrame, sources: DataFrame,
     claims = []
     folded = base
     for name in SUMMARY_FIELDS:
-        quotes = F.transform(F.filter("summary.evidence", lambda e, name=name: e["field"] == name), lambda e: e["quote"])
+        quotes = _quotes_for(name)
         folded = folded.withColumns({f"_claim_{name}": once(text.quote_form(F.col(f"summary.{name}"))),
                                      f"_proof_{name}": once(text.quote_form(F.array_join(quotes, " ")))})
         value = F.col(f"summary.{name}")
