@@ -16,40 +16,81 @@ DASHES = r"\u2010-\u2015\u2212\ufe58\ufe63\uff0d\-"
 SPACES = r"\s\x0b\x1c-\x1f\x85 \p{Z}"
 WORD = r"\p{L}\p{N}_"
 
-# For these characters NFKC + casefold equals lower() plus ß -> ss:
-# ASCII, Latin-1 letters, dashes U+2010..2015 and quotation marks U+2018..201F.
+# For these characters NFKC + casefold equals lower() plus ß -> ss, and only the
+# dashes among them are separators: ASCII, Latin-1 letters, dashes U+2010..2015 and
+# quotation marks U+2018..201F.
 _UNSAFE = r"[^\x00-\x7f\u00c0-\u00ff\u2010\u2012-\u2015\u2018-\u201f]"
+_LATIN_DASHES = "-\u2010\u2012\u2013\u2014\u2015"
+
+
+def match_form_of(text: str) -> str:
+    """Form used for phrase rules: NFKC, casefold, dashes and spaces folded."""
+    folded = unicodedata.normalize("NFKC", text).casefold()
+    return re.sub(r"\s+", " ", re.sub(f"[{DASHES}]", " ", folded)).strip()
+
+
+def quote_form_of(text: str) -> str:
+    """Form used for quotes: like match_form but dashes stay."""
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text)).strip().casefold()
 
 
 @F.pandas_udf(T.StringType())
-def _nfkc_fold_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+def _match_form_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else match_form_of(t))
 
 
-def _fold(text: Column) -> Column:
-    rare = F.when(text.rlike(_UNSAFE), text)
-    return F.coalesce(_nfkc_fold_batch(rare), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+@F.pandas_udf(T.StringType())
+def _quote_form_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else quote_form_of(t))
 
 
-def collapse(text: Column) -> Column:
-    """Unicode whitespace runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, f"[{SPACES}]+", " "))
+def _let(value: Column, use) -> Column:
+    """Bind a computed value once for an expression that needs it several times."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _squeeze(text: Column, dashes: str = "") -> Column:
+    """Runs of ASCII whitespace (and given dashes) to one blank, ends trimmed.
+
+    Text mostly holds a few kinds of separators in short runs: literal replacements
+    handle those at memory speed, and the regular expression sees only the rest.
+    """
+    for mark in "\n\t\r" + dashes:
+        text = F.replace(text, F.lit(mark), F.lit(" "))
+    for _ in range(3):
+        text = F.replace(text, F.lit("  "), F.lit(" "))
+
+    def finish(t):
+        left = F.contains(t, F.lit("  "))
+        for mark in "\x0b\x0c\x1c\x1d\x1e\x1f":
+            left = left | F.contains(t, F.lit(mark))
+        return F.trim(F.when(left, F.regexp_replace(t, r"[ \t-\r\x1c-\x1f]+", " ")).otherwise(t))
+
+    return _let(text, finish)
+
+
+def _lower(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
 def match_form(text: Column) -> Column:
-    """Form used for phrase rules: NFKC, casefold, dashes and spaces folded."""
-    return F.trim(F.regexp_replace(_fold(text), f"[{DASHES}{SPACES}]+", " "))
+    rare = F.when(~_is_ascii(text) & text.rlike(_UNSAFE), text)
+    return F.coalesce(_match_form_batch(rare), _squeeze(_lower(text), _LATIN_DASHES))
 
 
 def quote_form(text: Column) -> Column:
-    """Form used for quotes: like match_form but dashes stay."""
-    return collapse(_fold(text))
+    rare = F.when(~_is_ascii(text) & text.rlike(_UNSAFE), text)
+    return F.coalesce(_quote_form_batch(rare), _squeeze(_lower(text)))
 
 
-def match_form_of(text: str) -> str:
-    """The same form for configured phrases on the driver."""
-    folded = unicodedata.normalize("NFKC", text).casefold()
-    return re.sub(r"\s+", " ", re.sub(f"[{DASHES}]", " ", folded)).strip()
+def collapse(text: Column) -> Column:
+    """Unicode whitespace runs to one space, ends trimmed."""
+    exotic = ~_is_ascii(text) & text.rlike(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    return F.when(exotic, F.trim(F.regexp_replace(text, f"[{SPACES}]+", " "))).otherwise(_squeeze(text))
 
 
 def _literal(text: str) -> str:
@@ -61,7 +102,9 @@ def phrase_pattern(phrases) -> str | None:
     needles = [n for n in (match_form_of(p) for p in dict.fromkeys(phrases)) if n]
     if not needles:
         return None
-    return f"(?<![{WORD}])(?:{'|'.join(_literal(n) for n in needles)})(?![{WORD}])"
+    # Testing the first letter before the look-behind skips most positions cheaply.
+    first = "".join(sorted({_literal(n[0]) for n in needles}))
+    return f"(?=[{first}])(?<![{WORD}])(?:{'|'.join(_literal(n) for n in needles)})(?![{WORD}])"
 
 
 def has_phrase(folded: Column, phrases) -> Column:

@@ -187,7 +187,7 @@ def upsert_state(spark, d):
 
 
 _WINDOW_STATES = """states AS (
-        SELECT user_id, CASE WHEN user_id % 5 > 0 THEN min(ts) END AS initial_floor, CASE WHEN user_id % 3 > 0 THEN arg_min(ts, value) END AS last_complete
+        SELECT user_id, CASE WHEN user_id % 5 > 0 THEN min(ts) END AS initial_floor, CASE WHEN user_id % 3 > 0 THEN arg_min(ts, (value, event_id)) END AS last_complete
         FROM events GROUP BY user_id),
     planned AS (SELECT *, coalesce(initial_floor, TIMESTAMP '2024-01-22' - INTERVAL 7 DAY) AS floor FROM states),
     windows AS (SELECT *, greatest(floor, TIMESTAMP '2024-01-22' - INTERVAL 14 DAY) AS start FROM planned)"""
@@ -201,7 +201,7 @@ _WINDOW_STATES = """states AS (
            strftime(CASE WHEN user_id % 2 = 0 AND user_id % 7 > 0 THEN TIMESTAMP '2024-01-22' ELSE last_complete END, '{s.SQL_STAMP}') AS cursor
     FROM windows""")
 def plan_window_gaps(spark, d):
-    states = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("lo"), F.min_by("ts", "value").alias("at")).select(
+    states = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("lo"), F.min_by("ts", F.struct("value", "event_id")).alias("at")).select(
         "user_id", F.when(F.col("user_id") % 5 > 0, F.col("lo")).alias("initial_floor"), F.when(F.col("user_id") % 3 > 0, F.col("at")).alias("last_complete"))
     planned = plan_windows(states, s.ntz("2024-01-22 00:00:00"))
     moved = next_cursor(planned, F.col("user_id") % 2 == 0, F.col("user_id") % 7 == 0)

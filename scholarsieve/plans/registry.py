@@ -5,6 +5,8 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholarsieve.session import spread
+
 QUERIES: dict = {}
 CHECKS: dict = {}
 
@@ -20,4 +22,5 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages", "conversations") else rows

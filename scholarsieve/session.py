@@ -30,3 +30,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scholarsieve-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame, small: int = 1 << 30) -> DataFrame:
+    """Share a small table that sits in fewer files than there are cores among all tasks.
+
+    Text work is CPU-bound, and a file with a single row group is read by one task.
+    Tables above `small` bytes, or with enough files, are returned as they are.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if size <= small and len(table.inputFiles()) < cores else table
