@@ -3,18 +3,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from scholarsieve.functions.text import let
+
 
 def receipt_status(receipt: Column) -> Column:
     """queued / confirmed / failed / unknown from a JSON status text or null."""
-    body = F.try_parse_json(receipt)
-    # A quoted JSON object is parsed once more; other strings are unknown.
-    inner = F.coalesce(F.try_parse_json(F.try_variant_get(body, "$", "string")), body)
-    object_ = F.schema_of_variant(inner).startswith("OBJECT")
-    code_kind = F.schema_of_variant(F.try_variant_get(inner, "$.errcode", "variant"))
-    code = F.try_variant_get(inner, "$.errcode", "bigint")
+    def by_code(code):
+        kind = F.coalesce(F.schema_of_variant(code), F.lit(""))
+        return F.when(kind != "BIGINT", "unknown").when(F.variant_get(code, "$", "bigint") == 0, "confirmed").otherwise("failed")
+
+    def by_body(body):
+        # Status text may be a JSON string that holds the object once more.
+        inner = F.try_parse_json(F.try_variant_get(body, "$", "string"))
+        code = F.coalesce(F.try_variant_get(body, "$.errcode", "variant"), F.try_variant_get(inner, "$.errcode", "variant"))
+        return F.when(code.isNull(), "unknown").otherwise(let(code, by_code))
+
     empty = receipt.isNull() | F.trim(receipt).isin("", "{}", '""', "null")
-    return (F.when(empty, "queued").when(body.isNull() | ~F.coalesce(object_, F.lit(False)), "unknown")
-            .when(F.coalesce(code_kind, F.lit("")) != "BIGINT", "unknown").when(code == 0, "confirmed").otherwise("failed"))
+    looks_json = F.contains(receipt, F.lit("errcode"))
+    return F.when(empty, "queued").when(~looks_json, "unknown").otherwise(let(F.try_parse_json(receipt), by_body))
 
 
 def settle(outcome: Column) -> Column:

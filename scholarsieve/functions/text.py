@@ -44,7 +44,7 @@ def _quote_form_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else quote_form_of(t))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """Bind a computed value once for an expression that needs it several times."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -70,7 +70,7 @@ def _squeeze(text: Column, dashes: str = "") -> Column:
             left = left | F.contains(t, F.lit(mark))
         return F.trim(F.when(left, F.regexp_replace(t, r"[ \t-\r\x1c-\x1f]+", " ")).otherwise(t))
 
-    return _let(text, finish)
+    return let(text, finish)
 
 
 def _lower(text: Column) -> Column:

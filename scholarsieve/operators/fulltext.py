@@ -90,14 +90,20 @@ def accept_body(records: DataFrame, bodies: DataFrame) -> DataFrame:
                              .when(~F.coalesce(fits, F.lit(False)), "fulltext_gate_or_version_failed"))
 
 
+def _filled(line: Column) -> Column:
+    return line.rlike(f"[^{SPACES}]")
+
+
 def pdf_heading(line: Column) -> Column:
+    """The collapsed line when it looks like a section heading, else null."""
     value = collapse(line)
-    heading = value.rlike(SHORT_HEADING) | value.rlike(NUMBERED_HEADING)
-    return F.when((value != "") & ~value.rlike("[.;,]$") & heading, value)
+    heading = ~value.rlike("[.;,]$") & (value.rlike(SHORT_HEADING) | value.rlike(NUMBERED_HEADING))
+    # Prose lines end in punctuation: they are dismissed before the regular expressions.
+    return F.when(~F.substring(F.rtrim(line), -1, 1).isin("", ".", ";", ","), F.when(heading, value))
 
 
 def _edge_lines(raw: Column) -> Column:
-    lines = F.filter(F.split(raw, LINE_BREAK), lambda x: collapse(x) != "")
+    lines = F.filter(F.split(raw, LINE_BREAK), _filled)
     n = F.size(lines)
     last = F.slice(lines, F.greatest(n - 1, F.lit(1)), F.lit(2))
     return F.array_distinct(F.transform(F.concat(F.slice(lines, 1, 2), last), collapse))

@@ -210,3 +210,21 @@ def notification(rendered: DataFrame, archive_url: Column, max_bytes: int, day:
     mode = (F.when(~F.col("_out"), F.when(tier == "full", "rendered_inline_full").when(tier == "light", "light_title_link").otherwise("rendered_inline_translation"))
             .when(tier == "light", "light_archive_only").when(tier == "full", "archive_link_only").otherwise("translation_archive_link_only"))
     return per_item.select(digest, "base_id", "tier", mode.alias("mode"), "short_label", "message_bytes", (F.col("message_bytes") <= max_bytes).alias("fits"))
+
+
+def notification_lines(rendered: DataFrame, fitted: DataFrame, archive_url: Column, digest: str = "digest_id") -> DataFrame:
+    """Middle lines of fitted messages, ordered by (recovery, tier_order, part, position)."""
+    rows = rendered.join(fitted.select(digest, "base_id", "mode", "short_label"), [digest, "base_id"])
+    place = [digest, _recovered().alias("recovery"), _tier_order().alias("tier_order")]
+    untitled = F.col("modules").isNotNull() & ~F.array_contains("modules", "title")
+    label = F.when(F.col("short_label") | untitled, F.concat(F.lit("arXiv "), "base_id")).otherwise(text.digest_title(F.col("title")))
+    link = F.concat(F.lit("- ["), label, F.lit("]("), archive_url, F.lit(")：所选内容见公开存档。"))
+    inline = F.col("mode").isin("rendered_inline_full", "light_title_link", "rendered_inline_translation")
+    left_out = F.col("mode") == "light_archive_only"
+    body = rows.where(~left_out).select(*place, F.lit(1).alias("part"), F.col("position").cast("long").alias("position"),
+                                        F.when(inline, F.col("block")).otherwise(link).alias("line"))
+    heads = rows.select(*place, F.lit(0).alias("part"), F.lit(0).cast("long").alias("position"), _heading().alias("line")).distinct()
+    omitted = rows.where(left_out).groupBy(*place).agg(F.count("*").alias("n")).select(
+        digest, "recovery", "tier_order", F.lit(2).alias("part"), F.lit(0).cast("long").alias("position"),
+        F.concat(F.lit("另有 "), F.col("n").cast("string"), F.lit(" 篇轻量档仅列于公开存档。")).alias("line"))
+    return heads.unionByName(body).unionByName(omitted)

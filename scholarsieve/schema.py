@@ -40,7 +40,20 @@ RULE_TRACE = (
     "clauses:array<struct<route:string, groups:array<string>, "
     "keywords:map<string,array<struct<keyword:string, fields:array<string>>>>>>>"
 )
-STATE_EVENT = "struct<digest_id:string, kind:string, tier:string, status:string, at:timestamp_ntz>"
+PAPER_STATE = (
+    "base_id string, paper struct<version_id:string, title:string, abstract:string, categories:array<string>, "
+    "published:timestamp_ntz, updated:timestamp_ntz, authors:array<string>, pdf_url:string>, "
+    "first_discovered timestamp_ntz, versions array<string>, latest_version string, rule_hits array<string>, "
+    f"rule_trace {RULE_TRACE}, stage string, decision {DECISION}, modules array<string>, intended_tier string, "
+    f"tier_reason string, summary {SUMMARY}, title_zh string, abstract_zh string, pending_digest string, "
+    "delivery_chain string, promotion_pending boolean, resend_pending boolean, manual_required boolean, "
+    "manual_retry_until timestamp_ntz, manual_delivery_limit int"
+)
+ATTEMPT_LOG = "base_id string, stage string, run_id string, at timestamp_ntz, failed boolean, error string"
+EVENT_LOG = ("base_id string, digest_id string, kind string, tier string, mode string, status string, "
+             "at timestamp_ntz, recovery_of string")
+DIGEST_LOG = "digest_id string, run_id string, chain_root string, day date, kind string, status string, at timestamp_ntz"
+SLOT_LOG = "day date, kind string, base_id string"
 
 SUMMARY_FIELDS = ("background", "contribution", "method", "experiments", "conclusion")
 ROUTES = (

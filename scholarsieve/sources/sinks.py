@@ -61,6 +61,16 @@ class Store:
         version = self._read_text(f"{self.root}/{table}/CURRENT")
         return None if version is None else self.spark.read.parquet(f"{self.root}/{table}/{version.strip()}")
 
+    def append(self, log: str, df: DataFrame) -> None:
+        """Add rows to a log; the file committer makes each append all or nothing."""
+        df.write.mode("append").parquet(f"{self.root}/{log}.log")
+
+    def log(self, log: str, schema: str) -> DataFrame:
+        path = f"{self.root}/{log}.log"
+        if not self._fs.exists(self._path(f"{path}/_SUCCESS")):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
     def lock(self) -> None:
         path = self._path(f"{self.root}/.run.lock")
         if not self._fs.createNewFile(path):
