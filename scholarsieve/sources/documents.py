@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Hosts a document may come from, private paths and credential shapes.
 HOSTS = ("arxiv.org", "export.arxiv.org", "www.arxiv.org")
-PRIVATE_PARTS = (".env", ".git", "__pycache__", ".venv", "log", "work")
-CREDENTIAL = r"(?i)(sk-[a-z0-9]{20,}|SCT[0-9]{3,}T[a-z0-9]{10,}|gh[pousr]_[a-z0-9]{20,}|github_pat_[a-z0-9_]{20,})"
+PRIVATE_PARTS = (".secrets", ".runtime", ".state", "__pycache__", ".pytest_cache")
+CREDENTIAL = r"\bsk-[A-Za-z0-9]{24,}\b|\bSCT\d{5,}[A-Za-z0-9]{16,}\b"
 
 
 def trusted_host(url: Column) -> Column:
@@ -18,7 +18,7 @@ def html_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
     fits = F.col("length") <= max_bytes
     return files.select(F.regexp_extract("path", r"([^/]+)\.html$", 1).alias("version_id"),
-                        F.when(fits, F.decode("content", F.lit("UTF-8"))).alias("html"), F.when(~fits, "source_too_large").alias("error"))
+                        F.when(fits, F.make_valid_utf8(F.col("content").cast("string"))).alias("html"), F.when(~fits, "source_too_large").alias("error"))
 
 
 def pdf_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
@@ -32,7 +32,9 @@ def pdf_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
 
 def public_findings(files: DataFrame) -> DataFrame:
     """Private path parts or credential-shaped text in files (path, content) to be published."""
-    parts = F.split(F.lower("path"), "/")
-    private = F.arrays_overlap(parts, F.array(*map(F.lit, PRIVATE_PARTS)))
-    leaked = F.decode("content", F.lit("ISO-8859-1")).rlike(CREDENTIAL)
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    private = (F.arrays_overlap(parts, F.array(*map(F.lit, PRIVATE_PARTS))) | F.contains(F.col("path"), F.lit("/app/log/"))
+               | (name == ".env") | (name.startswith(".env.") & (name != ".env.example")))
+    leaked = F.decode("content", "ISO-8859-1").rlike(CREDENTIAL)
     return files.select("path", F.when(private, "private_path").when(leaked, "credential_shape").alias("finding")).where("finding IS NOT NULL")
