@@ -87,6 +87,11 @@ def quote_form(text: Column) -> Column:
     return F.coalesce(_quote_form_batch(rare), _squeeze(_lower(text)))
 
 
+def strip(text: Column) -> Column:
+    """Without whitespace of any kind at either end."""
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+
+
 def collapse(text: Column) -> Column:
     """Unicode whitespace runs to one space, ends trimmed."""
     exotic = ~_is_ascii(text) & text.rlike(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

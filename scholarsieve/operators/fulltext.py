@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from scholarsieve.functions import markup
 from scholarsieve.functions.text import SPACES, collapse
 from scholarsieve.operators import ranking
+from scholarsieve.session import sized
 
 _TEXT = T.StringType()
 _SECTIONS = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("locator", "text", "kind")]))
@@ -120,7 +121,7 @@ def repeated_margins(pages: DataFrame, doc: str = "version_id") -> DataFrame:
     counted = edges.groupBy(doc, "line").agg(F.count("*").alias("on_pages"))
     keep = ((F.col("on_pages") >= 2) & (F.col("on_pages") * 2 >= F.col("pages")) & F.length("line").between(4, 100)
             & pdf_heading(F.col("line")).isNull())
-    return counted.where("on_pages >= 2").join(totals, doc).where(keep)
+    return counted.where("on_pages >= 2").join(sized(totals), doc).where(keep)
 
 
 def drop_margins(pages: DataFrame, margins: DataFrame, doc: str = "version_id") -> DataFrame:
@@ -128,8 +129,9 @@ def drop_margins(pages: DataFrame, margins: DataFrame, doc: str = "version_id")
     half of the pages), so gathering them per document is bounded."""
     per_doc = margins.groupBy(doc).agg(F.collect_set("line").alias("_margins"))
     lines = F.split("raw", LINE_BREAK)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("_margins", F.array()), collapse(x)))
-    return pages.join(per_doc, doc, "left").withColumn("raw", F.array_join(kept, "\n")).drop("_margins")
+    kept = F.filter(lines, lambda x: ~F.array_contains("_margins", collapse(x)))
+    joined = pages.join(sized(per_doc), doc, "left")
+    return joined.withColumn("raw", F.when(F.col("_margins").isNull(), F.col("raw")).otherwise(F.array_join(kept, "\n"))).drop("_margins")
 
 
 def page_stats(pages: DataFrame, doc: str = "version_id") -> DataFrame:

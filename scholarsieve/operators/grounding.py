@@ -10,25 +10,29 @@ from scholarsieve.operators.rules import once
 from scholarsieve.schema import SUMMARY_FIELDS
 
 
+# Joins the quotes of one row for folding; control characters do not fold or collapse.
+_MARK = "\x01\x02\x03"
+
+
 def abstract_quotes(decisions: DataFrame) -> DataFrame:
     """Check decision quotes against the paper's own abstract.
 
-    Rows: base_id, abstract, status, abstract_evidence, uncertainty. Quotes are
-    exploded so that each is folded once; a paper's verdict is one aggregate.
+    Rows: base_id, abstract, status, abstract_evidence, uncertainty. Everything a
+    verdict needs is in its own row: the quotes are folded together and split again,
+    so nothing is exploded, shuffled or copied per quote.
     """
-    keyed = decisions.withColumn("_source", once(text.quote_form(F.col("abstract"))))
-    quotes = keyed.select("base_id", "_source", F.explode_outer("abstract_evidence").alias("quote"), "status",
-                          F.size("uncertainty").alias("_doubts"))
-    # Folding happens before the test: an inlined UDF would be evaluated twice.
-    folded = quotes.withColumn("_quote", once(text.quote_form(F.col("quote"))))
-    short = F.length(F.trim("quote")) < 8
-    bad = F.col("quote").isNotNull() & (short | ~F.contains(F.col("_source"), F.col("_quote")))
-    verdict = folded.groupBy("base_id").agg(F.first("status").alias("status"), F.first("_doubts").alias("_doubts"),
-                                            F.count("quote").alias("quotes"), F.count_if(bad).alias("bad"))
-    error = (F.when(F.col("status").isin("select", "reject") & (F.col("quotes") == 0), "decision_evidence_missing")
+    folded = decisions.withColumns({
+        "_source": once(text.quote_form(F.col("abstract"))),
+        "_quotes": once(text.quote_form(F.array_join("abstract_evidence", _MARK)))})
+    pieces = F.transform(F.split("_quotes", _MARK, -1), lambda q: F.trim(q))
+    pairs = F.arrays_zip(F.col("abstract_evidence").alias("raw"), pieces.alias("folded"))
+    bad = F.filter(pairs, lambda q: (F.length(text.strip(q["raw"])) < 8) | ~F.contains(F.col("_source"), q["folded"]))
+    count = F.size("abstract_evidence")
+    wrong = F.when(count > 0, F.size(bad)).otherwise(0)
+    error = (F.when(F.col("status").isin("select", "reject") & (count <= 0), "decision_evidence_missing")
              .when(F.col("bad") > 0, "decision_abstract_quote_unlocated")
-             .when((F.col("status") == "uncertain") & (F.col("_doubts") <= 0), "decision_uncertainty_missing"))
-    return verdict.select("base_id", "status", "quotes", "bad", error.alias("error"))
+             .when((F.col("status") == "uncertain") & (F.size("uncertainty") <= 0), "decision_uncertainty_missing"))
+    return folded.withColumn("bad", wrong).select("base_id", "status", count.alias("quotes"), "bad", error.alias("error"))
 
 
 def passages(sections: DataFrame, figures: DataFrame | None = None) -> DataFrame:
@@ -48,7 +52,7 @@ def locate(evidence: DataFrame, sources: DataFrame, urls: DataFrame | None = Non
     """
     joined = evidence.join(sources, ["version_id", "locator"], "left")
     folded = joined.withColumns({"_text": once(text.quote_form(F.col("text"))), "_quote": once(text.quote_form(F.col("quote")))})
-    missing = (F.col("_text").isNull() | (F.coalesce(F.length(F.trim("quote")), F.lit(0)) < shortest)
+    missing = (F.col("_text").isNull() | (F.coalesce(F.length(text.strip(F.col("quote"))), F.lit(0)) < shortest)
                | ~F.contains(F.col("_text"), F.col("_quote")))
     error = F.when(missing, "evidence_quote_unlocated")
     if urls is not None:
@@ -130,7 +134,7 @@ def note_errors(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     keyed = notes.withColumn("_quote", once(text.quote_form(F.col("quote"))))
     texts = chunks.select("chunk_key", "locator", once(text.quote_form(F.col("text"))).alias("_text"))
-    length = F.length(F.trim("quote"))
+    length = F.length(text.strip(F.col("quote")))
     inside = F.contains(F.col("_text"), F.col("_quote")) & length.between(12, 400)
     per_note = keyed.join(texts, ["chunk_key", "locator"], "left").groupBy("note_id").agg(
         *(F.first(c).alias(c) for c in notes.columns if c != "note_id"), F.count("_text").alias("_texts"), F.max(F.coalesce(inside, F.lit(False))).alias("_inside"))

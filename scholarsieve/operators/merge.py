@@ -1,12 +1,11 @@
 """Versions and cross-listings of one paper merged into one record."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scholarsieve.functions import clock, ids
 from scholarsieve.operators import rules as screening
+from scholarsieve.session import cut_lineage
 
 
 def canonical(papers: DataFrame) -> DataFrame:
@@ -42,16 +41,25 @@ def recency() -> Column:
     return F.struct(F.col("updated"), ids.version_number(F.col("version_id")).alias("number"), (-F.col("arrival")).alias("first"))
 
 
-def _union(papers: DataFrame, name: str) -> DataFrame:
-    """Distinct list values per paper, newest version's order first.
+def _tag(name: str) -> Column:
+    return F.transform(name, lambda value, i: F.struct(F.lit(name).alias("list"), value.alias("value"), (-i).alias("place")))
+
+
+def _listed(name: str) -> Column:
+    return F.transform(F.filter("_all", lambda x: x["list"] == name), lambda x: x["value"])
+
 
-    Values are reduced to one row per (paper, value) with map-side combining, so
-    a paper with very many versions never gathers its raw rows in one task.
+def _unions(papers: DataFrame, lists) -> DataFrame:
+    """Distinct values of each list per paper, newest version's order first.
+
+    Values are reduced to one row per (paper, list, value) with map-side combining,
+    so a paper with very many versions never gathers its raw rows in one task.
     """
-    values = papers.select("base_id", recency().alias("_recency"), F.posexplode(name).alias("_pos", "_value"))
-    ranked = values.groupBy("base_id", "_value").agg(F.max(F.struct("_recency", -F.col("_pos"))).alias("_rank"))
-    listed = F.sort_array(F.collect_list(F.struct("_rank", "_value")), asc=False)
-    return ranked.groupBy("base_id").agg(F.transform(listed, lambda x: x["_value"]).alias(name))
+    tagged = F.flatten(F.array(*map(_tag, lists)))
+    values = papers.select("base_id", recency().alias("_recency"), F.inline(tagged))
+    ranked = values.groupBy("base_id", "list", "value").agg(F.max(F.struct("_recency", "place")).alias("_rank"))
+    listed = F.sort_array(F.collect_list(F.struct("_rank", "list", "value")), asc=False)
+    return ranked.groupBy("base_id").agg(listed.alias("_all")).select("base_id", *(_listed(name).alias(name) for name in lists))
 
 
 def merge_versions(papers: DataFrame, lists=("authors", "categories")) -> DataFrame:
@@ -66,7 +74,8 @@ def merge_versions(papers: DataFrame, lists=("authors", "categories")) -> DataFr
         F.max_by("pdf_url", F.when(F.coalesce("pdf_url", F.lit("")) != "", recency())).alias("_pdf"))
     merged = newest.select("base_id", *(F.col(f"_n.{c}") for c in content if c != "pdf_url"),
                            F.coalesce(F.when(F.col("_n.pdf_url") != "", F.col("_n.pdf_url")), "_pdf", F.lit("")).alias("pdf_url"))
-    return reduce(lambda left, name: left.join(_union(papers, name), "base_id", "left"), lists, merged)
+    united = merged.join(_unions(papers, lists), "base_id", "left")
+    return united.withColumns({name: F.coalesce(name, F.array().cast("array<string>")) for name in lists})
 
 
 def admit(matched: DataFrame, known: DataFrame, limit: int) -> DataFrame:
@@ -75,16 +84,22 @@ def admit(matched: DataFrame, known: DataFrame, limit: int) -> DataFrame:
     Known ids do not use the cap. `limit` is a configured bound (at most 10000),
     so finding the cutoff keeps that many rows per task.
     """
-    news = (matched.join(known.select("base_id").distinct(), "base_id", "left_anti")
-            .groupBy("base_id").agg(F.min("arrival").alias("arrival")))
+    # Reduced to one row per paper before it meets the known ids.
+    first = matched.groupBy("base_id").agg(F.min("arrival").alias("arrival"))
+    news = first.join(known.select("base_id").distinct(), "base_id", "left_anti")
     over = news.orderBy("arrival").limit(limit + 1).agg(F.when(F.count("*") > limit, F.max("arrival")).alias("stop"))
     return matched.where(F.col("arrival") < F.coalesce(over.scalar(), F.lit(2**62)))
 
 
-def collect(scanned: DataFrame, rules: screening.RuleSet, known: DataFrame, limit: int) -> DataFrame:
-    """Screen each version, cap new ids, merge, then screen the merged record again."""
-    matched = screening.match(scanned, rules).drop("routes")
-    return screening.match(merge_versions(admit(matched, known, limit)), rules)
+def collect(scanned: DataFrame, rules: screening.RuleSet, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Screen each version, cap new ids, merge, then screen the merged record again.
+
+    The matches are stored once: the cap and the merge read them several times, and
+    folding text is the costly part.
+    """
+    matched = cut_lineage(screening.match(scanned, rules).drop("routes"))
+    kept = matched if limit is None else admit(matched, known, limit)
+    return screening.match(merge_versions(kept), rules)
 
 
 def by_ids(papers: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scholarsieve.session import cut_lineage
+from scholarsieve.session import cut_lineage, sized
 
 
 def key(*columns) -> Column:
@@ -32,10 +32,8 @@ def mark_quota(df: DataFrame, group: list[str], order: str, k: int, counts: Colu
     if k <= 0:
         return df.withColumn(out, F.lit(False))
     users = df if counts is None else df.where(counts)
-    cutoffs = kth(users, group, order, k)
-    # One row per group: AQE broadcasts it when its measured size allows,
-    # otherwise it splits the hot left partitions of the sort-merge join.
-    joined = df.join(cutoffs, group, "left")
+    # At most one row per group.
+    joined = df.join(sized(kth(users, group, order, k)), group, "left")
     return joined.withColumn(out, F.col("_cutoff").isNull() | (F.col(order) <= F.col("_cutoff"))).drop("_cutoff")
 
 

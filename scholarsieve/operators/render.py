@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scholarsieve.functions import clock, ids, text
 from scholarsieve.operators import ranking
+from scholarsieve.session import sized
 
 # Default modules of items saved without a module list, and labels.
 _FULL = ("title", "source", "llm_summary")
@@ -195,13 +196,13 @@ def notification(rendered: DataFrame, archive_url: Column, max_bytes: int, day:
     dropped = F.when(F.col("phase") == 1, 1).otherwise(0)
     run = ranking.running_totals(steps, [digest], "_step", {
         "_delta": F.col("delta"), "_new": F.when(~F.col("recovery"), dropped).otherwise(0).cast("long"),
-        "_old": F.when(F.col("recovery"), dropped).otherwise(0).cast("long")}).join(base, digest)
-    sized = run.withColumn("_size", F.col("_base") + F.col("_delta") + _omitted(F.col("_new")) + _omitted(F.col("_old")))
+        "_old": F.when(F.col("recovery"), dropped).otherwise(0).cast("long")}).join(sized(base), digest)
+    measured = run.withColumn("_size", F.col("_base") + F.col("_delta") + _omitted(F.col("_new")) + _omitted(F.col("_old")))
     fits_here = F.col("_size") <= max_bytes
-    outcome = sized.groupBy(digest).agg(
+    outcome = measured.groupBy(digest).agg(
         F.first("_base").alias("_base"), F.min(F.when(fits_here, F.col("_step"))).alias("_stop"),
         F.min_by("_size", F.when(fits_here, F.col("_step"))).alias("_fit_size"), F.max_by("_size", "_step").alias("_last_size"))
-    decided = sized.select(digest, "base_id", "tier", "phase", "_step").join(outcome, digest)
+    decided = measured.select(digest, "base_id", "tier", "phase", "_step").join(sized(outcome), digest)
     taken = (F.col("_base") > max_bytes) & (F.col("_stop").isNull() | (F.col("_step") <= F.col("_stop")))
     per_item = decided.groupBy(digest, "base_id", "tier").agg(
         F.bool_or(taken & (F.col("phase") < 3)).alias("_out"), F.bool_or(taken & (F.col("phase") == 3)).alias("short_label"),

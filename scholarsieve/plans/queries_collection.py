@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from scholarsieve.functions import clock, ids
-from scholarsieve.operators import merge, rules
+from scholarsieve.operators import merge
 from scholarsieve.operators.rules import RuleSet
 from scholarsieve.plans import stand_ins as s
 from scholarsieve.plans.registry import query, table
@@ -113,9 +113,7 @@ def merge_category_union(spark, d):
     SELECT n.base_id, n.version_id, m.categories, CASE WHEN n.event_type = 'error' THEN 'fault' ELSE 'sale' END AS routes
     FROM newest n JOIN merged m USING (base_id) WHERE rank = 1""")
 def filter_then_merge(spark, d):
-    kept = rules.match(s.versions(spark, d), EVENT_RULES).drop("routes")
-    again = rules.match(merge.merge_versions(kept), EVENT_RULES)
-    return again.select("base_id", "version_id", F.array_join("categories", ",").alias("categories"), F.array_join("routes", ",").alias("routes"))
+    return merge.collect(s.versions(spark, d), EVENT_RULES).select("base_id", "version_id", F.array_join("categories", ",").alias("categories"), F.array_join("routes", ",").alias("routes"))
 
 
 @query(f"""

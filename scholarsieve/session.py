@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "scholarsieve") -> SparkSession:
@@ -32,6 +32,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(side: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """A per-group side of a join, broadcast only when its counted size allows.
+
+    The rows are materialized once and counted, so the other, large side needs no
+    shuffle when the groups are few. Beyond `most_rows` (short rows, some tens of MB)
+    the join stays a shuffled one, where AQE splits hot partitions.
+    """
+    kept = cut_lineage(side)
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
 def spread(table: DataFrame, small: int = 1 << 30) -> DataFrame:
     """Share a small table that sits in fewer files than there are cores among all tasks.
 
