@@ -103,3 +103,11 @@ def issue_block(prefix: str = "digest") -> Column:
                        F.concat(F.lit("### "), markdown_text(F.col("title_zh"))), markdown_text(F.col("title")),
                        F.concat(F.lit("[arXiv "), key, F.lit("]("), F.col("url"), F.lit(")")),
                        F.concat_ws("\n", box("👍", "对我有用", "like"), box("👎", "对我无用", "dislike")))
+
+
+def find_issues(issues: DataFrame, days: DataFrame, author: str, prefix: str = "digest") -> DataFrame:
+    """Body of each day's issue: the lowest-numbered one by the trusted author that holds
+    the day's marker. Issues: number, author, body."""
+    marked = issues.where(F.col("author") == author).withColumn("day", F.regexp_extract("body", rf"<!-- {prefix}-feedback:([0-9-]+) -->", 1))
+    first = marked.groupBy("day").agg(F.min("number").alias("number"), F.min_by("body", "number").alias("body"))
+    return days.join(first, "day", "left")

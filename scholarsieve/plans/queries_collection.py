@@ -230,3 +230,14 @@ def normalize_ids(spark, d):
            .when(n % 7 == 5, F.concat(F.lit("2610."), F.lpad((n % 10000).cast("string"), 4, "0"))).otherwise(F.substring("text", 1, 20)))
     return table(spark, d, "documents").select("doc_id", ids.version_id(raw).alias("version_id"), ids.base_id(raw).alias("base_id"),
                                                ids.version_number(ids.version_id(raw)).alias("number"))
+
+
+@query(r"""
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'model.v-' || page_id ELSE '' END AS token, page_id % 3 <> 1 AND page_id % 3 <> 2 AS digest_ok, page_id % 3 = 1 AS push_ok
+    FROM pages""")
+def identifier_safety(spark, d):
+    n = F.col("page_id").cast("string")
+    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("model.v-"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("a b/"), n)).otherwise(F.col("url"))
+    digest = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("20261001T000000Z-"), n)).otherwise(F.concat(F.lit("../"), n))
+    push = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("push_id-"), n)).otherwise(F.concat(F.lit("push id "), n))
+    return table(spark, d, "pages").select("page_id", ids.safe_token(raw).alias("token"), ids.valid_digest_id(digest).alias("digest_ok"), ids.valid_push_id(push).alias("push_ok"))

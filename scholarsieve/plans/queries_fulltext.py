@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholarsieve.operators import fulltext
+from scholarsieve.operators import fulltext, state
 from scholarsieve.plans import stand_ins as s
 from scholarsieve.plans.registry import query, table
 
@@ -186,3 +186,14 @@ def manifest_completeness(spark, d):
         pick(F.col("event_type").isin("click", "view"), kinds).alias("sources"), pick(F.col("event_type") == "signup", kinds).alias("unavailable"),
         pick((F.col("event_type") == "error") & (F.col("value") > 340), F.lit("pdf")).alias("failures"))
     return fulltext.manifest_complete(papers)
+
+
+@query("""
+    SELECT doc_id, 'html' AS source_type, len(string_split(text, chr(10))) AS locators, doc_id % 2 = 0 AS rendered, doc_id % 3 = 0 AS required FROM documents""")
+def body_metadata(spark, d):
+    n = F.col("doc_id")
+    figure = F.struct(F.lit("Figure 1").alias("label"), F.lit("caption:Figure 1").alias("locator"), F.col("source_url").alias("caption"),
+                      F.when(n % 2 == 0, "page.png").otherwise("").alias("image_path"), (n % 3 == 0).alias("required"))
+    body = F.struct(F.lit("v").alias("version_id"), F.col("source_url"), F.lit("html").alias("source_type"), F.col("sections"), F.array(figure).alias("figures"), F.lit(True).alias("quality"))
+    public = _bodies(spark, d).withColumn("body", body).select("doc_id", state.body_metadata().alias("m"))
+    return public.select("doc_id", "m.source_type", F.size("m.locators").alias("locators"), F.col("m.figures")[0]["rendered"].alias("rendered"), F.col("m.figures")[0]["required"].alias("required"))

@@ -161,3 +161,12 @@ def invalid_papers(spark, d):
     rows = s.papers(spark, d).withColumns({"version_id": F.when(n % 5 == 0, "2610.1").otherwise(F.col("version_id")), "updated": F.when(n % 5 != 1, F.col("published")),
                                            "title": F.when(n % 5 == 2, "  ").otherwise("a title")})
     return rows.select("doc_id", merge.invalid_reason(rows).alias("reason"))
+
+
+@query(f"""
+    WITH {s.PAPERS}, {s.sql_matched(s.NARROW_RULES)}, cell AS (SELECT '<td style=''padding:8px;border-top:1px solid #ddd''>' AS td)
+    SELECT base_id, '<tr>' || td || strftime(published + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') || '</td>' || td || '<a href="https://arxiv.org/abs/' || version_id || '" target="_blank">'
+           || {_sql_escape('title', (*_ENTITIES, ('"', '&quot;'), ("''", '&#x27;')))} || '</a></td>' || td || array_to_string(categories, ', ') || '</td>' || td || array_to_string(routes, ', ') || '</td></tr>' AS "row"
+    FROM matched, cell ORDER BY published DESC, base_id DESC LIMIT 100""")
+def display_table(spark, d):
+    return sinks.html_rows(lab.screen_snapshot(s.papers(spark, d), s.NARROW_RULES), limit=100).select("base_id", "row")

@@ -4,9 +4,9 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scholarsieve.functions.text import html_escape, scrub
+from scholarsieve.functions.text import html_escape
 
 
 class Conflict(RuntimeError):
@@ -20,11 +20,19 @@ class Store:
     replaced, so readers and retried tasks never see half a table.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    FORMAT = "1"
+
+    def __init__(self, spark: SparkSession, root: str, publisher=None):
+        self.spark, self.root, self.publisher = spark, root.rstrip("/"), publisher
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = self._read_text(f"{self.root}/FORMAT")
+        if found is None:
+            self._write_text(f"{self.root}/FORMAT", self.FORMAT)
+        elif found.strip() != self.FORMAT:
+            # Never rewritten: the files stay as they are for inspection.
+            raise Conflict("state_corrupt: unsupported format")
 
     def _read_text(self, path: str) -> str | None:
         if not self._fs.exists(self._path(path)):
@@ -55,6 +63,11 @@ class Store:
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{table}/{version}")
         self._swap(f"{self.root}/{table}/CURRENT", version)
+        if self.publisher is not None:
+            try:
+                self.publisher(table, version)
+            except Exception as exc:
+                raise Conflict(f"checkpoint_publish_failed:{type(exc).__name__}") from None
         return self.load(table)
 
     def load(self, table: str) -> DataFrame | None:
@@ -124,7 +137,3 @@ def html_rows(matches: DataFrame, limit: int = 100) -> DataFrame:
     row = F.concat(F.lit("<tr>"), cell(html_escape(F.col("published_local"))), cell(link), cell(joined("categories")), cell(joined("routes")), F.lit("</tr>"))
     ordered = matches.orderBy(F.desc("published"), F.desc("base_id")).limit(limit)
     return ordered.select("published", "base_id", row.alias("row"))
-
-
-def public_text(text: Column, secrets=()) -> Column:
-    return scrub(text, secrets)
