@@ -103,12 +103,24 @@ def match(papers: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def _keyword_hits(phrases, rules: RuleSet) -> Column:
-    each = []
-    for phrase in dict.fromkeys(phrases):
-        where = [F.when(text.has_phrase(F.coalesce(F.col(f"_{f}"), F.lit("")), [phrase]), F.lit(f)) for f in rules.fields]
-        fields = F.array_compact(F.array(*where))
-        each.append(F.when(F.size(fields) > 0, F.struct(F.lit(phrase).alias("keyword"), fields.alias("fields"))))
-    return F.array_compact(F.array(*each))
+    """Matched phrases of a group with their fields.
+
+    One small expression over a literal array, not one per phrase: plans with
+    hundreds of phrases stay cheap to compile. A phrase's pattern is compiled only
+    where the plain substring test has already found it.
+    """
+    known = [(p, text.match_form_of(p)) for p in dict.fromkeys(phrases)]
+    entries = F.array(*(F.struct(F.lit(p).alias("keyword"), F.lit(needle).alias("needle"), F.lit(text.phrase_pattern([p])).alias("pattern"))
+                        for p, needle in known if needle))
+
+    def located(entry):
+        each = []
+        for field in rules.fields:
+            value = F.coalesce(F.col(f"_{field}"), F.lit(""))
+            each.append(F.when(F.contains(value, entry["needle"]) & F.rlike(value, entry["pattern"]), F.lit(field)))
+        return F.struct(entry["keyword"].alias("keyword"), F.array_compact(F.array(*each)).alias("fields"))
+
+    return F.filter(F.transform(entries, located), lambda hit: F.size(hit["fields"]) > 0)
 
 
 def trace(papers: DataFrame, rules: RuleSet, source: str = "matched") -> DataFrame:
@@ -140,8 +152,7 @@ def trace_keywords(traced: DataFrame, *keep: str) -> DataFrame:
 def explain(papers: DataFrame, rules: RuleSet) -> DataFrame:
     """Why each paper did or did not match: nothing is filtered away."""
     hits = group_hits(papers, rules)
-    excluded = F.array_compact(F.array(*(F.when(_in_any_field([p], rules), F.lit(p)) for p in rules.exclude))) \
-        if rules.exclude else F.array().cast("array<string>")
+    excluded = F.transform(_keyword_hits(rules.exclude, rules), lambda h: h["keyword"]) if rules.exclude else F.array().cast("array<string>")
     matched = F.map_from_entries(F.array_compact(F.array(*(
         F.when(F.col("_hits")[name], F.struct(F.lit(name), F.transform(_keyword_hits(phrases, rules), lambda h: h["keyword"])))
         for name, phrases in rules.groups.items()))))
