@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scholarsieve.functions import clock, ids, text
 from scholarsieve.operators import ranking
-from scholarsieve.session import sized
+from scholarsieve.session import cut_lineage, sized
 
 # Default modules of items saved without a module list, and labels.
 _FULL = ("title", "source", "llm_summary")
@@ -165,12 +165,13 @@ def notification(rendered: DataFrame, archive_url: Column, max_bytes: int, day:
     long_label = F.when(F.col("modules").isNotNull() & ~F.array_contains("modules", "title"), F.concat(F.lit("arXiv "), F.col("base_id"))) \
         .otherwise(text.digest_title(F.col("title")))
     link = lambda label: F.concat(F.lit("- ["), label, F.lit("]("), archive_url, F.lit(")：所选内容见公开存档。"))
-    narrow = rendered.select(digest, "base_id", "tier", _recovered().alias("recovery"), F.col("position").cast("long").alias("position"),
+    # Only ids and sizes from here on; stored once so that item text is rendered once.
+    narrow = cut_lineage(rendered.select(digest, "base_id", "tier", _recovered().alias("recovery"), F.col("position").cast("long").alias("position"),
                              _bytes(F.col("block")).cast("long").alias("_block"), _bytes(link(long_label)).cast("long").alias("_link"),
                              _bytes(link(F.concat(F.lit("arXiv "), F.col("base_id")))).cast("long").alias("_short"),
                              _bytes(_heading()).cast("long").alias("_head"),
                              F.concat_ws("/", "recovery", "tier").alias("_section"), _bytes(archive_url).cast("long").alias("_url"),
-                             _bytes(day.cast("string")).cast("long").alias("_day"))
+                             _bytes(day.cast("string")).cast("long").alias("_day")))
 
     fixed = [("# arXiv 每日简报 · ", True)] + [("**补发：上一轮投递未确认，本次可能重复。**", False)]
     header = len(fixed[0][0].encode("utf-8"))

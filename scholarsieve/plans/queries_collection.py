@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from scholarsieve.functions import clock, ids
-from scholarsieve.operators import merge
+from scholarsieve.operators import merge, rules
 from scholarsieve.operators.rules import RuleSet
 from scholarsieve.plans import stand_ins as s
 from scholarsieve.plans.registry import query, table
@@ -158,27 +158,28 @@ def papers_by_ids(spark, d):
 
 
 @query(f"""
-    WITH {s.PAPERS},
-    state AS (SELECT doc_id, quality, toxic FROM labels)
+    WITH {s.PAPERS}, {s.sql_matched(s.CORPUS_RULES)}
     SELECT {s.sql_key('coalesce(l.doc_id, p.doc_id)')} AS base_id,
            CASE WHEN l.doc_id IS NULL OR (l.toxic = 0 AND l.quality = 1 AND p.doc_id IS NOT NULL) THEN p.version_id ELSE {s.sql_key('l.doc_id')} || 'v1' END AS version_id,
            CASE WHEN l.doc_id IS NULL THEN p.version_id
                 WHEN p.doc_id IS NULL OR p.version_id = {s.sql_key('l.doc_id')} || 'v1' THEN {s.sql_key('l.doc_id')} || 'v1'
                 ELSE {s.sql_key('l.doc_id')} || 'v1,' || p.version_id END AS versions,
-           CASE WHEN l.doc_id IS NULL THEN p.lang WHEN p.doc_id IS NULL THEN 'old' WHEN p.lang < 'old' THEN p.lang || ',old' ELSE 'old,' || p.lang END AS rule_hits,
+           CASE WHEN l.doc_id IS NULL THEN array_to_string(p.routes, ',') WHEN p.doc_id IS NULL THEN 'old'
+                ELSE array_to_string(list_sort(list_append(p.routes, 'old')), ',') END AS rule_hits,
            CASE WHEN l.doc_id IS NULL OR l.toxic = 0 THEN 'candidate' ELSE 'selected' END AS stage,
            CASE WHEN l.doc_id IS NOT NULL AND NOT (l.toxic = 0 AND l.quality = 1 AND p.doc_id IS NOT NULL) THEN '题' END AS title_zh
-    FROM labels l FULL JOIN (SELECT *, categories[1] AS lang FROM papers WHERE doc_id % 4 <> 1) p ON p.doc_id = l.doc_id""")
+    FROM labels l FULL JOIN matched p ON p.doc_id = l.doc_id""")
 def upsert_state(spark, d):
+    """Labels are the stored state, the screened corpus is what the run found."""
     paper = lambda version, title: F.struct(version.alias("version_id"), title.alias("title"))
+    stored = F.concat(s.paper_key("doc_id"), F.lit("v1"))
     state = table(spark, d, "labels").select(
-        s.paper_key("doc_id").alias("base_id"), paper(F.concat(s.paper_key("doc_id"), F.lit("v1")), F.lit("stored title")).alias("paper"),
-        s.ntz("2024-01-01 00:00:00").alias("first_discovered"), F.array(F.concat(s.paper_key("doc_id"), F.lit("v1"))).alias("versions"),
+        s.paper_key("doc_id").alias("base_id"), paper(stored, F.lit("stored title")).alias("paper"),
+        s.ntz("2024-01-01 00:00:00").alias("first_discovered"), F.array(stored).alias("versions"),
         F.lit(None).cast("string").alias("latest_version"), F.array(F.lit("old")).alias("rule_hits"),
         F.when(F.col("toxic") == 0, "candidate").otherwise("selected").alias("stage"),
         F.when(F.col("quality") == 0, "select").alias("decision_status"), F.lit("题").alias("title_zh"))
-    incoming = s.papers(spark, d).where("doc_id % 4 <> 1").select(
-        "base_id", paper(F.col("version_id"), F.col("title")).alias("paper"), F.array(F.col("categories")[0]).alias("routes"))
+    incoming = rules.match(s.papers(spark, d), s.CORPUS_RULES).select("base_id", paper(F.col("version_id"), F.col("title")).alias("paper"), "routes")
     rows = merge.upsert(state, incoming, s.ntz("2024-02-01 00:00:00"))
     return rows.select("base_id", "paper.version_id", F.array_join("versions", ",").alias("versions"),
                        F.array_join("rule_hits", ",").alias("rule_hits"), "stage", "title_zh")

@@ -49,14 +49,16 @@ def snapshot_quality(spark, d):
 
 
 @query(f"""
-    WITH {_LINES}, ok AS (SELECT doc_id, len(parts) >= 2 AND length(array_to_string(list_transform(parts, lambda x: x.text), ' ')) >= 1200
-           AND len(list_intersect(list_transform(parts, lambda x: x.name), ['Our Method', 'Results and Discussion'])) = 2 AS fine FROM lines)
-    SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND fine THEN 'html' WHEN doc_id % 4 > 0 AND fine THEN 'pdf' END AS source_type FROM ok WHERE doc_id % 3 > 0 OR doc_id % 4 > 0""")
+    WITH {_LINES}, ok AS (SELECT doc_id, length(array_to_string(list_transform(parts, lambda x: x.text), ' ')) AS chars,
+           len(parts) >= 2 AND len(list_intersect(list_transform(parts, lambda x: x.name), ['Our Method', 'Results and Discussion'])) = 2 AS fine FROM lines)
+    SELECT doc_id, CASE WHEN fine AND chars >= 3000 THEN 'html' WHEN fine AND chars >= 1200 THEN 'pdf' END AS source_type,
+           CASE WHEN NOT fine OR chars < 1200 THEN 'fulltext_quality_failed' END AS error FROM ok""")
 def body_source_choice(spark, d):
-    gated = _bodies(spark, d).withColumn("quality", fulltext.quality(1200, F.lit("html")))
-    side = lambda keep: gated.where(keep).select(F.col("doc_id").alias("version_id"), F.struct("source_url").alias("body"), "quality")
-    chosen = fulltext.choose_body(side("doc_id % 3 > 0"), side("doc_id % 4 > 0"))
-    return chosen.select(F.col("version_id").alias("doc_id"), "source_type")
+    """Every body in two qualities: a strict one as HTML and a lenient one as PDF."""
+    bodies = _bodies(spark, d)
+    side = lambda least, kind: bodies.select(F.col("doc_id").alias("version_id"), F.struct("source_url").alias("body"), fulltext.quality(least, F.lit(kind)).alias("quality"))
+    chosen = fulltext.choose_body(side(3000, "html"), side(1200, "pdf"))
+    return chosen.select(F.col("version_id").alias("doc_id"), "source_type", F.substring_index("error", ":", 1).alias("error"))
 
 
 @query("""

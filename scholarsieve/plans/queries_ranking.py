@@ -60,14 +60,14 @@ def first_k_successes(spark, d):
 
 @query("""
     WITH errors AS (SELECT event_id, (ts + INTERVAL 8 HOUR)::DATE AS day, value FROM events WHERE event_type = 'error'),
-    used AS (SELECT day, count(*) AS n FROM errors WHERE event_id % 300 = 0 GROUP BY day),
-    ranked AS (SELECT event_id, day, row_number() OVER (PARTITION BY day ORDER BY value DESC, event_id) AS rank FROM errors WHERE event_id % 300 <> 0)
+    used AS (SELECT day, count(*) AS n FROM errors WHERE value > 200 GROUP BY day),
+    ranked AS (SELECT event_id, day, row_number() OVER (PARTITION BY day ORDER BY value DESC, event_id) AS rank FROM errors WHERE value <= 200)
     SELECT event_id, CAST(day AS VARCHAR) AS day, rank FROM ranked LEFT JOIN used USING (day) WHERE rank <= 5 - coalesce(n, 0)""")
 def review_topk_per_day(spark, d):
     errors = table(spark, d, "events").where("event_type = 'error'").select(
-        "event_id", clock.local_day(F.col("ts")).alias("day"), ranking.key((-F.col("value")).alias("score"), "event_id").alias("order"))
-    taken = errors.where("event_id % 300 = 0")
-    picks = ranking.fill_slots(errors.where("event_id % 300 <> 0"), taken, ["day"], "order", 5)
+        "event_id", "value", clock.local_day(F.col("ts")).alias("day"), ranking.key((-F.col("value")).alias("score"), "event_id").alias("order"))
+    # Scores above 200 were reviewed earlier in the day and hold their slots.
+    picks = ranking.fill_slots(errors.where("value <= 200"), errors.where("value > 200"), ["day"], "order", 5)
     return picks.select("event_id", F.col("day").cast("string").alias("day"), "rank")
 
 

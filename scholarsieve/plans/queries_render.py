@@ -76,10 +76,10 @@ def archive_lines(spark, d):
     return lines.select("digest_id", "recovery", "tier_order", "part", "position", F.sha2("line", 256).alias("line"))
 
 
-@query(f"WITH {_ITEMS} SELECT digest_id, base_id, count(*) AS \"count\" FROM (SELECT digest_id, base_id FROM items UNION ALL SELECT digest_id, base_id FROM items WHERE doc_id % 9 = 0) GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {_ITEMS} SELECT digest_id, base_id, count(*) AS \"count\" FROM (SELECT digest_id, base_id FROM items UNION ALL SELECT digest_id, base_id FROM items WHERE tier = 'light') GROUP BY ALL HAVING count(*) > 1")
 def duplicate_digest_items(spark, d):
-    items = _items(spark, d).select("digest_id", "base_id", "doc_id")
-    return render.duplicate_items(items.unionByName(items.where("doc_id % 9 = 0")))
+    items = _items(spark, d).select("digest_id", "base_id", "tier")
+    return render.duplicate_items(items.unionByName(items.where("tier = 'light'")))
 
 
 @query(f"""

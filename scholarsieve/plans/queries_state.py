@@ -39,8 +39,8 @@ def _records(spark, d):
     records = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("base_id"), F.timestamp_add("DAY", F.col("o_orderkey") % 31, s.ntz("1999-01-01 00:00:00")).cast("timestamp_ntz").alias("first_discovered"),
         F.element_at(stages, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("stage"),
-        F.when(c % 17 == 0, F.concat(F.lit("d"), (c % 50).cast("string"))).alias("pending_digest"),
-        F.when(c % 34 == 0, F.concat(F.lit("d"), (c % 40).cast("string"))).alias("delivery_chain"),
+        F.when(c % 17 == 0, F.concat(F.lit("d"), c.cast("string"))).alias("pending_digest"),
+        F.when(c % 34 == 0, F.concat(F.lit("d"), F.floor(c / 2).cast("string"))).alias("delivery_chain"),
         (c % 19 == 0).alias("promotion_pending"), (c % 23 == 0).alias("resend_pending"), (c % 11 == 0).alias("manual_required"),
         F.when(c % 13 == 0, s.ntz("1999-02-02 00:00:00")).alias("manual_retry_until"), F.when(c % 26 == 0, 5).alias("manual_delivery_limit"),
         F.element_at(F.array(F.lit("select"), F.lit("uncertain"), F.lit("reject")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("status"),
@@ -55,7 +55,7 @@ _RECORDS = f"""{_EVENTS},
 records AS (
     SELECT o_orderkey AS base_id, TIMESTAMP '1999-01-01' + (o_orderkey % 31) * INTERVAL 1 DAY AS first_discovered, TIMESTAMP '{_NOW}' AS now_,
            ['candidate', 'selected', 'rejected', 'ready', 'summary_validated', 'delivered'][o_orderkey % 6 + 1] AS stage,
-           CASE WHEN o_custkey % 17 = 0 THEN 'd' || (o_custkey % 50) END AS pending, CASE WHEN o_custkey % 34 = 0 THEN 'd' || (o_custkey % 40) END AS delivery_chain,
+           CASE WHEN o_custkey % 17 = 0 THEN 'd' || o_custkey END AS pending, CASE WHEN o_custkey % 34 = 0 THEN 'd' || (o_custkey // 2) END AS delivery_chain,
            o_custkey % 19 = 0 AS promoting, o_custkey % 23 = 0 AS resending, o_custkey % 11 = 0 AS manual, o_custkey % 13 = 0 AS manual_open,
            CASE WHEN o_custkey % 26 = 0 THEN 5 ELSE 0 END AS manual_limit, ['select', 'uncertain', 'reject'][o_orderkey % 3 + 1] AS status,
            CASE WHEN o_custkey % 2 = 0 THEN 'full' ELSE 'light' END AS tier, CASE o_custkey % 5 WHEN 0 THEN 'translation' WHEN 1 THEN 'full' END AS intended_tier,
@@ -164,10 +164,10 @@ def previous_event_kind(spark, d):
 
 def _digests(spark, d):
     """Customers as digests and, with their balances, as delivery chains."""
-    c = table(spark, d, "customer").where("c_custkey < 50")
+    c = table(spark, d, "customer")
     name = F.concat(F.lit("d"), F.col("c_custkey").cast("string"))
     digests = c.select(name.alias("digest_id"), F.when(F.col("c_custkey") % 10 == 0, "now").otherwise("old").alias("run_id"),
-                       F.concat(F.lit("d"), (F.col("c_custkey") % 45).cast("string")).alias("chain_root"))
+                       F.concat(F.lit("d"), F.floor(F.col("c_custkey") / 3).cast("string")).alias("chain_root"))
     chains = c.select(name.alias("digest_id"), (F.col("c_nationkey") % 5).alias("attempts"),
                       F.timestamp_add("DAY", F.col("c_custkey") % 25, s.ntz("1999-01-05 00:00:00")).cast("timestamp_ntz").alias("created_at"))
     return digests, chains
@@ -175,8 +175,8 @@ def _digests(spark, d):
 
 @query(f"""
     WITH {_RECORDS},
-    digests AS (SELECT 'd' || c_custkey AS id, c_custkey % 10 = 0 AS same_run, 'd' || (c_custkey % 45) AS root FROM customer WHERE c_custkey < 50),
-    chains AS (SELECT 'd' || c_custkey AS id, c_nationkey % 5 AS tries, TIMESTAMP '1999-01-05' + (c_custkey % 25) * INTERVAL 1 DAY AS created FROM customer WHERE c_custkey < 50)
+    digests AS (SELECT 'd' || c_custkey AS id, c_custkey % 10 = 0 AS same_run, 'd' || (c_custkey // 3) AS root FROM customer),
+    chains AS (SELECT 'd' || c_custkey AS id, c_nationkey % 5 AS tries, TIMESTAMP '1999-01-05' + (c_custkey % 25) * INTERVAL 1 DAY AS created FROM customer)
     SELECT base_id, CASE WHEN same_run THEN 'same_run' WHEN tries >= CASE WHEN manual_open THEN greatest(3, manual_limit) ELSE 3 END THEN 'delivery_attempts_exhausted'
            WHEN NOT manual_open AND now_ - created > INTERVAL 14 DAY THEN 'delivery_recovery_age_exhausted' ELSE 'recover' END AS outcome
     FROM records JOIN digests ON digests.id = pending JOIN chains ON chains.id = coalesce(delivery_chain, root)""")
