@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
+from scholarsieve.functions.text import strip
+
 # Identifier grammar.
 _URL_PREFIX = r"^https?://(?:export\.)?arxiv\.org/(?:abs|pdf|html)/"
 _BASE = r"[0-9]{4}\.[0-9]{4,5}|[a-zA-Z][a-zA-Z.\-]*/[0-9]{7}"
@@ -12,7 +14,7 @@ _VERSION = r"v[1-9][0-9]*"
 
 
 def _bare(raw: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(raw), _URL_PREFIX, ""), r"\.pdf$", "")
+    return F.regexp_replace(F.regexp_replace(strip(raw), _URL_PREFIX, ""), r"\.pdf$", "")
 
 
 def _matched(raw: Column, pattern: str) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, functions as F, types as T
 DASHES = r"\u2010-\u2015\u2212\ufe58\ufe63\uff0d\-"
 SPACES = r"\s\x0b\x1c-\x1f\x85 \p{Z}"
 WORD = r"\p{L}\p{N}_"
+_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 
 # For these characters NFKC + casefold equals lower() plus ß -> ss, and only the
 # dashes among them are separators: ASCII, Latin-1 letters, dashes U+2010..2015 and
@@ -89,7 +91,12 @@ def quote_form(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without whitespace of any kind at either end."""
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(text, F.lit(_WHITESPACE))
+
+
+def blank(text: Column) -> Column:
+    """Null, empty or only whitespace."""
+    return F.coalesce(strip(text), F.lit("")) == ""
 
 
 def collapse(text: Column) -> Column:

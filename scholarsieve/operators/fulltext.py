@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scholarsieve.functions import markup
-from scholarsieve.functions.text import SPACES, collapse
+from scholarsieve.functions.text import SPACES, blank, collapse, strip
 from scholarsieve.operators import ranking
 from scholarsieve.session import sized
 
@@ -45,7 +45,7 @@ def sections(bodies: DataFrame, *keys: str) -> DataFrame:
 
 def quality(min_chars: int, source_type: Column, order_ok: Column | None = None, missing_pages: Column | None = None) -> Column:
     """Gate of a body from its `sections` array: verdict, reasons and counts."""
-    filled = F.filter("sections", lambda s: F.trim(s["text"]) != "")
+    filled = F.filter("sections", lambda s: ~blank(s["text"]))
     headings = F.array_join(F.transform(filled, lambda s: s["locator"]), " ")
     words = F.array_join(F.transform(filled, lambda s: s["text"]), " ")
     prose = F.exists(filled, lambda s: (s["kind"] == "section") & ~s["locator"].rlike(NOT_METHOD)
@@ -136,7 +136,7 @@ def drop_margins(pages: DataFrame, margins: DataFrame, doc: str = "version_id")
 
 def page_stats(pages: DataFrame, doc: str = "version_id") -> DataFrame:
     """Line and heading statistics of extracted pages for the PDF gate."""
-    filled = F.filter(F.transform(F.split("raw", LINE_BREAK), lambda x: F.trim(x)), lambda x: x != "")
+    filled = F.filter(F.transform(F.split("raw", LINE_BREAK), strip), lambda x: x != "")
     heads = F.filter(F.transform(F.split("raw", LINE_BREAK), pdf_heading), lambda x: x.isNotNull())
     rows = pages.select(doc, "page", F.size(filled).alias("lines"), F.size(F.filter(filled, lambda x: F.length(x) <= 2)).alias("short"),
                         (F.length(collapse(F.col("raw"))) < 80).alias("missing"), F.array_join(heads, " ").alias("heads"))

@@ -87,7 +87,7 @@ def summary_errors(summaries: DataFrame, bodies: DataFrame, sources: DataFrame,
     qualified and the first-page flags. `sources`: see `passages`.
     """
     base = summaries.join(bodies, "version_id", "left")
-    blank = reduce(lambda a, b: a | b, (F.coalesce(F.trim(f"summary.{f}"), F.lit("")) == "" for f in SUMMARY_FIELDS))
+    blank = reduce(lambda a, b: a | b, (text.blank(F.col(f"summary.{f}")) for f in SUMMARY_FIELDS))
     unfit = F.when(~F.coalesce("qualified", F.lit(False)), "unqualified_fulltext").when(blank, "summary_field_missing")
     if not require_evidence:
         return base.select("version_id", F.coalesce(unfit, F.when(F.size("summary.evidence") > 0, "summary_evidence_disabled")).alias("error"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scholarsieve.functions import clock, ids
+from scholarsieve.functions.text import blank, strip
 from scholarsieve.operators import rules as screening
 from scholarsieve.session import cut_lineage
 
@@ -11,7 +12,7 @@ from scholarsieve.session import cut_lineage
 def canonical(papers: DataFrame) -> DataFrame:
     """Trim and order-distinct the lists; derive the base id and the page address."""
     def tidy(name):
-        return F.array_distinct(F.filter(F.transform(name, lambda x: F.trim(x)), lambda x: x != ""))
+        return F.array_distinct(F.filter(F.transform(name, strip), lambda x: x != ""))
 
     return papers.withColumns({
         "authors": tidy("authors"), "categories": tidy("categories"), "version_id": ids.version_id(F.col("version_id")),
@@ -22,7 +23,7 @@ def canonical(papers: DataFrame) -> DataFrame:
 def from_feed(raw: DataFrame) -> DataFrame:
     """Feed record (entry_id, title, summary, categories, authors, times) to a paper row."""
     return canonical(raw.select(
-        F.col("entry_id").alias("version_id"), F.trim("title").alias("title"), F.trim("summary").alias("abstract"),
+        F.col("entry_id").alias("version_id"), strip(F.col("title")).alias("title"), strip(F.col("summary")).alias("abstract"),
         "categories", clock.parse_time(F.col("published")).alias("published"),
         clock.parse_time(F.col("updated")).alias("updated"), F.transform("authors", lambda a: a["name"]).alias("authors"),
         F.coalesce("pdf_url", F.lit("")).alias("pdf_url")))
@@ -30,10 +31,9 @@ def from_feed(raw: DataFrame) -> DataFrame:
 
 def invalid_reason(papers: DataFrame) -> Column:
     """Why a paper row is unusable, or null."""
-    blank = (F.coalesce(F.trim("title"), F.lit("")) == "") | (F.coalesce(F.trim("abstract"), F.lit("")) == "")
     return (F.when(ids.base_id(F.col("version_id")).isNull(), "invalid_id")
             .when(F.col("published").isNull() | F.col("updated").isNull(), "time_not_zoned")
-            .when(blank, "title_or_abstract_missing"))
+            .when(blank(F.col("title")) | blank(F.col("abstract")), "title_or_abstract_missing"))
 
 
 def recency() -> Column:

@@ -47,16 +47,12 @@ def _labelled(label: str, value: Column) -> Column:
     return F.concat(F.lit(f"**{label}：** "), value)
 
 
-def blank(column: str) -> Column:
-    return F.coalesce(F.trim(column), F.lit("")) == ""
-
-
 def render_error() -> Column:
     """Why an item cannot be rendered, or null."""
     on = lambda name: F.array_contains("_modules", name)
     return (F.when(~F.col("tier").isin(*(t for t, _ in _TIERS)), "unknown_digest_tier")
-            .when(on("title_translation") & blank("title_zh"), "translated_title_missing")
-            .when(on("abstract_translation") & blank("abstract_zh"), "translated_abstract_missing")
+            .when(on("title_translation") & text.blank(F.col("title_zh")), "translated_title_missing")
+            .when(on("abstract_translation") & text.blank(F.col("abstract_zh")), "translated_abstract_missing")
             .when(F.col("summary").isNull() & (F.col("tier") != "light") & on("llm_summary"), "summary_missing")
             .when(F.col("summary").isNull() & (F.col("tier") != "light") & on("evidence"), "evidence_missing"))
 

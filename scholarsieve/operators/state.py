@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scholarsieve.functions.text import blank
 from scholarsieve.schema import ROUTES
 
 # Event kinds that count as delivered, and retryable stages.
@@ -75,7 +76,7 @@ def decision_error(d: str = "decision") -> Column:
     selected = c("status") == "select"
     return (F.when(~F.coalesce(c("status").isin("select", "reject", "uncertain") & c("tier").isin("full", "light")
                                & c("route").isin(*ROUTES), F.lit(False)), "invalid_enum")
-            .when(F.coalesce(F.trim(c("reason")), F.lit("")) == "", "reason_missing")
+            .when(blank(c("reason")), "reason_missing")
             .when(flags_missing, "flags_not_boolean")
             .when(texts_missing, "evidence_not_text")
             .when(F.exists(F.coalesce(c("review_evidence"), F.array()), lambda e: bare(e, "locator") | bare(e, "quote") | bare(e, "source_url")), "invalid_review_evidence")

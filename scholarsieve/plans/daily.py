@@ -88,10 +88,14 @@ class DailyRun:
     def _save(self, papers: DataFrame) -> DataFrame:
         return self.store.save("papers", papers.select(*(c.name for c in self._papers().schema)))
 
-    def _set(self, changes: DataFrame, **columns: Column) -> DataFrame:
-        """Update the given columns of the papers named by `changes` (base_id, value, ...)."""
+    def _set(self, changes: DataFrame, **columns: Column) -> None:
+        """Update the given columns of the papers named by `changes` (base_id, value, ...).
+
+        The state is rewritten only when there is something to change."""
+        if changes.isEmpty():
+            return
         joined = self._papers().join(changes.withColumn("_hit", F.lit(True)), "base_id", "left")
-        return self._save(joined.withColumns({n: F.when(F.col("_hit"), c).otherwise(F.col(n)) for n, c in columns.items()}))
+        self._save(joined.withColumns({n: F.when(F.col("_hit"), c).otherwise(F.col(n)) for n, c in columns.items()}))
 
     def _eligible(self, promoted=()) -> DataFrame:
         seen = state.confirmed_papers(self._events()).withColumn("confirmed", F.lit(True))
@@ -111,11 +115,16 @@ class DailyRun:
     def _stage(self, stage: str, todo: DataFrame, call) -> DataFrame:
         """Gate, record the attempts, call, record the outcome; returns stored (base_id, value)."""
         log = self.store.log("attempts", schema.ATTEMPT_LOG).where(F.col("stage") == stage)
+        # A manual retry restarts the count of its stage.
+        resets = log.where("error = 'manual_reset'").groupBy("base_id").agg(F.max("at").alias("_reset"))
+        log = log.where("error IS NULL OR error <> 'manual_reset'").join(resets, "base_id", "left").where("_reset IS NULL OR at >= _reset")
         counts = log.where("failed IS NULL").groupBy("base_id").agg(F.count("*").alias("attempts"))
         last = state.stage_attempts(log.where("failed IS NOT NULL")).select("base_id", "last_failure")
         gated = todo.join(counts, "base_id", "left").join(last, "base_id", "left").withColumn(
             "gate", state.stage_gate(self.now, F.lit(stage), self.config["limits"]["stage_attempts"]))
         gated = self.store.save(f"work_{stage}", gated)
+        if gated.isEmpty():
+            return gated.select("base_id", F.lit(None).alias("value")).limit(0)
         refused = {r["gate"]: r["n"] for r in gated.groupBy("gate").agg(F.count("*").alias("n")).collect()}
         self.calls[stage] = self.calls.get(stage, 0) + refused.pop("run", 0)
         self.errors += [f"{stage}:{gate}:{n}" for gate, n in refused.items()]
@@ -142,6 +151,52 @@ class DailyRun:
         status = F.col("value.status")
         self._set(answers, decision=F.col("value"), stage=F.when(status == "reject", "rejected").when(status == "select", "selected").otherwise("uncertain"))
 
+    # -- manual requests ----------------------------------------------------
+    def _requested(self, ids) -> DataFrame:
+        """Requested papers with their delivery history; unknown ids have a null stage."""
+        asked = self.spark.createDataFrame([(i,) for i in ids], "base_id string")
+        history = self._events().groupBy("base_id").agg(F.collect_set(F.struct("status", "tier")).alias("events"))
+        seen = state.confirmed_papers(self._events()).withColumn("confirmed", F.lit(True))
+        rows = asked.join(self._papers(), "base_id", "left").join(history, "base_id", "left").join(seen, "base_id", "left")
+        return rows.withColumns({
+            "confirmed": F.coalesce("confirmed", F.lit(False)), "status": F.col("decision.status"), "has_summary": F.col("summary").isNotNull(),
+            "events": F.coalesce("events", F.array().cast("array<struct<status:string,tier:string>>"))})
+
+    @staticmethod
+    def _refuse(rows: DataFrame, error: Column) -> DataFrame:
+        bad = rows.select(error.alias("error")).where("error IS NOT NULL").distinct().collect()
+        if bad:
+            raise ValueError(",".join(sorted(r["error"] for r in bad)))
+        return rows.select("base_id")
+
+    def promote(self, ids) -> None:
+        """Upgrade papers that were delivered light to a full summary."""
+        accepted = self._refuse(self._requested(ids), state.promotion_error())
+        self._set(accepted, intended_tier=F.lit("full"), promotion_pending=F.lit(True), manual_required=F.lit(False), stage=F.lit("selected"),
+                  modules=F.array(*map(F.lit, self.modules)))
+
+    def resend(self, ids) -> None:
+        """Deliver confirmed content once more, without new model calls."""
+        accepted = self._refuse(self._requested(ids), state.resend_error())
+        self._set(accepted, resend_pending=F.lit(True), stage=F.when(F.col("intended_tier") == "full", "summary_validated").otherwise("ready"))
+
+    def retry(self, stage: str, ids) -> None:
+        """Give a stage of undelivered papers a fresh set of attempts for the recovery period."""
+        log = self.store.log("attempts", schema.ATTEMPT_LOG).where(F.col("stage") == stage)
+        tries = log.groupBy("base_id").agg(F.count("*").alias("attempts"), F.max(F.when(F.col("failed"), F.col("at"))).alias("last_failure"))
+        accepted = self._refuse(self._requested(ids).join(tries, "base_id", "left"), state.retry_error(F.lit(stage)))
+        accepted = self.store.save("retried", accepted)
+        until = self.now + F.expr(f"interval {self.config['limits']['recovery_days']} days")
+        limit = F.lit(self.config["delivery"]["chain_attempts"])
+        if stage == "delivery":
+            spent = self.store.log("digests", schema.DIGEST_LOG).where("status = 'sending'").groupBy("chain_root").agg(F.count("*").alias("n"))
+            chains = accepted.join(self._papers().select("base_id", F.col("delivery_chain").alias("chain_root")), "base_id").join(spent, "chain_root", "left")
+            self._set(chains.select("base_id", "n"), manual_delivery_limit=(F.coalesce("n", F.lit(0)) + limit).cast("int"))
+        for name in {stage, *(("body",) if stage in ("summary", "review") else ())} - {"delivery"}:
+            self.store.append("attempts", accepted.select("base_id", F.lit(name).alias("stage"), F.lit(self.run_id).alias("run_id"), self.now.alias("at"),
+                                                          F.lit(None).cast("boolean").alias("failed"), F.lit("manual_reset").alias("error")))
+        self._set(accepted, manual_retry_until=until, manual_required=F.lit(False))
+
     # -- stages -------------------------------------------------------------
     def collect(self, scanned: DataFrame) -> None:
         """Screen, cap, merge and upsert; independent of everything later."""
@@ -210,6 +265,8 @@ class DailyRun:
         priority = F.array(*map(F.lit, self.config["selection"]["route_priority"]))
         place = F.array_position(priority, F.col("decision.route"))
         order = ranking.key(F.when(place == 0, 99).otherwise(place).alias("place"), (-F.coalesce("decision.score", F.lit(0.0))).alias("score"), "paper.version_id")
+        ready = self._routed("full").where("summary IS NOT NULL AND promotion_pending").select("base_id")
+        self._set(ready, stage=F.lit("summary_validated"))
         queue = self.store.save("full_queue", self._routed("full").where("summary IS NULL").withColumn("order", order))
         used = self._slots("full").count()
         tried = queue.select("base_id").limit(0)
@@ -243,6 +300,8 @@ class DailyRun:
         ready = self._eligible().where("outcome = 'eligible' AND NOT resend_pending").withColumn("needed", state.translation_stage(False))
         for stage in ("translation", "title_translation"):
             todo = self.store.save(f"need_{stage}", ready.where(F.col("needed") == stage).drop("needed"))
+            if todo.isEmpty():
+                continue
             answers = self._stage(stage, todo, self.analysis.translate)
             abstract = F.col("value.abstract_zh") if stage == "translation" else F.col("abstract_zh")
             self._set(answers, title_zh=F.col("value.title_zh"), abstract_zh=abstract)

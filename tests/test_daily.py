@@ -79,16 +79,48 @@ def test_quota_overflow_turns_light(spark, tmp_path):
     assert report["full"] == 5 and report["light"] == 3
 
 
-def test_unknown_delivery_is_recovered_until_the_chain_is_spent(spark, tmp_path):
+def test_unknown_delivery_is_recovered_until_the_chain_is_spent_and_can_be_retried(spark, tmp_path):
     source = fixture(tmp_path)
-    seen = []
-    for day in range(5):
+
+    def day(n, retry=False):
         delivery = MockDelivery("queued")
-        run, papers = start(spark, tmp_path, source, delivery, NOW + timedelta(days=day))
-        seen.append(run.run(papers)["status"])
-        if day == 1:
-            assert "补发" in delivery.sent[0][1]
-    assert seen == ["unknown", "unknown", "unknown", "none", "none"]
+        run, papers = start(spark, tmp_path, source, delivery, NOW + timedelta(days=n))
+        run.config["delivery"]["chain_attempts"] = 2
+        if retry:
+            run.retry("delivery", ["2610.00001"])
+        return run.run(papers)["status"], delivery.sent
+
+    assert day(0)[0] == "unknown"
+    status, sent = day(1)
+    assert status == "unknown" and "补发" in sent[0][1]
+    assert day(2) == ("none", [])
+    status, sent = day(3, retry=True)
+    assert status == "unknown" and "Paper 1" in sent[0][1] and "Paper 2" not in sent[0][1]
+
+
+def test_promotion_and_resend(spark, tmp_path):
+    source = fixture(tmp_path)
+    run, papers = start(spark, tmp_path, source, MockDelivery(), llm_summary=True)
+    run.run(papers)
+    with pytest.raises(ValueError, match="confirmed_light_only"):
+        run.promote(["2610.00001"])
+    with pytest.raises(ValueError, match="existing_record"):
+        run.promote(["2610.09999"])
+    delivery = MockDelivery()
+    again, papers = start(spark, tmp_path, source, delivery, NOW + timedelta(days=1), llm_summary=True)
+    again.resend(["2610.00001"])
+    report = again.run(papers)
+    assert (report["status"], report["full"], report["light"]) == ("confirmed", 1, 0) and not report["calls"].get("summary")
+    assert "Paper 1" in delivery.sent[0][1]
+
+
+def test_command_line_preview(spark, capsys):
+    from scholarsieve.__main__ import main
+
+    assert main(["config", "--abstract", "medical segmentation with a loss", "--category", "cs.CV"]) == 0
+    shown = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert shown["routes"] == ["medical_objective", "transferable_objective"] and shown["rule_trace"]["clauses"]
+    assert main(["config", "--abstract", "x", "--config", "/dev/null/none"]) == 2
 
 
 def test_only_one_run_at_a_time(spark, tmp_path):
