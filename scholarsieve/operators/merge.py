@@ -91,15 +91,17 @@ def admit(matched: DataFrame, known: DataFrame, limit: int) -> DataFrame:
     return matched.where(F.col("arrival") < F.coalesce(over.scalar(), F.lit(2**62)))
 
 
-def collect(scanned: DataFrame, rules: screening.RuleSet, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Screen each version, cap new ids, merge, then screen the merged record again.
+def collect(scanned: DataFrame, rules: screening.RuleSet, known: DataFrame | None = None, limit: int | None = None,
+            again=screening.match) -> DataFrame:
+    """Screen each version, cap new ids, merge, then screen the merged record again
+    (with `screening.trace` to also keep the evidence).
 
     The matches are stored once: the cap and the merge read them several times, and
     folding text is the costly part.
     """
     matched = cut_lineage(screening.match(scanned, rules).drop("routes"))
     kept = matched if limit is None else admit(matched, known, limit)
-    return screening.match(merge_versions(kept), rules)
+    return again(merge_versions(kept), rules)
 
 
 def by_ids(papers: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -201,11 +201,9 @@ class DailyRun:
     def collect(self, scanned: DataFrame) -> None:
         """Screen, cap, merge and upsert; independent of everything later."""
         known = self._papers().select("base_id")
-        found = merge.collect(scanned, self.rules, known, self.config["collection"]["max_candidates"]).drop("routes")
-        traced = rules.trace(found, self.rules)
+        traced = merge.collect(scanned, self.rules, known, self.config["collection"]["max_candidates"], again=rules.trace)
         content = ["version_id", "title", "abstract", "categories", "published", "updated", "authors", "pdf_url"]
-        routes = F.array_distinct(F.transform("rule_trace.clauses", lambda c: c["route"]))
-        incoming = self.store.save("collected", traced.select("base_id", F.struct(*content).alias("paper"), routes.alias("routes"), "rule_trace"))
+        incoming = self.store.save("collected", traced.select("base_id", F.struct(*content).alias("paper"), "routes", "rule_trace"))
         papers = self._papers()
         merged = merge.upsert(papers.withColumn("decision_status", F.col("decision.status")), incoming.drop("rule_trace"), self.now).drop("decision_status")
         kept = [c for c in papers.columns if c not in merged.columns]
