@@ -1,11 +1,20 @@
 """Times as UTC wall clock (TIMESTAMP_NTZ), independent of the session zone."""
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, functions as F
 
 SHANGHAI = "Asia/Shanghai"
 
 
+def utc(moment: datetime) -> Column:
+    """A literal UTC time; naive datetimes are taken as UTC already."""
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def parse_time(text: Column) -> Column:
     """ISO 8601 with a zone to UTC; naive or malformed text gives null."""
     zoned = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
@@ -14,27 +23,27 @@ def parse_time(text: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
-def iso(utc: Column) -> Column:
+def iso(time: Column) -> Column:
     """Python isoformat of a UTC time: microseconds only when present."""
-    micros = F.date_format(utc, "SSSSSS")
-    head = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(time, "SSSSSS")
+    head = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
     return F.concat(head, F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
 
 
-def local_time(utc: Column, zone: str = SHANGHAI) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+def local_time(time: Column, zone: str = SHANGHAI) -> Column:
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), time)
 
 
-def local_day(utc: Column, zone: str = SHANGHAI) -> Column:
-    return local_time(utc, zone).cast("date")
+def local_day(time: Column, zone: str = SHANGHAI) -> Column:
+    return local_time(time, zone).cast("date")
 
 
-def minute(utc: Column) -> Column:
-    return F.date_trunc("minute", utc).cast("timestamp_ntz")
+def minute(time: Column) -> Column:
+    return F.date_trunc("minute", time).cast("timestamp_ntz")
 
 
-def query_stamp(utc: Column) -> Column:
-    return F.date_format(utc, "yyyyMMddHHmm")
+def query_stamp(time: Column) -> Column:
+    return F.date_format(time, "yyyyMMddHHmm")
 
 
 def day_bounds(day: Column, zone: str) -> tuple[Column, Column]:

@@ -14,6 +14,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scholarsieve import config as settings, schema
+from scholarsieve.functions import clock
 from scholarsieve.operators import grounding, merge, ranking, render, rules, state
 from scholarsieve.sources.fixtures import Fixture
 from scholarsieve.sources.sinks import Conflict, Store
@@ -74,7 +75,7 @@ class DailyRun:
         self.spark = store.spark
         self.rules = rules.RuleSet.of(config["rules"])
         moment = (now or datetime.now(timezone.utc)).astimezone(timezone.utc)
-        self.now = F.lit(moment.replace(tzinfo=None)).cast("timestamp_ntz")
+        self.now = clock.utc(moment)
         self.day = moment.astimezone(ZoneInfo("Asia/Shanghai")).date()
         self.run_id = f"{moment:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
         self.modules = settings.modules(config)

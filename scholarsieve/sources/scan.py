@@ -17,7 +17,7 @@ MAX_SHARDS, MAX_DEPTH = 256, 24
 
 def window_scan(papers: DataFrame, start: datetime, end: datetime, categories=()) -> DataFrame:
     """Inclusive exact window; plain comparisons so the bounds reach the Parquet scan."""
-    kept = papers.where((F.col("published") >= F.lit(start).cast("timestamp_ntz")) & (F.col("published") <= F.lit(end).cast("timestamp_ntz")))
+    kept = papers.where((F.col("published") >= clock.utc(start)) & (F.col("published") <= clock.utc(end)))
     return kept.where(F.arrays_overlap("categories", F.array(*map(F.lit, categories)))) if categories else kept
 
 
