@@ -36,7 +36,7 @@ def papers(spark: SparkSession, folder: str) -> DataFrame:
     key = paper_key("doc_id")
     return d.select(
         "doc_id", key.alias("base_id"), F.concat(key, F.lit("v"), (F.col("doc_id") % 3 + 1).cast("string")).alias("version_id"),
-        F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("title"), F.col("text").alias("abstract"),
+        F.substring_index("text", " ", 6).alias("title"), F.col("text").alias("abstract"),
         F.array("lang", "source").alias("categories"),
         F.timestamp_add("MINUTE", F.col("doc_id"), ntz("2024-01-01 00:00:00")).cast("timestamp_ntz").alias("published"))
 
