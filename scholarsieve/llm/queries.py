@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scholarsieve.llm import decontamination, minhash, mixing, secrets, tokens, toxicity
+from scholarsieve.llm import decontamination, embeddings, html_text, licenses, minhash, mixing, repeats, secrets, tokens, toxicity
 
 QUERIES: dict = {}
 CHECKS: dict = {}
@@ -19,6 +19,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_license_scan(spark, folder):
+    """One row per document and license template that it contains."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query
 def op2_benchmark_decontamination(spark, folder):
     """One row per document and test item that it holds within the error budget."""
@@ -57,6 +63,33 @@ FROM rated
 """
 
 
+@query
+def op4_html_extraction(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op5_embedding_near_dedup(spark, folder):
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+CHECKS["op5_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id
+LEFT JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) c ON c.vec_id = v.vec_id
+"""
+
+
 @query
 def op6_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
@@ -69,6 +102,11 @@ def op7_token_files(spark, folder):
     return tokens.read_digest(files)
 
 
+@query
+def op8_suffix_dedup(spark, folder):
+    return repeats.repeats(table(spark, folder, "documents")).drop("spans")
+
+
 @query
 def op9_minhash_near_dedup(spark, folder):
     found = minhash.near_duplicates(table(spark, folder, "documents"), width=2)
