@@ -35,6 +35,17 @@ def effective(ballots: DataFrame) -> DataFrame:
     return best.select("base_id", "_b.vote", "_b.rule_trace")
 
 
+def effective_days(votes: DataFrame) -> DataFrame:
+    """(base_id, day, vote) that counts for each paper, from narrow ballots without traces.
+
+    Nothing but ids, days and votes is shuffled; join the frozen trace of that day afterwards,
+    for the votes that need it.
+    """
+    explicit = F.max(F.when(F.col("vote") != "pending", F.col("day")))
+    best = votes.groupBy("base_id").agg(F.coalesce(explicit, F.min("day")).alias("day"))
+    return votes.join(best, ["base_id", "day"])
+
+
 def _rated(votes: DataFrame) -> DataFrame:
     return votes.where(F.col("vote").isin("like", "dislike"))
 

@@ -165,7 +165,7 @@ def number_occurrences(df: DataFrame, doc: list[str], name: str, pos: str) -> Da
     """Second and later uses of a heading in a document get '#2', '#3', ..."""
     counted = ranking.running_totals(df.withColumn("_at", ranking.key(pos)), [*doc, name], "_at", {"occurrence": F.lit(1).cast("long")})
     suffix = F.when(F.col("occurrence") > 1, F.concat(F.lit("#"), F.col("occurrence"))).otherwise("")
-    return counted.drop("_at").withColumn("locator", F.concat(F.lit("section:"), F.col(name), suffix))
+    return counted.drop("_at").withColumn("locator", F.concat(F.lit("section:"), F.coalesce(name, F.lit("")), suffix))
 
 
 def bind_figures(required: DataFrame, captions: DataFrame, max_pages: int) -> DataFrame:

@@ -78,17 +78,22 @@ def merge_versions(papers: DataFrame, lists=("authors", "categories")) -> DataFr
     return united.withColumns({name: F.coalesce(name, F.array().cast("array<string>")) for name in lists})
 
 
+_LAST = 2**62
+
+
 def admit(matched: DataFrame, known: DataFrame, limit: int) -> DataFrame:
     """Stop reading at the first new base id beyond the cap, in arrival order.
 
     Known ids do not use the cap. `limit` is a configured bound (at most 10000),
-    so finding the cutoff keeps that many rows per task.
+    so finding the cutoff keeps that many rows per task. Rows without an arrival come
+    last and count as one.
     """
+    arrival = F.coalesce("arrival", F.lit(_LAST))
     # Reduced to one row per paper before it meets the known ids.
-    first = matched.groupBy("base_id").agg(F.min("arrival").alias("arrival"))
+    first = matched.groupBy("base_id").agg(F.min(arrival).alias("arrival"))
     news = first.join(known.select("base_id").distinct(), "base_id", "left_anti")
     over = news.orderBy("arrival").limit(limit + 1).agg(F.when(F.count("*") > limit, F.max("arrival")).alias("stop"))
-    return matched.where(F.col("arrival") < F.coalesce(over.scalar(), F.lit(2**62)))
+    return matched.where(arrival < F.coalesce(over.scalar(), F.lit(_LAST + 1)))
 
 
 def collect(scanned: DataFrame, rules: screening.RuleSet, known: DataFrame | None = None, limit: int | None = None,

@@ -3,7 +3,8 @@
 A window over a whole group sorts it in one task. Here a quota is a cutoff key
 found from at most k rows per group and map task (Spark's WindowGroupLimit runs
 below the shuffle), and running totals are taken over range-partitioned cells.
-All orders are one ascending struct column; descending numbers are negated.
+All orders are one ascending struct column; descending numbers are negated. A null
+group is a group like any other.
 """
 from __future__ import annotations
 
@@ -16,6 +17,13 @@ def key(*columns) -> Column:
     return F.struct(*(c if isinstance(c, Column) else F.col(c) for c in columns))
 
 
+def join_groups(left: DataFrame, right: DataFrame, group: list[str], how: str = "left") -> DataFrame:
+    """Join on group columns where a null is a group like any other."""
+    renamed = right.withColumnsRenamed({c: f"_g_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    return left.join(renamed, same, how).drop(*(f"_g_{c}" for c in group))
+
+
 def kth(df: DataFrame, group: list[str], order: str, k: int, out: str = "_cutoff") -> DataFrame:
     """The k-th smallest order key of every group that has at least k rows."""
     ranked = df.select(*group, order).withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
@@ -33,7 +41,7 @@ def mark_quota(df: DataFrame, group: list[str], order: str, k: int, counts: Colu
         return df.withColumn(out, F.lit(False))
     users = df if counts is None else df.where(counts)
     # At most one row per group.
-    joined = df.join(sized(kth(users, group, order, k)), group, "left")
+    joined = join_groups(df, sized(kth(users, group, order, k)), group)
     return joined.withColumn(out, F.col("_cutoff").isNull() | (F.col(order) <= F.col("_cutoff"))).drop("_cutoff")
 
 
@@ -41,7 +49,7 @@ def fill_slots(queue: DataFrame, taken: DataFrame, group: list[str], order: str,
     """First rows of the queue for the slots that `taken` rows have left free in each group."""
     ranked = queue.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(order))).where(F.col("rank") <= k)
     used = taken.groupBy(*group).agg(F.count("*").alias("_used"))
-    return ranked.join(used, group, "left").where(F.col("rank") <= k - F.coalesce("_used", F.lit(0))).drop("_used")
+    return join_groups(ranked, used, group).where(F.col("rank") <= k - F.coalesce("_used", F.lit(0))).drop("_used")
 
 
 def running_totals(df: DataFrame, group: list[str], order: str, totals: dict[str, Column],
@@ -63,7 +71,7 @@ def running_totals(df: DataFrame, group: list[str], order: str, totals: dict[str
                .select(*group, "_cell", *(F.coalesce(F.sum(f"_s_{n_}").over(before), F.lit(0)).alias(f"_b_{n_}") for n_ in totals)))
     within = Window.partitionBy(*group, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = cells.withColumns({f"_w_{n_}": F.sum(f"_v_{n_}").over(within) for n_ in totals})
-    joined = summed.join(offsets, [*group, "_cell"])
+    joined = join_groups(summed, offsets, [*group, "_cell"], "inner")
     return (joined.withColumns({n_: F.col(f"_b_{n_}") + F.col(f"_w_{n_}") for n_ in totals})
             .drop("_cell", *(p + n_ for n_ in totals for p in ("_v_", "_s_", "_b_", "_w_"))))
 

@@ -97,6 +97,42 @@ def _matched(papers: DataFrame, rules: RuleSet) -> DataFrame:
     return hits.withColumn("routes", _routes(rules)).where(F.size("routes") > 0)
 
 
+def routes_of(papers: DataFrame, rule_sets: dict[str, RuleSet]) -> DataFrame:
+    """Routes of every paper under several rule sets, one column each (null where it does not match).
+
+    Fields are folded once, and a phrase list that several sets share is tested once.
+    """
+    fields = tuple(f for f in FIELDS if any(f in rules.fields for rules in rule_sets.values()))
+    work = papers.withColumns({f"_{f}": once(text.match_form(F.col(f))) for f in fields})
+    tests: dict[tuple, tuple[str, Column]] = {}
+
+    def tested(phrases, rules):
+        key = (tuple(phrases), rules.fields)
+        if key not in tests:
+            tests[key] = f"t{len(tests)}", _in_any_field(phrases, rules)
+        return tests[key][0]
+
+    named = {name: ({g: tested(p, rules) for g, p in rules.groups.items()}, tested(rules.exclude, rules) if rules.exclude else None)
+             for name, rules in rule_sets.items()}
+    work = work.withColumn("_tests", once(F.struct(*(test.alias(label) for label, test in tests.values()))))
+    for name, rules in rule_sets.items():
+        groups, excluded = named[name]
+        passes = in_category(rules) & (F.lit(True) if excluded is None else ~F.col("_tests")[excluded])
+        found = F.array_compact(F.array(*(F.when(_any_clause(clauses, lambda g: F.col("_tests")[groups[g]]), F.lit(route)) for route, clauses in rules.routes.items())))
+        work = work.withColumn(name, F.when(passes & (F.size(found) > 0), found))
+    return work.drop("_tests", *(f"_{f}" for f in fields))
+
+
+def _any_clause(clauses, hit) -> Column:
+    met = F.lit(False)
+    for clause in clauses:
+        every = F.lit(True)
+        for group in dict.fromkeys(clause):
+            every = every & hit(group)
+        met = met | every
+    return met
+
+
 def match(papers: DataFrame, rules: RuleSet) -> DataFrame:
     """Papers hit by at least one route, with `routes` in configured order."""
     return _drop_work(_matched(papers, rules))

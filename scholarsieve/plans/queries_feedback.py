@@ -10,15 +10,28 @@ from scholarsieve.plans.registry import query, table
 _VOTES = "CASE event_type WHEN 'click' THEN 'like' WHEN 'error' THEN 'dislike' WHEN 'signup' THEN 'conflict' ELSE 'pending' END"
 
 
-def _ballots(spark, d):
-    """Events as daily ballots on documents: one per (day, document), with the rule trace frozen in."""
-    vote = F.expr(_VOTES)
-    documents = s.papers(spark, d)
+def _votes(spark, d):
+    """Events as daily votes on documents: one per (day, document)."""
+    documents = table(spark, d, "documents")
     size = documents.agg(F.max("doc_id") + 1).scalar()
-    votes = table(spark, d, "events").withColumn("doc_id", (F.col("event_id") * 7919) % size).groupBy("doc_id", F.to_date("ts").alias("day")) \
-        .agg(F.max_by(vote, "event_id").alias("vote"))
-    traced = rules.trace(documents, s.CORPUS_RULES).select("doc_id", "base_id", "rule_trace")
-    return votes.join(traced, "doc_id")
+    return table(spark, d, "events").withColumn("doc_id", (F.col("event_id") * 7919) % size).groupBy("doc_id", F.to_date("ts").alias("day")) \
+        .agg(F.max_by(F.expr(_VOTES), "event_id").alias("vote"))
+
+
+def _traced(spark, d):
+    return rules.trace(s.papers(spark, d), s.CORPUS_RULES).select("doc_id", "base_id", "rule_trace")
+
+
+def _ballots(spark, d):
+    """Daily ballots with the rule trace frozen in."""
+    return _votes(spark, d).join(_traced(spark, d), "doc_id")
+
+
+def _effective(spark, d):
+    """Votes reduced to the effective one before they meet the traces."""
+    votes = feedback.effective_days(_votes(spark, d).withColumn("base_id", s.paper_key("doc_id")))
+    rated = votes.where(F.col("vote").isin("like", "dislike")).select("doc_id", "vote")
+    return _traced(spark, d).join(rated, "doc_id")
 
 
 _BALLOTS = f"""{s.PAPERS}, {s.sql_matched(s.CORPUS_RULES)},
@@ -51,7 +64,7 @@ _COUNTS = "count(*) FILTER (vote = 'like') AS \"like\", count(*) FILTER (vote =
     SELECT '{s.CORPUS_RULES.fingerprint}' AS rules_fingerprint, 'matched' AS source, route, groups, {_COUNTS}
     FROM effective JOIN clauses USING (doc_id) WHERE vote IN ('like', 'dislike') GROUP BY route, groups""")
 def tally_combinations(spark, d):
-    counts = feedback.tally_combinations(feedback.effective(_ballots(spark, d)))
+    counts = feedback.tally_combinations(_effective(spark, d))
     return counts.withColumn("groups", F.array_join("groups", "+"))
 
 
@@ -70,7 +83,7 @@ def _keywords() -> str:
     WITH {_BALLOTS}, units AS ({_keywords()})
     SELECT route, groups, "group", keyword, {_COUNTS} FROM effective JOIN units USING (doc_id) WHERE vote IN ('like', 'dislike') GROUP BY ALL""")
 def tally_keywords(spark, d):
-    counts = feedback.tally_keywords(feedback.effective(_ballots(spark, d)))
+    counts = feedback.tally_keywords(_effective(spark, d))
     return counts.withColumn("groups", F.array_join("groups", "+")).drop("rules_fingerprint", "source")
 
 
@@ -80,15 +93,19 @@ def rated_papers(spark, d):
 
 
 @query(f"""
-    WITH {_BALLOTS}, clauses AS ({_clauses()}),
+    WITH {_BALLOTS}, clauses AS ({_clauses()}), units AS ({_keywords()}),
+    words AS (SELECT route, groups, "group", keyword, {_COUNTS} FROM effective JOIN units USING (doc_id) WHERE vote IN ('like', 'dislike') GROUP BY ALL),
     counts AS (SELECT route, groups, {_COUNTS} FROM effective JOIN clauses USING (doc_id) WHERE vote IN ('like', 'dislike') GROUP BY route, groups)
     SELECT 'combinations' AS part, route, replace(groups, '+', ' + ') AS combination,
            '| {s.CORPUS_RULES.fingerprint[:12]} / matched | ' || replace(route, '_', '\\_') || ' | ' || replace(groups, '+', ' + ') || ' | ' || "like" || ' | ' || dislike || ' |' AS line
-    FROM counts""")
+    FROM counts UNION ALL
+    SELECT 'keywords', route, replace(groups, '+', ' + '),
+           '| {s.CORPUS_RULES.fingerprint[:12]} / matched | ' || replace(route, '_', '\\_') || ' / ' || replace(groups, '+', ' + ') || ' | ' || replace("group", '_', '\\_') || ' | ' || keyword
+           || ' | ' || "like" || ' | ' || dislike || ' |' FROM words""")
 def feedback_report(spark, d):
-    votes = feedback.effective(_ballots(spark, d))
+    votes = _effective(spark, d)
     lines = feedback.summary_lines(feedback.tally_combinations(votes), feedback.tally_keywords(votes))
-    return lines.where("part = 'combinations'").select("part", "route", "combination", "line")
+    return lines.select("part", "route", "combination", "line")
 
 
 def _issue_bodies(spark, d):
@@ -100,7 +117,7 @@ def _issue_bodies(spark, d):
     dislike = box(F.when(n % 3 == 0, "X").otherwise(" "), "dislike")
     doubled = F.when(n % 5 == 0, like)
     quoted = F.concat(F.lit("quote - [x] <!-- vote:"), key, F.lit(":like --> inline"))
-    body = F.concat_ws("\n", F.substring_index("text", "\n", 1), quoted, like, F.when(n % 7 > 0, dislike), doubled, F.lit(""))
+    body = F.concat_ws("\n", "text", quoted, like, F.when(n % 7 > 0, dislike), doubled, F.lit(""))
     return table(spark, d, "documents").select(F.col("source").alias("day"), key.alias("base_id"), body.alias("body"))
 
 

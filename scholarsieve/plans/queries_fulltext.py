@@ -136,10 +136,12 @@ def page_quality(spark, d):
 
 
 @query("""
-    SELECT conv_id, turn, 'section:' || role || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS locator
-    FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)""")
+    SELECT conv_id, turn, 'section:' || coalesce(role, '') || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS locator
+    FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n
+          FROM (SELECT conv_id, turn, CASE WHEN turn % 3 > 0 THEN role END AS role FROM conversations))""")
 def section_numbering(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    # Every third heading is unknown.
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 > 0, F.col("role")).alias("role"))
     return fulltext.number_occurrences(turns, ["conv_id"], "role", "turn").select("conv_id", "turn", "locator")
 
 

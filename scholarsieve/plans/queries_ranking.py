@@ -15,17 +15,17 @@ _BY_PRIORITY = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def _queue(spark, d):
-    """Orders as selected papers: order priority is the route, price the score, date the day."""
+    """Orders as selected papers: order priority is the route, price the score, date the day (unknown for some)."""
     orders = table(spark, d, "orders")
     route = F.element_at(F.array(*map(F.lit, _PRIORITY)), F.substring("o_orderpriority", 1, 1).cast("int"))
     place = F.array_position(F.array(*map(F.lit, _PRIORITY)), F.col("route"))
     return orders.withColumn("route", route).select(
-        "o_orderkey", F.to_date("o_orderdate").alias("day"), "route", "o_orderstatus",
+        "o_orderkey", F.when(F.col("o_custkey") % 50 != 0, F.to_date("o_orderdate")).alias("day"), "route", "o_orderstatus",
         ranking.key(F.when(place == 0, 10).otherwise(place).alias("place"), (-F.col("o_totalprice")).alias("score"), "o_orderkey").alias("order"))
 
 
 _QUEUE = f"""queue AS (
-    SELECT o_orderkey, o_orderdate::DATE AS day, [{', '.join(f"'{r}'" for r in _PRIORITY)}][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS route, o_orderstatus,
+    SELECT o_orderkey, CASE WHEN o_custkey % 50 <> 0 THEN o_orderdate::DATE END AS day, [{', '.join(f"'{r}'" for r in _PRIORITY)}][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS route, o_orderstatus,
            CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS place, o_totalprice AS score FROM orders)"""
 
 
@@ -59,25 +59,25 @@ def first_k_successes(spark, d):
 
 
 @query("""
-    WITH errors AS (SELECT event_id, (ts + INTERVAL 8 HOUR)::DATE AS day, value FROM events WHERE event_type = 'error'),
+    WITH errors AS (SELECT event_id, CASE WHEN user_id % 9 <> 0 THEN (ts + INTERVAL 8 HOUR)::DATE END AS day, value FROM events WHERE event_type = 'error'),
     used AS (SELECT day, count(*) AS n FROM errors WHERE value > 200 GROUP BY day),
     ranked AS (SELECT event_id, day, row_number() OVER (PARTITION BY day ORDER BY value DESC, event_id) AS rank FROM errors WHERE value <= 200)
-    SELECT event_id, CAST(day AS VARCHAR) AS day, rank FROM ranked LEFT JOIN used USING (day) WHERE rank <= 5 - coalesce(n, 0)""")
+    SELECT event_id, CAST(ranked.day AS VARCHAR) AS day, rank FROM ranked LEFT JOIN used ON ranked.day IS NOT DISTINCT FROM used.day WHERE rank <= 5 - coalesce(n, 0)""")
 def review_topk_per_day(spark, d):
     errors = table(spark, d, "events").where("event_type = 'error'").select(
-        "event_id", "value", clock.local_day(F.col("ts")).alias("day"), ranking.key((-F.col("value")).alias("score"), "event_id").alias("order"))
+        "event_id", "value", F.when(F.col("user_id") % 9 != 0, clock.local_day(F.col("ts"))).alias("day"), ranking.key((-F.col("value")).alias("score"), "event_id").alias("order"))
     # Scores above 200 were reviewed earlier in the day and hold their slots.
     picks = ranking.fill_slots(errors.where("value <= 200"), errors.where("value > 200"), ["day"], "order", 5)
     return picks.select("event_id", F.col("day").cast("string").alias("day"), "rank")
 
 
 @query("""
-    WITH attempts AS (SELECT event_id, ts, (ts + INTERVAL 8 HOUR)::DATE AS day FROM events WHERE event_type = 'purchase'),
+    WITH attempts AS (SELECT event_id, ts, CASE WHEN user_id % 9 <> 0 THEN (ts + INTERVAL 8 HOUR)::DATE END AS day FROM events WHERE event_type = 'purchase'),
     counted AS (SELECT event_id, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS n FROM attempts)
     SELECT event_id, CASE WHEN n * 2 <= 5 THEN 'send' ELSE 'deferred' END AS outcome FROM counted""")
 def send_quota_ledger(spark, d):
     attempts = table(spark, d, "events").where("event_type = 'purchase'").select(
-        "event_id", clock.local_day(F.col("ts")).alias("day"), ranking.key("ts", "event_id").alias("order"))
+        "event_id", F.when(F.col("user_id") % 9 != 0, clock.local_day(F.col("ts"))).alias("day"), ranking.key("ts", "event_id").alias("order"))
     return ledger.send_quota(attempts, "day", "order", daily_limit=5, poll_limit=1, polls_count=True).select("event_id", "outcome")
 
 
@@ -86,14 +86,14 @@ def _usage(spark, d):
     rows = table(spark, d, "lineitem")
     unknown = (F.col("l_partkey") % 97 == 0) & (F.col("l_linenumber") == 7)
     return rows.select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.date_format("l_shipdate", "yyyy-MM").alias("run_id"),
+        "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_suppkey") % 10 != 0, F.date_format("l_shipdate", "yyyy-MM")).alias("run_id"),
         F.when(~unknown, F.col("l_extendedprice").cast("long")).alias("prompt_tokens"), F.col("l_partkey").alias("cached_tokens"),
         (F.col("l_quantity") * 10).cast("long").alias("completion_tokens"),
         ranking.key("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("order"))
 
 
 _USAGE = """usage AS (
-    SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_suppkey, l_extendedprice, l_quantity, strftime(l_shipdate, '%Y-%m') AS run_id,
+    SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_suppkey, l_extendedprice, l_quantity, CASE WHEN l_suppkey % 10 <> 0 THEN strftime(l_shipdate, '%Y-%m') END AS run_id,
            CASE WHEN l_partkey % 97 = 0 AND l_linenumber = 7 THEN NULL ELSE CAST(trunc(l_extendedprice) AS BIGINT) END AS prompt_tokens,
            l_partkey AS cached_tokens, CAST(l_quantity * 10 AS BIGINT) AS completion_tokens FROM lineitem),
     priced AS (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scholarsieve.functions.ids import fingerprint
 from scholarsieve.operators import lab, rules
 from scholarsieve.plans import stand_ins as s
-from scholarsieve.plans.registry import query
+from scholarsieve.plans.registry import query, table
 
 _GROUPS = list(s.CORPUS["groups"])
 
@@ -96,11 +96,28 @@ def lab_screen_snapshot(spark, d):
     FROM before b FULL JOIN after a ON a.base_id = b.base_id
     WHERE b.base_id IS NULL OR a.base_id IS NULL OR list_sort(a.routes) <> list_sort(b.routes)""")
 def lab_compare_rule_versions(spark, d):
-    papers = s.papers(spark, d)
-    changes = lab.compare(rules.match(papers, s.CORPUS_RULES), rules.match(papers, s.EDITED_RULES))
+    changes = lab.compare_rules(s.papers(spark, d), s.CORPUS_RULES, s.EDITED_RULES)
     return changes.select("base_id", "change", F.array_join("old", ",").alias("old"), F.array_join("new", ",").alias("new"))
 
 
+_NARROW_EVENTS = ("click", "error")
+
+
+@query("""
+    WITH halves AS (
+        SELECT event_id % 500 AS id, list_sort(list_distinct(list(event_type) FILTER (event_type IN ('click', 'error') AND user_id % 2 = 0))) AS old,
+               list_sort(list_distinct(list(event_type) FILTER (event_type IN ('click', 'error') AND user_id % 2 = 1))) AS new FROM events GROUP BY 1)
+    SELECT CAST(id AS VARCHAR) AS base_id, array_to_string(old, ',') AS old, array_to_string(new, ',') AS new,
+           CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed_routes' END AS change
+    FROM halves WHERE old IS DISTINCT FROM new""")
+def lab_compare_snapshots(spark, d):
+    """Two different snapshots of matches: the event types of each half of the users are the routes."""
+    events = table(spark, d, "events").where(F.col("event_type").isin(*_NARROW_EVENTS))
+    half = lambda n: (events.where(F.col("user_id") % 2 == n).groupBy((F.col("event_id") % 500).cast("string").alias("base_id"))
+                      .agg(F.collect_set("event_type").alias("routes")))
+    return lab.compare(half(0), half(1)).select("base_id", "change", F.array_join("old", ",").alias("old"), F.array_join("new", ",").alias("new"))
+
+
 @query(f"""
     WITH {s.PAPERS}
     SELECT doc_id, sha256('{{"base_id":"' || base_id || '","doc_id":' || doc_id || ',"version_id":"' || version_id || '"}}') AS fingerprint

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scholarsieve.functions.text import html_escape
 
 
+POINTER = "POINTER-"
+
+
 class Conflict(RuntimeError):
     """An immutable snapshot was about to change, or another writer holds the store."""
 
@@ -16,8 +19,10 @@ class Conflict(RuntimeError):
 class Store:
     """Tables of one deployment under a root folder on any Hadoop file system.
 
-    Every write goes to a fresh version folder; a one-line pointer file is then
-    replaced, so readers and retried tasks never see half a table.
+    Every write goes to a fresh version folder; a numbered pointer file is then created
+    beside the older ones. The newest complete pointer wins, nothing is deleted or
+    replaced, so readers, retried tasks and crashes between the steps never see half a
+    table or an empty one.
     """
 
     FORMAT = "1"
@@ -58,11 +63,26 @@ class Store:
         if not self._fs.rename(self._path(staged), self._path(path)):
             raise Conflict(f"pointer_swap_failed:{path}")
 
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def _pointer(self, table: str) -> tuple[int, str | None]:
+        """Highest pointer number and the newest version that a complete pointer names."""
+        numbers = sorted((int(n[len(POINTER):]) for n in self._names(f"{self.root}/{table}") if n.startswith(POINTER)), reverse=True)
+        for number in numbers:
+            version = self._read_text(f"{self.root}/{table}/{POINTER}{number:012d}")
+            if version and version.endswith("\n"):  # a pointer cut off while it was written lacks its end
+                return numbers[0], version.strip()
+        return (numbers or [0])[0], None
+
     def save(self, table: str, df: DataFrame) -> DataFrame:
         """Write a new version and point at it; returns the stored table."""
+        number, _ = self._pointer(table)
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{table}/{version}")
-        self._swap(f"{self.root}/{table}/CURRENT", version)
+        # Creating fails if another writer has taken the number meanwhile.
+        self._write_text(f"{self.root}/{table}/{POINTER}{number + 1:012d}", version + "\n", overwrite=False)
         if self.publisher is not None:
             try:
                 self.publisher(table, version)
@@ -71,16 +91,22 @@ class Store:
         return self.load(table)
 
     def load(self, table: str) -> DataFrame | None:
-        version = self._read_text(f"{self.root}/{table}/CURRENT")
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{table}/{version.strip()}")
+        """The newest version; None only for a table that was never written."""
+        _, version = self._pointer(table)
+        if version is not None:
+            return self.spark.read.parquet(f"{self.root}/{table}/{version}")
+        if self._names(f"{self.root}/{table}"):
+            raise Conflict(f"state_corrupt: {table} has versions but no pointer")
+        return None
 
     def append(self, log: str, df: DataFrame) -> None:
         """Add rows to a log; the file committer makes each append all or nothing."""
         df.write.mode("append").parquet(f"{self.root}/{log}.log")
 
     def log(self, log: str, schema: str) -> DataFrame:
+        """All rows of a log; success markers play no part, they may be switched off."""
         path = f"{self.root}/{log}.log"
-        if not self._fs.exists(self._path(f"{path}/_SUCCESS")):
+        if not any(not name.startswith(("_", ".")) for name in self._names(path)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 

@@ -14,9 +14,9 @@ from scholarsieve.sources.sinks import Store
 
 
 def split_late(papers: DataFrame, now, lookback_days: int) -> tuple[DataFrame, DataFrame]:
-    """(within the lookback, too old)."""
-    floor = now - F.expr(f"interval {int(lookback_days)} days")
-    return papers.where(F.col("published") >= floor), papers.where(F.col("published") < floor)
+    """(within the lookback, too old or without a time): every row is in one of them."""
+    on_time = F.coalesce(F.col("published") >= now - F.expr(f"interval {int(lookback_days)} days"), F.lit(False))
+    return papers.where(on_time), papers.where(~on_time)
 
 
 def screen_batches(stream: DataFrame, make_run, store: Store, checkpoint: str, lookback_days: int = 14) -> StreamingQuery:
