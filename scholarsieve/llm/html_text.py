@@ -117,10 +117,11 @@ class _Lines(HTMLParser):
             self._pop()
 
     def handle_endtag(self, tag):
-        if tag == "p" and not any(t == "p" for t, _, _ in self.stack):
-            self._end_line()
+        if tag in VOID:
             return
-        if tag in VOID or not any(t == tag for t, _, _ in self.stack):
+        if not any(t == tag for t, _, _ in self.stack):
+            if tag not in INLINE:  # a stray end tag still parts blocks
+                self._end_line()
             return
         if tag not in INLINE:
             self._end_line()
