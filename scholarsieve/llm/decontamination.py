@@ -69,27 +69,61 @@ def best_distance(pattern: str, text: str, most: int) -> int:
 
 
 class Matcher:
+    """Finds items in plain texts.
+
+    A piece hit is first tried on its family of two or three neighbouring pieces: if an item occurs with at most
+    k errors, some family of m pieces holds an unchanged piece and has at most m - 1 errors in all (the families'
+    budgets plus one sum up to the item's). Then a half of some other piece of the family, too, stands unchanged
+    near its place, which a substring test rejects at once. Only hits whose family passes reach the whole item.
+    """
+
     def __init__(self, items: list[tuple[int, str]], tolerance: float = TOLERANCE):
         self.items = items
         self.most = [budget(len(text), tolerance) for _, text in items]
-        self.pieces: dict[str, list[tuple[int, int]]] = {}
+        self.pieces: dict[str, list[tuple]] = {}
         for i, (_, text) in enumerate(items):
-            for start, piece in cut(text, self.most[i] + 1):
-                self.pieces.setdefault(piece, []).append((i, start))
+            cuts = cut(text, self.most[i] + 1)
+            for j, (start, piece) in enumerate(cuts):
+                family = self._family(j, len(cuts))
+                first, last = cuts[family[0]][0], cuts[family[-1]][0] + len(cuts[family[-1]][1])
+                others = tuple((cuts[o][0] - start, len(cuts[o][1]), *self._halves(cuts[o][1])) for o in family if o != j)
+                self.pieces.setdefault(piece, []).append((i, start, text[first:last], start - first, len(family) - 1, others))
         self.machine = ahocorasick.Automaton()
         for piece in self.pieces:
-            self.machine.add_word(piece, piece)
+            self.machine.add_word(piece, (len(piece), self.pieces[piece]))
         if self.pieces:
             self.machine.make_automaton()
 
+    @staticmethod
+    def _family(j: int, n: int) -> list[int]:
+        """Pieces 0-1, 2-3, ...; of an odd number the last three are one family."""
+        first = min(j // 2 * 2, max(0, (n // 2 - 1) * 2))
+        return list(range(first, n if first + 3 >= n else first + 2))
+
+    @staticmethod
+    def _halves(piece: str) -> tuple[str, str]:
+        return piece[:len(piece) // 2], piece[len(piece) // 2:]
+
     def search(self, text: str) -> dict[int, int]:
         """Item index -> smallest distance, for the items within their budget somewhere in the plain text."""
         spans: dict[int, list[tuple[int, int]]] = {}
         if not self.pieces:
             return {}
-        for end, piece in self.machine.iter(text):
-            for i, start in self.pieces[piece]:
-                begin = end + 1 - len(piece) - start  # where the item begins if nothing is inserted or lost before
+        for end, (length, uses) in self.machine.iter(text):
+            at = end + 1 - length
+            for i, start, family, offset, errors, others in uses:
+                for shift, size, left, right in others:
+                    near = text[max(0, at + shift - 2):at + shift + size + 2]
+                    if left in near or right in near:
+                        break
+                else:
+                    if others:
+                        continue
+                if others:
+                    near = text[max(0, at - offset - errors):at - offset + len(family) + errors]
+                    if family not in near and best_distance(family, near, errors) > errors:
+                        continue
+                begin = at - start  # where the item begins if nothing is inserted or lost before
                 spans.setdefault(i, []).append((begin - self.most[i], begin + len(self.items[i][1]) + self.most[i]))
         found = {}
         for i, windows in spans.items():
