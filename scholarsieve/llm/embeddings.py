@@ -14,6 +14,8 @@ gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -102,6 +104,26 @@ class Graph:
         for level in range(self.top, -1, -1):
             self._build(level, order[self.levels[order] >= level], build_beam, neighbours)
 
+    def to_bytes(self, **more: np.ndarray) -> bytes:
+        """The graph and further arrays as one array file."""
+        out = io.BytesIO()
+        np.savez(out, vectors=self.vectors, top_entry=np.array([self.top, self.entry]), **{f"layer{i}": layer.links for i, layer in enumerate(self.layers)}, **more)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> tuple["Graph", dict]:
+        arrays = dict(np.load(io.BytesIO(data)))
+        graph = cls.__new__(cls)
+        graph.vectors = arrays.pop("vectors")
+        graph.top, graph.entry = map(int, arrays.pop("top_entry"))
+        graph.layers = []
+        for i in range(graph.top + 1):
+            links = arrays.pop(f"layer{i}")
+            layer = Layer.__new__(Layer)
+            layer.width, layer.links = links.shape[1], links
+            graph.layers.append(layer)
+        return graph, arrays
+
     def _entries(self, queries, down_to: int) -> np.ndarray:
         at = np.full((len(queries), 1), self.entry)
         for level in range(self.top, down_to, -1):
@@ -192,16 +214,15 @@ def _build_index(pdf: pd.DataFrame) -> pd.DataFrame:
     first = pdf.iloc[0]
     vectors = _unpacked(pdf["vector"], int(first["dim"]))
     graph = Graph(vectors / np.linalg.norm(vectors, axis=1)[:, None])
-    import pickle
-    return pd.DataFrame([{"label": first["label"], "dim": first["dim"], "shard": first["shard"], "blocks": first["blocks"],
-                          "graph": pickle.dumps((graph, vectors, pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)))}])
+    data = graph.to_bytes(exact=vectors, reps=pdf["rep"].to_numpy(np.int64), copies=pdf["copies"].to_numpy(np.int64))
+    return pd.DataFrame([{"label": first["label"], "dim": first["dim"], "shard": first["shard"], "blocks": first["blocks"], "graph": data}])
 
 
 def _search_block(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-    import pickle
     out = [np.zeros((0, 3), np.int64)]
     if len(queries) and len(shards):
-        graph, vectors, reps, copies = pickle.loads(shards["graph"].iloc[0])
+        graph, arrays = Graph.from_bytes(shards["graph"].iloc[0])
+        vectors, reps, copies = arrays["exact"], arrays["reps"], arrays["copies"]
         asked = queries["rep"].to_numpy(np.int64)
         links, _ = search(graph, vectors, _unpacked(queries["vector"], vectors.shape[1]))
         parent: dict[int, int] = {}
