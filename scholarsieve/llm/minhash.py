@@ -7,9 +7,10 @@ next rank exceeds every slot's value.
 
 Bands of `rows` slots find candidates: at similarity 0.8, 32 bands of 5 slots miss a pair with probability
 (1 - 0.8^5)^32 < 4e-6. Documents with equal shingle sets are one class before banding, so copies never pair.
-Within a bucket no all-pairs list is made: every member meets the bucket's smallest member; then, component by
-component, the members outside the bucket's largest component meet the rest, until each bucket is one component
-or every remaining cross pair has been compared. All meetings are confirmed on full shingle sets.
+Every member of a bucket meets the bucket's smallest member; links are confirmed on full shingle sets and united.
+Buckets that are one component then are done. The members of the others form families (buckets that share members
+belong together), and a family is compared in blocks: a task multiplies the shingle incidence of two blocks, which
+gives all exact intersections at once, and returns a spanning forest of the links it finds, never a list of pairs.
 
 Nulls and edge cases: null or wordless texts have no shingles and link with nothing; fewer words than the
 shingle width make one shingle of all of them; rows with a null doc_id are left out; rows repeating a doc_id
@@ -20,14 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from scholarsieve.llm.common import GOLDEN, byte_blocks, components, hashed_shingles, mix, small_enough, stored
 
 BANDS = 32
 ROWS = 5
 PERCENT = 80
-HUBS = 8  # members per bucket and round that meet all others
+BLOCK_DOCS = 256  # documents of a family that are compared with another such block in one task
 
 
 def super_minhash(values: np.ndarray, bounds: np.ndarray, slots: int) -> np.ndarray:
@@ -112,21 +113,65 @@ def _confirm(percent: int):
     return check
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links among the candidate pairs (a, b), and the shingle sets read so far."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, width: int, known: DataFrame | None = None) -> DataFrame:
+    """Stored (doc_id, shingles, n) of the documents `ids` (rep), besides those already known."""
+    ids = ids.select(F.col("rep").alias("doc_id")).distinct()
     if known is not None:
         ids = ids.join(known.select("doc_id"), "doc_id", "left_anti")
-    ids = stored(ids, "near-ids")
-    texts = docs.select("doc_id", "text").join(small_enough(ids, 16), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(small_enough(stored(ids, "near-ids"), 16), "doc_id", "left_semi")
     made = stored(texts.mapInArrow(_set_maker(width), "doc_id long, shingles binary, n long"), "near-sets")
-    sets = made if known is None else known.unionByName(made)
-    both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb"))
-    return stored(both.mapInArrow(_confirm(percent), "a long, b long"), "near-links"), sets
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    return made if known is None else known.unionByName(made)
+
+
+def _forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a graph given by its adjacency matrix."""
+    waiting, edges = np.ones(len(adjacent), bool), []
+    for root in range(len(adjacent)):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        reached = [root]
+        while reached:
+            node = reached.pop()
+            fresh = np.flatnonzero(adjacent[node] & waiting)
+            waiting[fresh] = False
+            edges += [(node, int(other)) for other in fresh]
+            reached += fresh.tolist()
+    return edges
+
+
+def links_among(sets: list[np.ndarray], side: np.ndarray, percent: int, columns: int = 8192) -> list[tuple[int, int]]:
+    """Spanning forest of the links between sets of different sides (of all sets where there is one side)."""
+    count = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), count)
+    value, column, uses = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    shared = uses[column] > 1  # others are in no intersection
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [first, first + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        common += part @ part.T
+    linked = 100 * common >= percent * (count[:, None] + count[None, :] - common)
+    if side.any() and not side.all():
+        linked &= side[:, None] != side[None, :]
+    np.fill_diagonal(linked, False)
+    return _forest(linked)
+
+
+def _compare(percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("rep").to_numpy()
+        side = np.asarray(table.column("block")) == np.asarray(table.column("high"))
+        edges = links_among([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], side, percent)
+        return pa.table({"a": pa.array([ids[x] for x, _ in edges], pa.int64()), "b": pa.array([ids[y] for _, y in edges], pa.int64())})
+    return compare
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest doc_id reachable by links."""
     signed = stored(signatures(docs, width, bands, rows), "near-signatures")
     some = signed.where("n > 0")
@@ -134,36 +179,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
     members = classes.select("rep", "n", F.explode("keys").alias("key"))
     # Hub = smallest member; buckets of one member end here.
     shared = members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("hub")).where("c > 1").drop("c")
-    buckets = stored(members.join(shared, "key"), "near-buckets")
-
-    def sized(a, b):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    pairs = (buckets.where((F.col("rep") != F.col("hub.rep")) & sized(F.col("n"), F.col("hub.n")))
-             .select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    links, sets = _verified(stored(pairs, "near-pairs"), docs, width, percent, None)
-    buckets = buckets.select("key", "rep", "n", (F.col("rep") == F.col("hub.rep")).alias("met"))
-    while True:
-        found = stored(components(links), "near-components")
-        placed = (buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-                  .withColumn("component", F.coalesce("component", "rep")))
-        # Per bucket and component, then per bucket: only buckets with several components go on.
-        counts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-        largest = (counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
-        open_ = stored(placed.join(largest, "key"), "near-open")
-        first = Window.partitionBy("key").orderBy("rep")
-        hubs = stored(open_.where("component <> main and not met").withColumn("k", F.row_number().over(first)).where(F.col("k") <= HUBS)
-                      .select("key", F.col("rep").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc")), "near-hubs")
-        if hubs.isEmpty():
-            break
-        fresh = (open_.join(hubs, "key").where((F.col("component") != F.col("hc")) & sized(F.col("n"), F.col("hn")))
-                 .select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct())
-        more, sets = _verified(stored(fresh, "near-pairs"), docs, width, percent, sets)
-        links = links.unionByName(more)
-        used = hubs.select("key", F.col("h").alias("rep"), F.lit(True).alias("_now"))
-        buckets = stored(open_.select("key", "rep", "n", "met").join(used, ["key", "rep"], "left")
-                         .withColumn("met", F.col("met") | F.col("_now").isNotNull()).drop("_now"), "near-buckets")
-    classed = (classes.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    buckets = stored(members.join(shared, "key").select("key", "rep", "n", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "near-buckets")
+
+    fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    pairs = stored(buckets.where((F.col("rep") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
+    sets = _sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), docs, width)
+    both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+            .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb"))
+    links = stored(both.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+
+    found = stored(components(links), "near-components").withColumnRenamed("node", "rep")
+    placed = buckets.select("key", "rep", "hub").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_ = stored(placed.join(parts, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-open")
+    families = stored(components(open_), "near-families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
+    blocked = (families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+               .join(_sets(families, docs, width, sets).select(F.col("doc_id").alias("rep"), "shingles"), "rep"))
+    met = (blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "shingles"))
+    more = stored(met.groupBy("family", "low", "high").applyInArrow(_compare(percent), "a long, b long"), "near-links")
+    united = stored(components(links.unionByName(more)), "near-components").withColumnRenamed("node", "rep")
+
+    classed = (classes.select("n", "h1", "h2", "rep").join(united, "rep", "left")
                .select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id")))
     return (signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
             .join(classed.withColumnRenamed("n", "n_shingles"), ["n_shingles", "h1", "h2"], "left")
