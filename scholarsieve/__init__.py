@@ -1,8 +1,7 @@
 """Spark-native literature screening, ranking and digest engine."""
 from pyspark import cloudpickle
 
-from scholarsieve.functions import markup, text
+from scholarsieve.functions import text
 
 # The few batch helpers travel with the job, so executors need no install of this package.
-for _module in (markup, text):
-    cloudpickle.register_pickle_by_value(_module)
+cloudpickle.register_pickle_by_value(text)

@@ -1,21 +1,13 @@
 """Full-text sections, quality gate, chunks and reading budget."""
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scholarsieve.functions import markup
 from scholarsieve.functions.text import SPACES, blank, collapse, strip
 from scholarsieve.operators import ranking
 from scholarsieve.session import sized
 
-_TEXT = T.StringType()
-_SECTIONS = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("locator", "text", "kind")]))
-_FIGURES = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("label", "locator", "caption")]
-                                    + [T.StructField("required", T.BooleanType())]))
-_READ = T.StructType([T.StructField("sections", _SECTIONS), T.StructField("figures", _FIGURES), T.StructField("error", _TEXT)])
-_CHUNKS = T.ArrayType(T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("locator", _TEXT), T.StructField("text", _TEXT)]))
-
 # Heading patterns of the quality gate.
 METHOD = r"(?i)\b(methods?|methodology|approach|framework|algorithm|model|objective|optimization|theor(?:y|em)s?|proof)\b"
 EVALUATION = r"(?i)\b(experiments?|evaluation|results?|benchmark|ablation|analysis|discussion|proof|theor(?:y|em)s?)\b"
@@ -27,16 +19,36 @@ NUMBERED_HEADING = r"^\d+(?:\.\d+)*\.?\s+[A-Z][A-Za-z0-9\s,:/()\-]{2,74}$"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-@F.pandas_udf(_READ)
-def _read_batch(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([markup.read_html(h or "") for h in pages], columns=["sections", "figures", "error"])
+LEAST_SECTION = 40
 
 
 def read_html(pages: DataFrame, *keys: str) -> DataFrame:
-    """One body row per page: sections, figures and a parse error."""
-    # A non-deterministic mark keeps later filters from running the parser twice.
-    parsed = pages.select(*keys, _read_batch.asNondeterministic()(F.col("html")).alias("_r"))
-    return parsed.select(*keys, "_r.*")
+    """One body row per page: its sections (locator, text, kind), captioned figures and an error.
+
+    Sections are the paragraphs under each heading; short ones and end matter are left out, and later uses
+    of a name get '#2', '#3', ... All of it is built-in expressions over the page's own row.
+    """
+    body = markup.article(F.col("html"))
+    parts = F.filter(markup.headed_parts(F.col("_body")), lambda p: (F.length(p["text"]) >= LEAST_SECTION) & ~p["name"].rlike(markup.BODY_END))
+    names = F.transform("_parts", lambda p: p["name"])
+
+    def section(part, i):
+        use = F.size(F.filter(F.slice(names, 1, i + 1), lambda n: n == part["name"]))
+        locator = F.concat(F.lit("section:"), part["name"], F.when(use > 1, F.concat(F.lit("#"), use.cast("string"))).otherwise(""))
+        return F.struct(locator.alias("locator"), part["text"].alias("text"), F.lit("section").alias("kind"))
+
+    captions = F.transform(F.regexp_extract_all("_body", F.lit(r"(?is)<figcaption\b[^>]*>(.*?)</figcaption\s*>")), markup.plain_text)
+
+    def figure(caption):
+        label = caption_label(caption)
+        return F.struct(label.alias("label"), F.concat(F.lit("caption:"), label).alias("locator"), caption.alias("caption"),
+                        (~F.lower(label).startswith("table") & caption.rlike(markup.KEY_VISUAL)).alias("required"))
+
+    figures = F.filter(F.transform(captions, figure), lambda f: f["label"].isNotNull())
+    empty = F.array().cast("array<struct<locator:string,text:string,kind:string>>")
+    return (pages.select(*keys, body.alias("_body")).withColumn("_parts", parts)
+            .select(*keys, F.coalesce(F.transform("_parts", section), empty).alias("sections"), figures.alias("figures"),
+                    F.when(F.col("_body").isNull(), "html_body_missing").alias("error")))
 
 
 def sections(bodies: DataFrame, *keys: str) -> DataFrame:
@@ -199,13 +211,51 @@ def chunk_cap(chunk_chars: int, input_chars: int) -> int:
     return max(256, min(chunk_chars, input_chars - 512))
 
 
+_PIECE = "array<struct<locator:string,text:string>>"
+
+
+def _last(text: Column, mark: str) -> Column:
+    """Characters before the last use of a mark; -1 without one."""
+    behind = F.instr(F.reverse(text), mark[::-1])
+    return F.when(behind > 0, F.length(text) - behind - len(mark) + 1).otherwise(-1)
+
+
+def _pieces(section: Column, cap: int) -> Column:
+    """A section's text in pieces of at most `cap` characters.
+
+    A piece ends one character into its last sentence or word mark when that lies beyond the middle, so every
+    piece but the last is longer than half the cap: that bounds the steps.
+    """
+    text = F.coalesce(section["text"], F.lit(""))
+
+    def step(done, _):
+        start = done["start"]
+        window = F.substring(text, start + 1, F.lit(cap))
+        mark = F.greatest(*(_last(window, m) for m in (". ", "。", " ")))
+        end = F.when((start + cap < F.length(text)) & (mark > cap // 2), mark + 1).otherwise(F.length(window))
+        piece = F.struct(section["locator"].alias("locator"), F.substring(window, F.lit(1), end).alias("text"))
+        return F.when(start >= F.length(text), done).otherwise(F.struct((start + end).alias("start"), F.concat(done["out"], F.array(piece)).alias("out")))
+
+    first = F.struct(F.lit(0).alias("start"), F.array().cast(_PIECE).alias("out"))
+    steps = F.sequence(F.lit(0), (F.length(text) / (cap // 2)).cast("int"))
+    return F.aggregate(steps, first, step, lambda done: done["out"])
+
+
 def chunks(bodies: DataFrame, cap: int, *keys: str) -> DataFrame:
-    """Chunk pieces (chunk, seq, locator, text) of every body's sections."""
-    @F.pandas_udf(_CHUNKS)
-    def pack(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda s: [] if s is None else markup.pack_chunks(s, cap))
+    """Chunk pieces (chunk, seq, locator, text) of every body's sections.
 
-    packed = bodies.select(*keys, F.posexplode(pack.asNondeterministic()("sections")).alias("seq", "c"))
+    Pieces fill a chunk in order until the next one would pass the cap.
+    """
+    def pack(state, piece):
+        size = F.length(piece["text"])
+        full = (state["size"] > 0) & (state["size"] + size > cap)
+        chunk = state["chunk"] + full.cast("int")
+        entry = F.struct(chunk.alias("chunk"), piece["locator"].alias("locator"), piece["text"].alias("text"))
+        return F.struct(chunk.alias("chunk"), F.when(full, size).otherwise(state["size"] + size).alias("size"), F.concat(state["out"], F.array(entry)).alias("out"))
+
+    pieces = F.flatten(F.transform(F.coalesce("sections", F.array().cast("array<struct<locator:string,text:string,kind:string>>")), lambda x: _pieces(x, cap)))
+    first = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<struct<chunk:int,locator:string,text:string>>").alias("out"))
+    packed = bodies.select(*keys, pieces.alias("_pieces")).select(*keys, F.posexplode(F.aggregate("_pieces", first, pack, lambda state: state["out"])).alias("seq", "c"))
     return packed.select(*keys, "seq", "c.*")
 
 

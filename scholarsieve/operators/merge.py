@@ -36,6 +36,12 @@ def invalid_reason(papers: DataFrame) -> Column:
             .when(blank(F.col("title")) | blank(F.col("abstract")), "title_or_abstract_missing"))
 
 
+def split_invalid(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, rejected rows with their `reason`): a paper without an id must never merge with another."""
+    marked = papers.withColumn("reason", invalid_reason(papers))
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
 def recency() -> Column:
     """Newest by update time, then numeric version; the first arrival wins a full tie."""
     return F.struct(F.col("updated"), ids.version_number(F.col("version_id")).alias("number"), (-F.col("arrival")).alias("first"))

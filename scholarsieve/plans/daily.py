@@ -14,7 +14,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scholarsieve import config as settings, schema
-from scholarsieve.functions import clock
+from scholarsieve.functions import clock, text
 from scholarsieve.operators import grounding, merge, ranking, render, rules, state
 from scholarsieve.sources.fixtures import Fixture
 from scholarsieve.sources.sinks import Conflict, Store
@@ -83,8 +83,9 @@ class DailyRun:
 
     # -- state ------------------------------------------------------------
     def _papers(self) -> DataFrame:
-        stored = self.store.load("papers")
-        return stored if stored is not None else self.spark.createDataFrame([], schema.PAPER_STATE)
+        stored, empty = self.store.load("papers"), self.spark.createDataFrame([], schema.PAPER_STATE)
+        # Columns that an older version did not store are null.
+        return empty if stored is None else empty.unionByName(stored, allowMissingColumns=True)
 
     def _save(self, papers: DataFrame) -> DataFrame:
         return self.store.save("papers", papers.select(*(c.name for c in self._papers().schema)))
@@ -202,7 +203,10 @@ class DailyRun:
     def collect(self, scanned: DataFrame) -> None:
         """Screen, cap, merge and upsert; independent of everything later."""
         known = self._papers().select("base_id")
-        traced = merge.collect(scanned, self.rules, known, self.config["collection"]["max_candidates"], again=rules.trace)
+        usable, rejected = merge.split_invalid(scanned)
+        rejects = self.store.save("rejects", rejected.select("version_id", "reason"))
+        self.errors += [f"collection:{r['reason']}:{r['n']}" for r in rejects.groupBy("reason").agg(F.count("*").alias("n")).collect()]
+        traced = merge.collect(usable, self.rules, known, self.config["collection"]["max_candidates"], again=rules.trace)
         content = ["version_id", "title", "abstract", "categories", "published", "updated", "authors", "pdf_url"]
         incoming = self.store.save("collected", traced.select("base_id", F.struct(*content).alias("paper"), "routes", "rule_trace"))
         papers = self._papers()
@@ -220,8 +224,9 @@ class DailyRun:
         self._decide("selection", todo, self.analysis.select)
         aged = self._eligible().where(F.col("outcome") == "recovery_age_exhausted").select("base_id")
         self._set(aged, manual_required=F.lit(True))
-        undecided = self._papers().where("decision IS NOT NULL AND modules IS NULL").select("base_id")
-        self._set(undecided, modules=F.array(*map(F.lit, self.modules)))
+        # What a record shows is frozen with its decision; later collections don't change it.
+        fresh = self._papers().where("decision IS NOT NULL AND modules IS NULL").select("base_id")
+        self._set(fresh, modules=F.array(*map(F.lit, self.modules)), presentation_rule_hits=F.col("rule_hits"), presentation_rule_trace=F.col("rule_trace"))
 
     def _routed(self, path: str) -> DataFrame:
         rows = self._eligible().where("outcome = 'eligible' AND NOT resend_pending AND decision IS NOT NULL")
@@ -280,7 +285,8 @@ class DailyRun:
             self.store.append("slots", done.select(F.lit(self.day).alias("day"), F.lit("full").alias("kind"), "base_id"))
             used += done.count()
         # Untried papers beyond the quota become light; anything with a failure or a promotion waits.
-        failed = self.store.log("attempts", schema.ATTEMPT_LOG).where("failed AND stage <> 'title_translation'").select("base_id")
+        ended = self.store.log("attempts", schema.ATTEMPT_LOG).where("failed IS NOT NULL AND stage <> 'title_translation'")
+        failed = state.stage_attempts(ended).where("last_failure IS NOT NULL").select("base_id").distinct()
         overflow = queue.where("NOT promotion_pending").join(tried, "base_id", "left_anti").join(failed, "base_id", "left_anti")
         self._set(overflow.select("base_id"), intended_tier=F.lit("light"), tier_reason=F.lit("full_quota_overflow"), stage=F.lit("ready"))
         self._set(self._routed("light").select("base_id"), intended_tier=F.lit("light"), stage=F.lit("ready"))
@@ -288,11 +294,12 @@ class DailyRun:
     def _validated(self, rows: DataFrame, bodies: DataFrame, evidence: bool) -> DataFrame:
         answers = self.store.save("summaries_raw", self.analysis.summarize(rows, evidence))
         body = bodies.select("base_id", F.col("value.version_id").alias("version_id"), "value.source_url", "value.source_type", F.lit(True).alias("qualified"),
-                             F.lit(None).cast("int").alias("physical_page_count"), F.lit(False).alias("method_on_first_page"), F.lit(False).alias("evaluation_on_first_page"),
-                             F.col("value.sections").alias("sections"))
+                             "value.quality.physical_page_count", *(F.coalesce(f"value.quality.{flag}", F.lit(False)).alias(flag) for flag in ("method_on_first_page", "evaluation_on_first_page")),
+                             F.col("value.sections").alias("sections"), F.col("value.figures").alias("figures"))
         parts = body.select("version_id", F.posexplode("sections").alias("pos", "s")).select("version_id", "pos", "s.locator", "s.text")
+        captions = body.select("version_id", F.posexplode("figures").alias("pos", "f")).select("version_id", "pos", "f.locator", "f.caption")
         named = answers.join(body.select("base_id", "version_id"), "base_id").select("version_id", F.col("value").alias("summary"))
-        verdict = grounding.summary_errors(named, body.drop("sections", "base_id"), grounding.passages(parts), evidence)
+        verdict = grounding.summary_errors(named, body.drop("sections", "figures", "base_id"), grounding.passages(parts, captions), evidence)
         return answers.join(body.select("base_id", "version_id"), "base_id").join(verdict, "version_id").select("base_id", "value", "error")
 
     def translate(self) -> None:
@@ -321,13 +328,14 @@ class DailyRun:
         gated = state.send_gate(flagged, self._digests(), F.lit(self.day))
         chosen = gated.where("gate = 'send' OR recovered")
         content = ["paper.version_id", "paper.title", "paper.abstract"]
-        return chosen.select("base_id", *content, "intended_tier", "summary", "title_zh", "abstract_zh", "modules", "rule_hits", "rule_trace", "recovery_of", "first_discovered",
+        return chosen.select("base_id", *content, "intended_tier", "summary", "title_zh", "abstract_zh", "modules", "rule_hits", "rule_trace", "presentation_rule_hits", "presentation_rule_trace",
+                             "recovery_of", "first_discovered",
                              "delivery_chain", "promotion_pending", "resend_pending")
 
     def send(self) -> dict:
         """Render, store the archive, reserve the quota, deliver, record the outcome."""
         digest_id = self.run_id
-        flat = self.items().withColumns({"presentation_rule_hits": F.col("rule_hits"), "presentation_rule_trace": F.col("rule_trace"), "digest_id": F.lit(digest_id)})
+        flat = self.items().withColumn("digest_id", F.lit(digest_id))
         staged = render.digest_items(flat).withColumn("order", ranking.key(F.col("recovery_of").isNull().alias("new"), "first_discovered", "base_id"))
         rendered = self.store.save("items", render.items(ranking.positions(staged, ["digest_id"], "order").drop("order")))
         counts = {r["tier"]: r["n"] for r in rendered.groupBy("tier").agg(F.count("*").alias("n")).collect()}
@@ -337,6 +345,8 @@ class DailyRun:
         broken = rendered.where("error IS NOT NULL").groupBy("error").count().collect()
         if broken:
             raise Conflict("unrenderable_items:" + ",".join(sorted(r["error"] for r in broken)))
+        if not render.duplicate_items(rendered).isEmpty():
+            raise Conflict("duplicate_digest_items")
         base = self.config["archive"]["public_base_url"].rstrip("/") or "https://example.invalid/digests"
         path = f"archive/{self.day:%Y/%m/%d}/{digest_id}"
         self.store.snapshot(path, render.archive_lines(rendered), ["recovery", "tier_order", "part", "position"])
@@ -355,8 +365,11 @@ class DailyRun:
         if (sent + 1) * units > self.config["delivery"]["daily_limit"]:
             self.errors.append("delivery_daily_quota_exhausted")
             return {**result, "status": "deferred"}
-        kind = F.when(F.col("resend_pending"), "resend").when(F.col("promotion_pending"), "promotion").otherwise("normal")
-        modes = fitted.select("base_id", "mode")
+        # A recovery repeats the kind of the delivery it recovers.
+        before = state.last_event_kind(self._events()).select("base_id", F.col("digest_id").alias("recovery_of"), F.col("kind").alias("_before"))
+        kind = F.coalesce("_before", F.when(F.col("resend_pending"), "resend").when(F.col("promotion_pending"), "promotion").otherwise("normal"))
+        modes = self.store.save("event_kinds", fitted.select("base_id", "mode").join(rendered.select("base_id", "recovery_of"), "base_id").join(before, ["base_id", "recovery_of"], "left")
+                                .select("base_id", "mode", "_before"))
         event = lambda status, at: rendered.join(modes, "base_id").select("base_id", F.lit(digest_id).alias("digest_id"), kind.alias("kind"), "tier", "mode", F.lit(status).alias("status"), at.alias("at"), "recovery_of")
         self.store.append("digests", record("sending", self.now))
         self.store.append("events", event("sending", self.now))
@@ -380,8 +393,17 @@ class DailyRun:
         head = [f"# arXiv 每日简报 · {self.day}"] + (["**补发：上一轮投递未确认，本次可能重复。**"] if any(r["recovery"] for r in lines) else [])
         return "\n\n".join([*head, *(r["line"] for r in lines), f"[完整日报与长期存档]({url})", f"[论文长期索引]({index})"]).rstrip() + "\n"
 
+    def _report(self, report: dict) -> dict:
+        """Store the run's report; its error texts lose anything that looks like a credential."""
+        errors = [F.lit(e) for e in report["errors"]]
+        clean = self.spark.range(1).select(F.transform(F.array(*errors), lambda e: text.scrub(e)).alias("errors")).first()["errors"] if errors else []
+        report = {**report, "errors": list(clean)}
+        self.store.report(f"reports/{self.run_id}.json", report)
+        return report
+
     def run(self, scanned: DataFrame, coverage_complete: bool = True) -> dict:
         self.store.lock()
+        report = {"run_id": self.run_id, "day": str(self.day), "coverage_complete": coverage_complete, "config_fingerprint": settings.fingerprint(self.config)}
         try:
             self.collect(scanned)
             self.select()
@@ -391,9 +413,9 @@ class DailyRun:
                 self.summarize()
             self.translate()
             sent = self.send()
-            report = {"run_id": self.run_id, "day": str(self.day), "coverage_complete": coverage_complete, "config_fingerprint": settings.fingerprint(self.config),
-                      "records": self._papers().count(), "calls": self.calls, "errors": sorted(set(self.errors)), **sent}
-            self.store.report(f"reports/{self.run_id}.json", report)
-            return report
+            return self._report({**report, "records": self._papers().count(), "calls": self.calls, "errors": sorted(set(self.errors)), **sent})
+        except Exception as exc:
+            self._report({**report, "calls": self.calls, "errors": sorted({*self.errors, f"{type(exc).__name__}: {exc}"[:500]}), "status": "run_failed"})
+            raise
         finally:
             self.store.unlock()

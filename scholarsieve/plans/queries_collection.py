@@ -10,6 +10,7 @@ from scholarsieve.operators import merge, rules
 from scholarsieve.operators.rules import RuleSet
 from scholarsieve.plans import stand_ins as s
 from scholarsieve.plans.registry import query, table
+from scholarsieve.streaming import rolling
 from scholarsieve.plans.window import next_cursor, plan_windows
 from scholarsieve.sources import scan
 
@@ -242,3 +243,26 @@ def identifier_safety(spark, d):
     digest = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("20261001T000000Z-"), n)).otherwise(F.concat(F.lit("../"), n))
     push = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("push_id-"), n)).otherwise(F.concat(F.lit("push id "), n))
     return table(spark, d, "pages").select("page_id", ids.safe_token(raw).alias("token"), ids.valid_digest_id(digest).alias("digest_ok"), ids.valid_push_id(push).alias("push_ok"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 11 <> 0 AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 14 DAY THEN 'on_time' ELSE 'late' END AS side FROM events""")
+def late_rows(spark, d):
+    """Events as arriving papers, some without a time: none is lost between the two sides."""
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("published"))
+    on_time, late = rolling.split_late(rows, s.ntz("2024-01-20 00:00:00"), 14)
+    return on_time.select("event_id", F.lit("on_time").alias("side")).unionByName(late.select("event_id", F.lit("late").alias("side")))
+
+
+@query("""
+    SELECT CAST(coalesce(reason, 'usable') AS VARCHAR) AS reason, count(*) AS papers FROM (
+        SELECT CASE WHEN event_id % 13 = 0 THEN 'invalid_id' WHEN event_id % 17 = 0 THEN 'time_not_zoned' WHEN event_id % 19 = 0 THEN 'title_or_abstract_missing' END AS reason FROM events) GROUP BY 1""")
+def collection_rejects(spark, d):
+    """Paper versions with broken ids, times and titles: rejected before anything is merged."""
+    n = F.col("arrival")
+    rows = s.versions(spark, d).withColumns({
+        "version_id": F.when(n % 13 == 0, F.concat(F.lit("no id "), n.cast("string"))).otherwise(F.col("version_id")),
+        "updated": F.when(n % 17 != 0, F.col("updated")), "title": F.when(n % 19 == 0, F.lit(" \t")).otherwise(F.col("title"))})
+    usable, rejected = merge.split_invalid(rows)
+    both = usable.select(F.lit("usable").alias("reason")).unionByName(rejected.select("reason"))
+    return both.groupBy("reason").agg(F.count("*").alias("papers"))

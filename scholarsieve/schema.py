@@ -19,7 +19,8 @@ SECTION = "struct<locator:string, text:string, kind:string>"
 FIGURE = "struct<label:string, locator:string, caption:string, image_path:string, required:boolean>"
 QUALITY = (
     "struct<passed:boolean, fixture_kind:string, reading_order_ok:boolean, "
-    "read_locators:array<string>, reasons:array<string>>"
+    "read_locators:array<string>, reasons:array<string>, physical_page_count:int, "
+    "method_on_first_page:boolean, evaluation_on_first_page:boolean>"
 )
 BODY = (
     "struct<version_id:string, source_url:string, source_type:string, "
@@ -47,7 +48,8 @@ PAPER_STATE = (
     f"rule_trace {RULE_TRACE}, stage string, decision {DECISION}, modules array<string>, intended_tier string, "
     f"tier_reason string, summary {SUMMARY}, title_zh string, abstract_zh string, pending_digest string, "
     "delivery_chain string, promotion_pending boolean, resend_pending boolean, manual_required boolean, "
-    "manual_retry_until timestamp_ntz, manual_delivery_limit int"
+    "manual_retry_until timestamp_ntz, manual_delivery_limit int, "
+    f"presentation_rule_hits array<string>, presentation_rule_trace {RULE_TRACE}"
 )
 ATTEMPT_LOG = "base_id string, stage string, run_id string, at timestamp_ntz, failed boolean, error string"
 EVENT_LOG = ("base_id string, digest_id string, kind string, tier string, mode string, status string, "
