@@ -78,7 +78,8 @@ def test_equal_hashes_are_verified_by_bytes(monkeypatch):
 
 
 def test_null_ids_repeats_and_empty_tables(documents):
-    text = "".join(random.Random(1).choice("abcdef") for _ in range(300))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef") for _ in range(300))
     rows = repeats.repeats(documents([(None, text, "s"), (3, text, "s"), (5, text, None), (5, text, None)])).collect()
     assert sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in rows) == [("3", 0, 0), ("5", 300, 1), ("5", 300, 1), ("None", 0, 0)]
     assert repeats.repeats(documents({1: "a"}).limit(0)).count() == 0
