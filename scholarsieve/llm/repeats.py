@@ -35,8 +35,8 @@ GRAM = 50
 BUCKET_BYTES = 32 << 20  # text bytes whose segments share a bucket
 HOT = 4096
 
-_CELL = "kind int, bucket int, docs binary, anchors binary, contents binary, owners binary, starts binary, sizes binary"
-_CELL_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("docs", "anchors", "contents", "owners", "starts", "sizes"))])
+_CELL = "kind int, bucket int, docs binary, anchors binary, contents binary, owners binary, starts binary, sizes binary, offsets binary"
+_CELL_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("docs", "anchors", "contents", "owners", "starts", "sizes", "offsets"))])
 LEADER, REPEAT, NEED = 0, 1, 2
 
 
@@ -59,12 +59,12 @@ def window_anchors(prefix: np.ndarray, starts: np.ndarray, length: int, gram: in
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(row, start in block, windows, anchor hash, content hash) of every segment of a block of texts."""
+    """(row, start in block, windows, anchor offset, anchor hash, content hash) of every segment of a block of texts."""
     sizes = np.diff(offsets)
     windows = np.maximum(sizes - length + 1, 0)
     total = int(windows.sum())
     if not total:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     row = np.repeat(np.arange(len(sizes)), windows)
     start = np.arange(total) + np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows)
     prefix = prefix_hash(data)
@@ -76,7 +76,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     row, start, anchor = row[first], start[first], anchor[first]
     key = mix(span_hash(prefix, anchor, anchor + gram))
     content = mix(span_hash(prefix, start, start + count + length - 1) + mix((anchor - start).astype(np.uint64) * GOLDEN + count.astype(np.uint64)))
-    return row, start, count, key, content
+    return row, start, count, anchor - start, key, content
 
 
 def firsts(keys: tuple, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +95,19 @@ def _bytes(values) -> bytes:
     return b"" if values is None else values.tobytes()
 
 
-def _cell(kind, bucket, doc, anchors, contents, start, size):
+def _cell(kind, bucket, doc, anchors, contents, start, size, offset):
     docs, owner = np.unique(doc, return_inverse=True)
     return {"kind": kind, "bucket": int(bucket), "docs": docs.tobytes(), "anchors": _bytes(anchors), "contents": _bytes(contents),
-            "owners": owner.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes(), "starts": start.astype(np.uint32).tobytes(), "sizes": size.astype(np.uint32).tobytes()}
+            "owners": owner.astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes(), "starts": start.astype(np.uint32).tobytes(), "sizes": size.astype(np.uint32).tobytes(),
+            "offsets": b"" if offset is None else offset.astype(np.uint16).tobytes()}
 
 
-def _spread(kind, bucket, doc, anchors, contents, start, size):
+def _spread(kind, bucket, doc, start, size, anchors=None, contents=None, offset=None):
     """One packed row per bucket; repeats carry no hashes."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    rows = [_cell(kind, bucket[part[0]], doc[part], anchors if anchors is None else anchors[part], contents if contents is None else contents[part], start[part], size[part]) for part in np.split(order, cuts) if len(part)]
+    of = lambda values, part: None if values is None else values[part]
+    rows = [_cell(kind, bucket[part[0]], doc[part], of(anchors, part), of(contents, part), start[part], size[part], of(offset, part)) for part in np.split(order, cuts) if len(part)]
     return pa.RecordBatch.from_pylist(rows, _CELL_SCHEMA)
 
 
@@ -114,50 +116,51 @@ def _deal(buckets: int, length: int, gram: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, data, offsets in byte_blocks(batch.column(1)):
-                row, start, count, key, content = segments(data, offsets, length, gram)
+                row, start, count, offset, key, content = segments(data, offsets, length, gram)
                 doc, start = ids[first + row], start - offsets[row]
                 order, new = firsts((key, content), doc, start)
                 lead, rest = order[new], order[~new]
-                yield _spread(LEADER, (key[lead] % np.uint64(buckets)).astype(np.int64), doc[lead], key[lead], content[lead], start[lead], count[lead])
+                yield _spread(LEADER, (key[lead] % np.uint64(buckets)).astype(np.int64), doc[lead], start[lead], count[lead], key[lead], content[lead], offset[lead])
                 if len(rest):
-                    yield _spread(REPEAT, (mix(doc[rest].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), doc[rest], None, None, start[rest], count[rest])
+                    yield _spread(REPEAT, (mix(doc[rest].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), doc[rest], start[rest], count[rest])
     return deal
 
 
 def _arrays(table: pa.Table):
-    """Unpacked (doc, start, size, anchor, content) of the rows."""
+    """Unpacked (doc, start, size, offset, anchor, content) of the rows."""
     parts = []
-    for docs, anchors, contents, owners, starts, sizes in zip(*(table.column(n).to_pylist() for n in ("docs", "anchors", "contents", "owners", "starts", "sizes"))):
+    for docs, anchors, contents, owners, starts, sizes, offsets in zip(*(table.column(n).to_pylist() for n in ("docs", "anchors", "contents", "owners", "starts", "sizes", "offsets"))):
         doc = np.frombuffer(docs, np.int64)
         parts.append((doc[np.frombuffer(owners, np.uint32 if len(doc) > 65535 else np.uint16)], np.frombuffer(starts, np.uint32).astype(np.int64),
-                      np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(anchors, np.uint64), np.frombuffer(contents, np.uint64)))
+                      np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(offsets, np.uint16).astype(np.int64), np.frombuffer(anchors, np.uint64), np.frombuffer(contents, np.uint64)))
     if not parts:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-_FOUND = "doc_id long, kind int, starts array<int>, sizes array<int>, anchors array<long>, hot array<boolean>"
+_FOUND = "doc_id long, kind int, starts array<int>, sizes array<int>, offsets array<int>, anchors array<long>, hot array<boolean>"
 
 
-def _by_document(kind, doc, start, size, anchor, hot):
+def _by_document(kind, doc, start, size, offset=None, anchor=None, hot=None):
     """One row per document with its segments."""
     if not len(doc):
         return None
     order = np.lexsort((start, doc))
-    doc, start, size, anchor, hot = doc[order], start[order], size[order], anchor[order], hot[order]
+    doc, start, size = doc[order], start[order], size[order]
+    offset, anchor, hot = (np.zeros(len(doc), kind_) if values is None else values[order] for values, kind_ in ((offset, np.int64), (anchor, np.uint64), (hot, bool)))
     at = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc)).astype(np.int32)
 
     def lists(values, kind_):
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind_))
 
     return pa.table({"doc_id": pa.array(doc[at[:-1]], pa.int64()), "kind": pa.array(np.full(len(at) - 1, kind), pa.int32()), "starts": lists(start.astype(np.int32), pa.int32()),
-                     "sizes": lists(size.astype(np.int32), pa.int32()), "anchors": lists(anchor.view(np.int64), pa.int64()), "hot": lists(hot, pa.bool_())})
+                     "sizes": lists(size.astype(np.int32), pa.int32()), "offsets": lists(offset.astype(np.int32), pa.int32()), "anchors": lists(anchor.view(np.int64), pa.int64()), "hot": lists(hot, pa.bool_())})
 
 
 def _elect(hot_size: int):
     def elect(table: pa.Table) -> pa.Table:
         kinds = np.asarray(table.column("kind"))
-        doc, start, size, anchor, content = _arrays(table.filter(pa.array(kinds == LEADER)))
+        doc, start, size, offset, anchor, content = _arrays(table.filter(pa.array(kinds == LEADER)))
         local = _arrays(table.filter(pa.array(kinds == REPEAT)))
         order, new = firsts((anchor, content), doc, start)
         lead, rest = order[new], order[~new]
@@ -166,37 +169,37 @@ def _elect(hot_size: int):
         group = np.cumsum(begins) - 1
         versions = np.bincount(group)[group] if len(group) else np.zeros(0, np.int64)
         need = lead[versions > 1]
-        out = [_by_document(NEED, doc[need], start[need], size[need], anchor[need], (versions > hot_size)[versions > 1]),
-               _by_document(REPEAT, doc[rest], start[rest], size[rest], np.zeros(len(rest), np.uint64), np.zeros(len(rest), bool)),
-               _by_document(REPEAT, *local[:3], np.zeros(len(local[0]), np.uint64), np.zeros(len(local[0]), bool))]
+        out = [_by_document(NEED, doc[need], start[need], size[need], offset[need], anchor[need], (versions > hot_size)[versions > 1]),
+               _by_document(REPEAT, doc[rest], start[rest], size[rest]), _by_document(REPEAT, *local[:3])]
         out = [t for t in out if t is not None]
-        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
+        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32())),
                                                             ("anchors", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_()))]).empty_table()
     return elect
 
 
-_PIECE = "bucket int, doc_id long, starts binary, sizes binary, anchors binary, bytes binary"
+_PIECE = "bucket int, doc_id long, starts binary, sizes binary, offsets binary, anchors binary, bytes binary"
 
 
 def _fetch(buckets: int, length: int):
     """Bytes of the needed segments, dealt by anchor; of hot anchors, window by window and by content."""
-    schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), *((n, pa.binary()) for n in ("starts", "sizes", "anchors", "bytes"))])
+    schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), *((n, pa.binary()) for n in ("starts", "sizes", "offsets", "anchors", "bytes"))])
 
     def fetch(batches):
         for batch in batches:
             rows = []
-            for doc, text, starts, sizes, anchors, hot in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, text, starts, sizes, offsets, anchors, hot in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode()
-                start, size = np.array(starts, np.int64), np.array(sizes, np.int64)
+                start, size, offset = np.array(starts, np.int64), np.array(sizes, np.int64), np.array(offsets, np.int64)
                 key, hot = np.array(anchors, np.int64).view(np.uint64), np.array(hot, bool)
                 if hot.any():
                     singles = np.concatenate([np.arange(a, a + n) for a, n in zip(start[hot], size[hot])])
                     content = np.array([int.from_bytes(hashlib.blake2b(data[a:a + length], digest_size=8).digest(), "little") for a in singles], np.uint64)
                     start, size, key = np.append(start[~hot], singles), np.append(size[~hot], np.ones(len(singles), np.int64)), np.append(key[~hot], content)
+                    offset = np.append(offset[~hot], np.zeros(len(singles), np.int64))
                 bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    rows.append({"bucket": int(bucket[part[0]]), "doc_id": doc, "starts": start[part].tobytes(), "sizes": size[part].tobytes(), "anchors": key[part].tobytes(),
+                    rows.append({"bucket": int(bucket[part[0]]), "doc_id": doc, "starts": start[part].tobytes(), "sizes": size[part].tobytes(), "offsets": offset[part].tobytes(), "anchors": key[part].tobytes(),
                                  "bytes": b"".join([data[a:a + n + length - 1] for a, n in zip(start[part].tolist(), size[part].tolist())])})
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_pylist(rows, schema)
@@ -286,15 +289,19 @@ class Suffixes:
         return same
 
 
-def repeated_windows(data: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, length: int = LENGTH):
-    """(doc, start) of the windows in these segments that another window of the same anchor repeats from earlier."""
+def repeated_windows(data: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, offset: np.ndarray, anchor: np.ndarray, length: int = LENGTH):
+    """(doc, start) of the windows in these segments that another one repeats from earlier.
+
+    Equal windows have their anchor at one offset, so each (anchor, offset) is sorted on its own.
+    """
     place = np.cumsum(size + length - 1) - (size + length - 1)
     each = np.repeat(np.arange(len(size)), size)
     step = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
     suffix, docs, starts = place[each] + step, doc[each], start[each] + step
-    group_order = np.argsort(anchor[each], kind="stable")
+    place_key = mix(anchor[each] + (offset[each] - step + 1).astype(np.uint64) * GOLDEN)
+    group_order = np.argsort(place_key, kind="stable")
     suffix, docs, starts = suffix[group_order], docs[group_order], starts[group_order]
-    key = anchor[each][group_order]
+    key = place_key[group_order]
     group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1 if len(key) else np.zeros(0, np.int64)
     suffixes = Suffixes(data, length)
     order = suffixes.sort(suffix, group)
@@ -310,14 +317,15 @@ def repeated_windows(data: np.ndarray, doc: np.ndarray, start: np.ndarray, size:
 
 def _sort_bucket(length: int):
     def run(table: pa.Table) -> pa.Table:
-        doc, start, size, anchor, data = [], [], [], [], []
-        for d, s, z, a, b in zip(*(table.column(n).to_pylist() for n in ("doc_id", "starts", "sizes", "anchors", "bytes"))):
+        doc, start, size, offset, anchor, data = [], [], [], [], [], []
+        for d, s, z, o, a, b in zip(*(table.column(n).to_pylist() for n in ("doc_id", "starts", "sizes", "offsets", "anchors", "bytes"))):
             start.append(np.frombuffer(s, np.int64))
             size.append(np.frombuffer(z, np.int64))
+            offset.append(np.frombuffer(o, np.int64))
             anchor.append(np.frombuffer(a, np.uint64))
             doc.append(np.full(len(start[-1]), d, np.int64))
             data.append(b)
-        doc, start, size, anchor = map(np.concatenate, (doc, start, size, anchor))
+        doc, start, size, offset, anchor = map(np.concatenate, (doc, start, size, offset, anchor))
         bytes_ = np.frombuffer(b"".join(data), np.uint8)
         # Groups of anchors are sorted in batches of bounded size.
         order = np.argsort(anchor, kind="stable")
@@ -329,7 +337,7 @@ def _sort_bucket(length: int):
             upto = begins[np.searchsorted(begins, part[-1]) + 1] if part[-1] != begins[-1] else len(order)
             some = order[part[0]:upto]
             piece = np.concatenate([bytes_[place[i]:place[i] + size[i] + length - 1] for i in some])
-            d, s = repeated_windows(piece, doc[some], start[some], size[some], anchor[some], length)
+            d, s = repeated_windows(piece, doc[some], start[some], size[some], offset[some], anchor[some], length)
             docs.append(d)
             starts.append(s)
         doc, start = np.concatenate(docs), np.concatenate(starts)
@@ -385,8 +393,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_byte
     single = named.join(small_enough(copies, 20), "doc_id", "left_anti")
     dealt = single.where(F.octet_length("text") >= length).mapInArrow(_deal(buckets, length, gram), _CELL)
     found = stored(dealt.groupBy("bucket").applyInArrow(_elect(hot), _FOUND), "repeat-segments")
-    need = found.where(F.col("kind") == NEED).groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "anchors", "hot")))
-    pieces = single.join(need, "doc_id").select("doc_id", "text", "starts", "sizes", "anchors", "hot").mapInArrow(_fetch(buckets, length), _PIECE)
+    need = found.where(F.col("kind") == NEED).groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "offsets", "anchors", "hot")))
+    pieces = single.join(need, "doc_id").select("doc_id", "text", "starts", "sizes", "offsets", "anchors", "hot").mapInArrow(_fetch(buckets, length), _PIECE)
     sorted_ = stored(pieces.groupBy("bucket").applyInArrow(_sort_bucket(length), "doc_id long, start int, size int"), "repeat-sorted")
     spans = (found.where(F.col("kind") == REPEAT).select("doc_id", F.explode(F.arrays_zip("starts", "sizes")).alias("s")).select("doc_id", F.col("s.starts").alias("start"), F.col("s.sizes").alias("size"))
              .unionByName(sorted_).unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.col("size").cast("int").alias("size"))))
