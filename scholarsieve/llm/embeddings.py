@@ -3,8 +3,8 @@
 Equal vectors of a label are one class with a multiplicity. The classes of a label are dealt into shards of a
 bounded size by hash, each shard builds one graph, and every class queries every shard of its label, in blocks.
 A beam is widened for a query while its last entry still passes the threshold, and for a whole block until an
-audit (some of the block's queries against all vectors of the shard) finds its target share of links; at the
-full width the search is exact. Found pairs are verified by cosine in double precision. Tasks return link counts
+audit (some of the block's queries against all vectors of the shard) finds its target share of links; a beam that
+grows past an eighth of the shard is widened to all of it, and exact. Found pairs are verified by cosine in double precision. Tasks return link counts
 and a spanning forest of their links, never all pairs, and the forests' edges are united into components.
 
 Nulls and edge cases: null labels, null, empty or zero vectors, and vectors with null or non-finite components
@@ -30,6 +30,7 @@ BUILD_BEAM = 32
 FIRST_BEAM = 32
 AUDIT_ROWS = 64
 AUDIT_RECALL = 0.999
+FULL_SHARE = 8  # a beam of at least a shard's rows / FULL_SHARE is widened to the whole shard: a scan then costs less than the walk
 MARGIN = 1e-4  # of single-precision scores against the threshold; doubles decide
 
 
@@ -173,7 +174,7 @@ class Graph:
         queries = queries.astype(np.float32)
         rows = np.arange(len(queries))
         while len(rows):
-            if beam >= n:
+            if beam * FULL_SHARE >= n:
                 scores = queries[rows] @ self.vectors.T
                 for r, s in zip(rows, scores):
                     found[r] = np.flatnonzero(s >= least)
@@ -200,7 +201,7 @@ def search(graph: Graph, index: np.ndarray, queries: np.ndarray, least: float =
         links = [ids[unit[ids] @ asked[i] >= least] if len(ids) else ids for i, ids in enumerate(found)]
         total = sum(map(len, truth))
         hit = sum(len(t & set(links[i])) for i, t in zip(sample, truth))
-        if not total or hit >= recall * total or beam >= len(index):
+        if not total or hit >= recall * total or beam * FULL_SHARE >= len(index):
             return links, beam
         beam *= 2
 
