@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+BATCH_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows a batch sent to Python holds at most, unless the session already asks for fewer.
+
+    Texts may be long: the default of 10,000 rows could hold gigabytes.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cut lineage that survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholarsieve.llm import decontamination, embeddings, html_text, licenses, minhash, mixing, repeats, secrets, tokens, toxicity
+from scholarsieve.llm.common import bound_batches
 
 QUERIES: dict = {}
 CHECKS: dict = {}
@@ -16,6 +17,7 @@ def query(build):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
