@@ -3,8 +3,8 @@
 The base rules (assignments of secrets, access keys, long hexadecimal runs) label credentials. From a bounded
 sample of them a prefix-tree of character classes is grown and its statistically compatible states are merged
 (ALERGIA, Hoeffding bound) into a probabilistic automaton of credential formats. Every candidate token is scored
-by the mean log-likelihood per character under the automaton minus that under the class frequencies of all texts; tokens above `THRESHOLD` that mix digits with letters are added
-as spans of kind "format". Base spans always stay; added spans never overlap one.
+by the mean log-likelihood per character under the automaton minus that under the class frequencies of all texts; tokens above `THRESHOLD` are added
+as spans of kind "format", whatever classes they hold. Tokens are learnt and scored whole. Base spans always stay; added spans never overlap one.
 
 Nulls and edge cases: a null text is empty; empty texts have no spans; no labelled credential in the sample
 means that nothing is added; rows with equal doc_ids each give a row; an empty table gives no rows; other columns
@@ -30,11 +30,10 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "format")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_ASSIGN},}}")
 SAMPLE = 5000  # labelled credentials that the automaton is inferred from
 ALPHA = 0.05
 THRESHOLD = 0.5
-MOST_SYMBOLS = 64  # prefix length that the automaton models; longer tokens loop in its last states
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,29 +51,67 @@ _CLASS = {**{c: "a" for c in "abcdef"}, **{c: "z" for c in "ghijklmnopqrstuvwxyz
           **{c: "0" for c in "0123456789"}, **{c: "-" for c in "+/_.=-"}}
 
 
+class _Classes(dict):
+    def __missing__(self, code):
+        return "?"
+
+
+_TABLE = _Classes({ord(c): name for c, name in _CLASS.items()})
+
+
 def symbols(token: str) -> str:
-    return "".join(_CLASS.get(c, "?") for c in token[:MOST_SYMBOLS])
+    """The class of every character."""
+    return token.translate(_TABLE)
 
 
 class Automaton:
-    """Probabilistic automaton merged from the prefix tree of labelled tokens."""
+    """Probabilistic automaton merged from the prefix tree of labelled tokens.
+
+    The rest of a token that no other shares is kept as text and grown on demand: a state seen once is compatible with
+    every other (the bound is above 1), so long tokens cost no states of their own.
+    """
 
     def __init__(self, tokens: list[str], alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]  # symbols leaving a state; "" = end
+        self.rest: dict[int, tuple[str, int]] = {}  # state -> classes of its only token, and the place from where they aren't grown
         for token in sorted(tokens):
-            state = 0
-            for s in symbols(token):
-                self.count[state][s] += 1
-                if s not in self.next[state]:
-                    self.next[state][s] = len(self.next)
-                    self.next.append({})
-                    self.count.append(Counter())
-                state = self.next[state][s]
-            self.count[state][""] += 1
+            self._add(0, symbols(token), 0)
         self.root = math.sqrt(math.log(2 / alpha) / 2)
         self._merge()
 
+    def _leaf(self, classes: str, at: int) -> int:
+        self.next.append({})
+        self.count.append(Counter())
+        self.rest[len(self.next) - 1] = (classes, at)
+        return len(self.next) - 1
+
+    def _grow(self, state: int) -> None:
+        """Make the next symbol of an ungrown rest an edge."""
+        if state in self.rest:
+            classes, at = self.rest.pop(state)
+            s = classes[at:at + 1]
+            self.count[state][s] += 1
+            if s:
+                self.next[state][s] = self._leaf(classes, at + 1)
+
+    def _add(self, state: int, classes: str, at: int) -> None:
+        """Count the rest of a token from a state on."""
+        while True:
+            self._grow(state)
+            s = classes[at:at + 1]
+            self.count[state][s] += 1
+            if not s:
+                return
+            at += 1
+            if s not in self.next[state]:
+                self.next[state][s] = self._leaf(classes, at)
+                return
+            state = self.next[state][s]
+
+    def _total(self, state: int) -> int:
+        return 1 if state in self.rest else self.count[state].total()
+
     def _differ(self, a: int, b: int) -> bool:
         n, m = self.count[a].total(), self.count[b].total()
         if not n or not m:
@@ -90,6 +127,8 @@ class Automaton:
             if x == y or (x, y) in seen:
                 continue
             seen.add((x, y))
+            if self._total(x) <= 1 or self._total(y) <= 1:
+                continue  # no evidence, here or further on
             if self._differ(x, y):
                 return False
             pairs += [(self.next[x][s], self.next[y][s]) for s in self.next[x].keys() & self.next[y].keys()]
@@ -100,6 +139,10 @@ class Automaton:
         pairs = [(into, tree)]
         while pairs:
             x, y = pairs.pop()
+            if y in self.rest:
+                self._add(x, *self.rest.pop(y))
+                continue
+            self._grow(x)
             self.count[x].update(self.count[y])
             for s, child in self.next[y].items():
                 if s in self.next[x]:
@@ -112,7 +155,7 @@ class Automaton:
         blue = [(0, s) for s in sorted(self.next[0])]
         while blue:
             # The best supported edge first, so that counts are large where choices are made.
-            blue.sort(key=lambda e: (-self.count[self.next[e[0]][e[1]]].total(), e))
+            blue.sort(key=lambda e: (-self._total(self.next[e[0]][e[1]]), e))
             state, s = blue.pop(0)
             child = self.next[state][s]
             if child in red:
@@ -129,16 +172,19 @@ class Automaton:
         name = {state: i for i, state in enumerate(red)}
         self.next = [{s: name[t] for s, t in self.next[r].items()} for r in red]
         self.count = [self.count[r] for r in red]
+        # Per state, what each symbol adds and where it leads; the last state is for symbols never seen.
+        lost = len(red)
+        self.steps = [{s: (math.log((c[s] + 0.5) / (c.total() + 3.5)), to.get(s, lost)) for s in (*"azA0-?", "")}
+                      for c, to in zip([*self.count, Counter()], [*self.next, {}])]
 
     def score(self, token: str) -> float:
         """Mean log-likelihood per symbol, add-half smoothed over the six classes and the end."""
-        state, total, n = 0, 0.0, 0
-        for s in [*symbols(token), ""]:
-            counts = self.count[state] if state is not None else Counter()
-            total += math.log((counts[s] + 0.5) / (counts.total() + 3.5))
-            n += 1
-            state = self.next[state].get(s) if state is not None else None
-        return total / n
+        state, total = 0, 0.0
+        classes = symbols(token)
+        for s in classes:
+            more, state = self.steps[state][s]
+            total += more
+        return (total + self.steps[state][""][0]) / (len(classes) + 1)
 
 
 class Model:
@@ -149,10 +195,10 @@ class Model:
         self.threshold = threshold
 
     def is_secret(self, token: str) -> bool:
-        if self.automaton is None or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+        if self.automaton is None:
             return False
         classes = symbols(token)
-        ordinary = sum(self.ordinary[s] for s in classes) / len(classes)
+        ordinary = sum(classes.count(s) * p for s, p in self.ordinary.items()) / len(classes)
         return self.automaton.score(token) - ordinary > self.threshold
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:

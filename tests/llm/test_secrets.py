@@ -70,3 +70,28 @@ def test_nothing_to_learn_from(documents):
     docs = documents({1: "no secrets", 2: None})
     assert [r.spans for r in secrets.scan(docs, secrets.learn(docs)).collect()] == [[], []]
     assert secrets.scan(docs.limit(0), secrets.learn(docs.limit(0))).count() == 0
+
+
+def test_tokens_are_judged_whole_whatever_their_length_and_letters(documents):
+    rng = random.Random(4)
+    prose = "the quick brown foxes jumped over lazy dogs while the internationalization of everything continued "
+    upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made = {"tail": lambda: "".join(rng.choice("ghijkl") for _ in range(70)) + "".join(rng.choice(upper + "0123456789") for _ in range(90)),
+            "short": lambda: "".join(rng.choice(upper + "0123456789") for _ in range(12)),
+            "letters": lambda: "".join(rng.choice(mixed) for _ in range(24))}
+    labelled = [value() for value in made.values() for _ in range(150)]
+    hidden = [(kind, value()) for kind, value in made.items() for _ in range(20)]
+    cases = {i: f"{prose} token = {v} {prose * 15}" for i, v in enumerate(labelled)} | {1000 + i: f"{prose} {v} {prose * 15}" for i, (_, v) in enumerate(hidden)} | {5000: prose * 3}
+    docs = documents(cases)
+    rows = {r.doc_id: r.spans for r in secrets.scan(docs, secrets.learn(docs)).collect()}
+    for kind in made:
+        found = [i for i, (k, v) in enumerate(hidden) if k == kind and [cases[1000 + i][s.start:s.end] for s in rows[1000 + i]] == [v]]
+        assert len(found) >= 16, (kind, len(found))
+    assert rows[5000] == []
+
+
+def test_tails_past_a_common_head_count():
+    assert len(secrets.symbols("x" * 200)) == 200
+    head = "g" * 64
+    machine = secrets.Automaton([head + "0" * 20] * 3 + [head + "0" * 19] * 3)
+    assert machine.score(head + "0" * 20) > machine.score(head + "Z" * 20) and machine.score(head + "0" * 20) > machine.score(head)
