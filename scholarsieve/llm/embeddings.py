@@ -3,8 +3,9 @@
 Equal vectors of a label are one class with a multiplicity. The classes of a label are dealt into shards of a
 bounded size by hash, each shard builds one graph, and every class queries every shard of its label, in blocks.
 A beam is widened for a query while its last entry still passes the threshold, and for a whole block until an
-audit (some of the block's queries against all vectors of the shard) finds its target share of links; a beam that
-grows past an eighth of the shard is widened to all of it, and exact. Found pairs are verified by cosine in double precision. Tasks return link counts
+audit (some of the block's queries against all vectors of the shard) finds its target share of the links and also of
+the nearest vectors, of which there are always some; a beam that grows past an eighth of the shard is widened to all
+of it, and exact. Found pairs are verified by cosine in double precision. Tasks return link counts
 and a spanning forest of their links, never all pairs, and the forests' edges are united into components.
 
 Nulls and edge cases: null labels, null, empty or zero vectors, and vectors with null or non-finite components
@@ -30,6 +31,7 @@ BUILD_BEAM = 32
 FIRST_BEAM = 32
 AUDIT_ROWS = 64
 AUDIT_RECALL = 0.999
+AUDIT_NEAREST = 16  # vectors per audited query that the beam must hold whether they are links or not
 FULL_SHARE = 8  # a beam of at least a shard's rows / FULL_SHARE is widened to the whole shard: a scan then costs less than the walk
 MARGIN = 1e-4  # of single-precision scores against the threshold; doubles decide
 
@@ -168,6 +170,11 @@ class Graph:
         layer.links[node] = -1
         layer.links[node, :len(links)] = links
 
+    def nearest(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """The `beam` nodes per query that the search holds last; -1 fills."""
+        queries = queries.astype(np.float32)
+        return self.layers[0].beam(self.vectors, queries, self._entries(queries, 0), beam)[0]
+
     def near(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
         """Nodes with a score of `least` or more that the search finds; each beam widens until its last entry is below."""
         n, found = len(self.vectors), [np.zeros(0, np.int64)] * len(queries)
@@ -192,18 +199,23 @@ def search(graph: Graph, index: np.ndarray, queries: np.ndarray, least: float =
     """Verified links of each query (numbers of index rows) and the beam width that passed the audit."""
     unit = index / np.linalg.norm(index, axis=1)[:, None]
     asked = queries / np.linalg.norm(queries, axis=1)[:, None]
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit_rows, len(queries))).astype(int)) if len(queries) else []
-    truth = [set(np.flatnonzero(unit @ asked[i] >= least)) for i in sample]
-    while True:
-        found: list[np.ndarray] = []
-        for start in range(0, len(queries), 256):
-            found += graph.near(asked[start:start + 256], least - MARGIN, beam)
-        links = [ids[unit[ids] @ asked[i] >= least] if len(ids) else ids for i, ids in enumerate(found)]
-        total = sum(map(len, truth))
-        hit = sum(len(t & set(links[i])) for i, t in zip(sample, truth))
-        if not total or hit >= recall * total or beam * FULL_SHARE >= len(index):
-            return links, beam
-        beam *= 2
+
+    def links_of(rows: np.ndarray) -> list[np.ndarray]:
+        return [ids[unit[ids] @ q >= least] if len(ids) else ids for q, ids in zip(rows, graph.near(rows, least - MARGIN, beam))]
+
+    sample = asked[np.unique(np.linspace(0, len(asked) - 1, min(audit_rows, len(asked))).astype(int))] if len(asked) else asked
+    # Beams that become whole scans need no audit.
+    if len(sample) and beam * FULL_SHARE < len(index):
+        exact = sample @ unit.T
+        most = min(AUDIT_NEAREST, len(index))
+        last = np.partition(exact, len(index) - most, axis=1)[:, len(index) - most] - 1e-6  # equally near ones count alike
+        links = int((exact >= least).sum())
+        while beam * FULL_SHARE < len(index):
+            nearest = sum(min(most, int((row[ids[ids >= 0]] >= cut).sum())) for row, cut, ids in zip(exact, last, graph.nearest(sample, beam)))
+            if nearest >= recall * most * len(sample) and sum(map(len, links_of(sample))) >= recall * links:
+                break
+            beam *= 2
+    return [ids for start in range(0, len(asked), 256) for ids in links_of(asked[start:start + 256])], beam
 
 
 def _unpacked(column, dim: int) -> np.ndarray:

@@ -70,3 +70,31 @@ def test_null_ids_repeats_and_empty_tables(spark):
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table).collect())
     assert got == [("5", 2, 5, True), ("5", 2, 5, True), ("6", 2, 5, False), ("None", 0, None, None)]
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_blocks_without_links_in_their_audit_are_still_audited():
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(3000, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    queries = points[:1000] + 0.16 / np.sqrt(64) * rng.normal(size=(1000, 64))
+    audited = np.unique(np.linspace(0, 999, embeddings.AUDIT_ROWS).astype(int))
+    queries[audited] = rng.normal(size=(len(audited), 64))  # links are rare, and none is audited
+    true = queries / np.linalg.norm(queries, axis=1)[:, None] @ points.T >= 0.98
+    assert not true[audited].any() and true.sum() > 900
+    found, beam = embeddings.search(embeddings.Graph(points), points, queries, beam=4)
+    assert beam > 4 and sum(map(len, found)) >= 0.999 * true.sum()
+
+
+def test_labels_of_thousands_through_the_graph(spark):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(2000, 6))
+    points = np.concatenate([points, points[:1500] * 1.5 + 0.02 * rng.normal(size=(1500, 6))]).astype(np.float32)
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1)[:, None]
+    true = unit @ unit.T >= 0.98
+    # The beam path answers here: a search of one shard stays below the width of a whole scan.
+    shard = points[:3000].astype(float)
+    _, beam = embeddings.search(embeddings.Graph(unit[:3000]), shard, points[3000:].astype(float))
+    assert beam * embeddings.FULL_SHARE < 3000
+    table = spark.createDataFrame([(i, [float(x) for x in p], 1) for i, p in enumerate(points)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table).collect()}
+    assert sum(got.values()) >= 0.999 * (true.sum() - len(points)) and all(got[i] <= true[i].sum() - 1 for i in got)
