@@ -44,3 +44,25 @@ def test_given_pages_give_their_articles(spark, sf):
     for r in extract(pages).collect():
         inner = re.search(r"<article>(.*)</article>", sources[r.page_id], re.S)[1]
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(/?p|/?h1|br)>", " ", inner))).split())
+
+
+LINKS = "".join(f"<li><a href=x>link number {i}</a></li>" for i in range(30))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<html><head><title>T</title><meta charset=utf-8><body><article><p>{PARA}</p></article></body></html>", CLEAN),
+    (f"<head><script>x</script><p>{PARA}<p>{PARA}", f"{CLEAN} {CLEAN}"),
+    (f"<article class='node node--promoted'><p>{PARA}</p></article>", CLEAN),
+    (f"<body><div class='has-sidebar'><div class=menu><p>Menu text</p></div><div><p>{PARA}</p><p>{PARA}</p></div></div>", f"{CLEAN} {CLEAN}"),
+    (f"<div class='widget content'><p>{PARA}</p></div>", CLEAN),
+    (f"<main><h1>T</h1><div class='widget content'><p>{PARA}</p></div></main>", f"T {CLEAN}"),
+    (f"<main><div class='has-sidebar'><article><p>{PARA}</p></article><div class=sidebar>{PARA}</div></div></main>", CLEAN),
+    (f"<body><form id=aspnetForm><input type=hidden><div><p>{PARA}</p></div></form></body>", CLEAN),
+    (f"<article><p>{PARA}</p></article><div class=related><p>{PARA}</p><p>{PARA}</p></div>", CLEAN),
+    (f"<div class=body><p>{PARA}</p></div><div class=comments>{f'<article><p>{PARA}</p></article>' * 20}</div>", CLEAN),
+    (f"<article><p>One <span class=share>Share</span> two</p><p>{PARA}</p></article>", f"One two {CLEAN}"),
+    (f"<article><p>{PARA * 9}</p><ul>{LINKS}</ul><p>{PARA * 9}</p></article>",
+     " ".join([CLEAN * 9, *(f"link number {i}" for i in range(30)), CLEAN * 9])),
+])
+def test_names_forms_and_open_heads_lose_no_article(page, text):
+    assert main_text(page) == text
