@@ -48,3 +48,22 @@ def test_spans_repeats_and_empty_tables(documents):
     rows = licenses.scan(docs).collect()
     assert sorted((str(r.doc_id), r.first_word, r.n_words) for r in rows) == [("1", 0, 5), ("1", 2, 5), ("None", 0, 5)]
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, {}).count() == 0
+
+
+def test_usual_licenses_and_wordings_are_in_the_library(documents):
+    fill = " and some more words of the document follow here"
+    texts = {
+        "BSD-3-Clause-body": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+                             "* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+                             "* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+                             "documentation and/or other materials provided with the distribution. * Neither the name of Acme nor the names of its contributors may be used to "
+                             "endorse or promote products derived from this software without specific prior written permission. " + licenses._BSD_AS_IS,
+        "ISC-body": licenses.TEMPLATES["ISC-body"].replace("and/or", "and"), "Zlib-body": licenses.TEMPLATES["Zlib-body"], "GPL-2.0-notice": licenses.TEMPLATES["GPL-2.0-notice"],
+        "LGPL-2.1-notice": licenses.TEMPLATES["LGPL-2.1-notice"], "AGPL-3.0-notice": licenses.TEMPLATES["AGPL-3.0-notice"], "EPL-2.0-notice": licenses.TEMPLATES["EPL-2.0-notice"],
+        "MIT-licensed-line": "This project is licensed under the MIT License.", "Apache-2.0-terms-line": "You may use it under the terms of the Apache License 2.0.",
+    }
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan(documents({i: text + fill for i, text in enumerate(texts.values())})).collect()}
+    for i, name in enumerate(texts):
+        assert (i, name) in got, name
+        if "GPL" in name:  # their notices differ in few words: the highest share names the license
+            assert got[i, name] == max(share for (doc, _), share in got.items() if doc == i), name
