@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scholarsieve.functions import markup
-from scholarsieve.functions.text import SPACES, blank, collapse, strip
+from scholarsieve.functions import arrays, markup
+from scholarsieve.functions.text import SPACES, blank, collapse, let, strip
 from scholarsieve.operators import ranking
+from scholarsieve.operators.rules import once
 from scholarsieve.session import sized
 
 # Heading patterns of the quality gate.
@@ -20,35 +21,171 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 LEAST_SECTION = 40
+LEAST_TABLE = 12
+_SECTIONS = "array<struct<locator:string,text:string,kind:string>>"
+_FIGURES = "array<struct<label:string,locator:string,caption:string,required:boolean>>"
 
 
 def read_html(pages: DataFrame, *keys: str) -> DataFrame:
-    """One body row per page: its sections (locator, text, kind), captioned figures and an error.
+    """One body row per page: its sections (locator, text, kind), captioned figures and tables, and an error.
 
-    Sections are the paragraphs under each heading; short ones and end matter are left out, and later uses
-    of a name get '#2', '#3', ... All of it is built-in expressions over the page's own row.
+    Pages with section elements: each section gives its own text under its headings' lineage ("Methods / Training"),
+    without its subsections, and each data table its caption and cells; displayed equations, which come as tables,
+    follow their section's prose. Other pages: paragraphs under each heading. Short sections and end matter are left
+    out, and later uses of a name get '#2', '#3', ... A figure inside a figure and a table inside a table own what
+    they hold. All of it is built-in expressions over the page's own row, and each stage is evaluated once.
     """
-    body = markup.article(F.col("html"))
-    parts = F.filter(markup.headed_parts(F.col("_body")), lambda p: (F.length(p["text"]) >= LEAST_SECTION) & ~p["name"].rlike(markup.BODY_END))
-    names = F.transform("_parts", lambda p: p["name"])
-
-    def section(part, i):
-        use = F.size(F.filter(F.slice(names, 1, i + 1), lambda n: n == part["name"]))
-        locator = F.concat(F.lit("section:"), part["name"], F.when(use > 1, F.concat(F.lit("#"), use.cast("string"))).otherwise(""))
-        return F.struct(locator.alias("locator"), part["text"].alias("text"), F.lit("section").alias("kind"))
-
-    captions = F.transform(F.regexp_extract_all("_body", F.lit(r"(?is)<figcaption\b[^>]*>(.*?)</figcaption\s*>")), markup.plain_text)
-
-    def figure(caption):
-        label = caption_label(caption)
-        return F.struct(label.alias("label"), F.concat(F.lit("caption:"), label).alias("locator"), caption.alias("caption"),
-                        (~F.lower(label).startswith("table") & caption.rlike(markup.KEY_VISUAL)).alias("required"))
-
-    figures = F.filter(F.transform(captions, figure), lambda f: f["label"].isNotNull())
-    empty = F.array().cast("array<struct<locator:string,text:string,kind:string>>")
-    return (pages.select(*keys, body.alias("_body")).withColumn("_parts", parts)
-            .select(*keys, F.coalesce(F.transform("_parts", section), empty).alias("sections"), figures.alias("figures"),
-                    F.when(F.col("_body").isNull(), "html_body_missing").alias("error")))
+    read = pages.select(*keys, once(markup.structured_root(F.col("html"))).alias("_body"))
+    read = read.withColumns({"_pieces": once(markup.pieces_of_structured("_body")), "_flat": once(_flat_sections("_body"))})
+    read = read.withColumn("_tables", once(_tables("_pieces")))
+    sections = F.when(F.col("_flat").isNull(), _nested_sections("_pieces", "_tables")).otherwise(F.col("_flat"))
+    return read.select(*keys, F.coalesce(sections, F.array().cast(_SECTIONS)).alias("sections"),
+                       F.coalesce(_captioned("_pieces", "_tables"), F.array().cast(_FIGURES)).alias("figures"),
+                       F.when(F.col("_body").isNull(), "html_body_missing").alias("error"))
+
+
+def _section(name: Column, use: Column, text: Column) -> Column:
+    locator = F.concat(F.lit("section:"), name, F.when(use > 1, F.concat(F.lit("#"), use.cast("string"))).otherwise(""))
+    return F.struct(locator.alias("locator"), text.alias("text"), F.lit("section").alias("kind"))
+
+
+@arrays.built_once
+def _flat_sections(body: str) -> Column:
+    """Sections of a page without section elements; null for others."""
+    def numbered(kept):
+        uses = arrays.occurrence_numbers(F.transform(kept, lambda p: p["name"]))
+        return let(uses, lambda n: F.transform(kept, lambda p, i: _section(p["name"], F.get(n, i), p["text"])))
+
+    parts = markup.headed_parts(markup.undropped(F.col(body)))
+    kept = F.filter(parts, lambda p: (F.length(p["text"]) >= LEAST_SECTION) & ~p["name"].rlike(markup.BODY_END))
+    return F.when(~F.col(body).rlike(markup.SECTION_TAG), let(kept, numbered))
+
+
+def _by(pieces, owner: str) -> Column:
+    """Pieces of each section, table or figure, in their numbers' order."""
+    owned = F.filter(pieces, lambda x: x[owner] > 0) if owner != "section" else pieces
+    keyed = F.array_sort(F.transform(owned, lambda x: F.struct(x[owner].alias("owner"), x["pos"].alias("pos"), x.alias("x"))))
+    return F.transform(arrays.runs(keyed, lambda k: k["owner"]), lambda run: F.transform(run, lambda k: k["x"]))
+
+
+def _text(pieces: Column) -> Column:
+    """Texts of pieces, joined like one piece of markup."""
+    return F.array_join(F.filter(F.transform(pieces, lambda x: x["text"]), lambda t: t != ""), " ")
+
+
+def _first_caption(pieces: Column) -> Column:
+    """Text of the first caption among pieces; null without one."""
+    held = F.filter(pieces, lambda x: x["caption"] > 0)
+    return let(held, lambda h: F.when(F.size(h) > 0, _text(F.filter(h, lambda x: x["caption"] == F.get(h, 0)["caption"]))))
+
+
+def _figures_of(pieces: str) -> Column:
+    """Own caption and identity of each figure element, by number."""
+    def figure(run):
+        opening = F.get(run, 0)
+        return F.struct(opening["pos"].alias("pos"), opening["id"].alias("id"), opening["table_figure"].alias("table_figure"),
+                        _first_caption(F.filter(run, lambda x: x["table"] == 0)).alias("caption"))
+
+    return F.transform(_by(F.col(pieces), "figure"), figure)
+
+
+@arrays.built_once
+def _tables(pieces: str) -> Column:
+    """Data tables by number: label, locator, caption, value, and the section path and figure that hold them."""
+    return F.when(F.col(pieces).isNotNull(), let(_figures_of(pieces), lambda figures: _tables_of(pieces, figures)))
+
+
+def _tables_of(pieces: str, figures: Column) -> Column:
+    def table(run, i):
+        opening = F.get(run, 0)
+        holder = F.when(opening["figure"] > 0, F.get(figures, opening["figure"] - 1))
+        caption = F.coalesce(_first_caption(run), F.when(holder["table_figure"], holder["caption"]), F.lit(""))
+
+        def identified(caption):
+            numbered = F.when(F.lower(caption).startswith("table"), caption_label(caption))
+            marker = F.coalesce(F.nullif(opening["id"], F.lit("")), holder["id"], F.lit(""))
+            plain = ~marker.rlike(markup.HTML_ID)
+            ordinal = (i + 1).cast("string")
+            label = F.coalesce(numbered, F.when(plain, F.concat(F.lit("HTML table node "), ordinal)).otherwise(F.concat(F.lit("HTML table id "), marker)))
+            name = F.coalesce(numbered, F.when(plain, F.concat(F.lit("html-node:"), ordinal)).otherwise(F.concat(F.lit("html-id:"), marker)))
+            return F.struct(opening["pos"].alias("pos"), opening["path"].alias("path"), opening["figure"].alias("figure"), label.alias("label"), name.alias("name"),
+                            caption.alias("caption"), collapse(F.concat_ws(" ", caption, _text(run))).alias("text"))
+
+        return let(caption, identified)
+
+    return F.transform(_by(F.col(pieces), "table"), table)
+
+
+@arrays.built_once
+def _nested_sections(pieces: str, tables: str) -> Column:
+    """Sections and data tables of a page with section elements, in the order of their elements."""
+    def own(run):
+        heading = F.get(F.filter(run, lambda x: x["opened"].rlike("^h[1-6]$")), 0)["text"]
+        opening = F.get(run, 0)
+        prose = _text(F.filter(run, lambda x: (x["table"] == 0) & (x["equation"] == 0)))
+        formulas = F.array_join(F.transform(
+            F.filter(run, lambda x: (x["table"] == 0) & (x["equation"] > 0) & (x["text"] != "")),
+            lambda x: F.concat(F.when(x["opened"] == "equation", " ; ").otherwise(" "), x["text"])), "")
+        text = F.concat(prose, F.when(formulas != "", F.concat(F.lit(" Equations: "), F.regexp_replace(formulas, "^[ ;]+", ""))).otherwise(""))
+        return F.struct(opening["pos"].alias("pos"), opening["path"].alias("path"), F.coalesce(heading, collapse(opening["id"]), F.lit("")).alias("heading"), text.alias("text"))
+
+    def lineage(path, found):
+        # Sections are numbered from 1; text outside of them comes first.
+        return F.filter(F.transform(path, lambda k: F.get(found, k)["heading"]), lambda name: name != "")
+
+    def entries(found):
+        ends = lambda path: F.exists(lineage(path, found), lambda name: name.rlike(markup.BODY_END))
+        sections = F.transform(F.filter(found, lambda s: (F.size(s["path"]) > 0) & ~ends(s["path"])), lambda s: F.struct(
+            s["pos"].alias("pos"), F.lit("section").alias("kind"), F.array_join(lineage(s["path"], found), " / ").alias("name"), s["text"].alias("text")))
+        held = F.transform(F.filter(F.col(tables), lambda t: ~ends(t["path"]) & (F.length(t["text"]) >= LEAST_TABLE)), lambda t: F.struct(
+            t["pos"].alias("pos"), F.lit("table").alias("kind"), t["name"].alias("name"), t["text"].alias("text")))
+
+        def numbered(s):
+            uses = arrays.occurrence_numbers(F.transform(s, lambda x: x["name"]))
+            return let(uses, lambda n: F.transform(s, lambda x, i: F.struct(*(x[c].alias(c) for c in ("pos", "kind", "name", "text")), F.get(n, i).alias("use"))))
+
+        plain = F.transform(held, lambda t: F.struct(*(t[c].alias(c) for c in ("pos", "kind", "name", "text")), F.lit(1).alias("use")))
+        accepted = F.filter(F.array_sort(F.concat(let(sections, numbered), plain)), lambda x: (x["kind"] == "table") | (F.length(x["text"]) >= LEAST_SECTION))
+
+        def entry(x, i):
+            unnamed = F.concat(F.lit("Unnamed "), (i + 1).cast("string"))
+            section = F.when(x["name"] == "", _section(unnamed, F.lit(1), x["text"])).otherwise(_section(x["name"], x["use"], x["text"]))
+            return F.when(x["kind"] == "section", section).otherwise(
+                F.struct(F.concat(F.lit("table:"), x["name"]).alias("locator"), x["text"].alias("text"), F.lit("table").alias("kind")))
+
+        return F.transform(accepted, entry)
+
+    return let(F.transform(_by(F.col(pieces), "section"), own), entries)
+
+
+@arrays.built_once
+def _captioned(pieces: str, tables: str) -> Column:
+    """Captioned figures and tables of a page, in the order of their elements."""
+    shape = "array<struct<pos:int,table:boolean,name:string,label:string,caption:string>>"
+
+    def entries(figures):
+        alone = F.transform(F.filter(F.col(tables), lambda t: t["figure"] == 0), lambda t: F.struct(
+            t["pos"].alias("pos"), F.lit(True).alias("table"), t["name"].alias("name"), t["label"].alias("label"), t["caption"].alias("caption")))
+        first = F.transform(arrays.runs(F.array_sort(F.transform(F.filter(F.col(tables), lambda t: t["figure"] > 0), lambda t: F.struct(
+            t["figure"].alias("figure"), t["pos"].alias("pos"), t["name"].alias("name"), t["label"].alias("label"), t["caption"].alias("caption")))),
+            lambda t: t["figure"]), lambda run: F.get(run, 0))
+        with_table = F.transform(first, lambda t: F.struct(
+            F.get(figures, t["figure"] - 1)["pos"].alias("pos"), F.lit(True).alias("table"), t["name"].alias("name"), t["label"].alias("label"), t["caption"].alias("caption")))
+        owners = F.transform(first, lambda t: t["figure"])
+        no_label = F.lit(None).cast("string")
+        others = let(owners, lambda o: F.transform(F.filter(F.transform(figures, lambda f, i: F.struct(f.alias("f"), (i + 1).alias("n"))), lambda x: ~F.array_contains(o, x["n"])), lambda x: F.struct(
+            x["f"]["pos"].alias("pos"), F.lit(False).alias("table"), no_label.alias("name"), caption_label(x["f"]["caption"]).alias("label"), x["f"]["caption"].alias("caption"))))
+        listed = F.filter(F.array_sort(F.concat(alone.cast(shape), with_table.cast(shape), others.cast(shape))), lambda x: F.when(x["table"], x["caption"] != "").otherwise(x["caption"].isNotNull()))
+
+        def entry(x, i):
+            label = F.coalesce(x["label"], F.concat(F.lit("figure "), (i + 1).cast("string")))
+            locator = F.concat(F.lit("caption:"), F.when(x["table"], x["name"]).otherwise(label))
+            required = ~x["table"] & ~F.lower(label).startswith("table") & x["caption"].rlike(markup.KEY_VISUAL)
+            return F.struct(label.alias("label"), locator.alias("locator"), x["caption"].alias("caption"), required.alias("required"))
+
+        return F.transform(listed, entry)
+
+    return F.when(F.col(pieces).isNotNull(), let(_figures_of(pieces), entries))
 
 
 def sections(bodies: DataFrame, *keys: str) -> DataFrame:

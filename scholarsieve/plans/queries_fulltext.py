@@ -56,6 +56,73 @@ def html_quality_gate(spark, d):
     return gate.select("page_id", "q.passed", F.array_join("q.reasons", ",").alias("reasons"), "q.section_count", "q.read_chars")
 
 
+def _restructured(spark, d):
+    """The pages with sections put in: their title holds a section for the start, one for each further paragraph, and
+    end matter; some line breaks become displayed equations."""
+    html = F.replace(F.replace("html", F.lit("<h1>"), F.lit("<section><h2>")), F.lit("</h1>"), F.lit("</h2><section id='s0'><h3>Opening</h3><ul><li>First entry</li></ul>"))
+    html = F.replace(html, F.lit("</p><p>"), F.lit("</p></section><section class='ltx_subsection'><h3>Step</h3><p>"))
+    html = F.replace(html, F.lit("<br>"), F.lit("<table class='ltx_equationgroup ltx_eqn_table'><tr><td>a = b</td></tr></table>"))
+    end = "</section></section><section><h2>References</h2><p>Left out, as long as it may be, with all of its entries.</p><section><h3>More</h3></section></section></article>"
+    return table(spark, d, "pages").withColumn("html", F.replace(html, F.lit("</article>"), F.lit(end)))
+
+
+@query(rf"""
+    WITH inner_markup AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS html FROM pages),
+    titled AS (SELECT page_id, {_sql_text("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title, string_split(regexp_extract(html, '(?s)</h1>(.*)', 1), '</p><p>') AS steps FROM inner_markup),
+    parts AS (SELECT page_id, title, unnest(steps) AS part, generate_subscripts(steps, 1) AS nth FROM titled),
+    own AS (
+        SELECT page_id, 0 AS nth, array_to_string(list_filter([title], lambda n: n <> ''), ' / ') AS name, title AS prose, 0 AS equations FROM titled UNION ALL
+        SELECT page_id, nth, array_to_string(list_filter([title, CASE WHEN nth = 1 THEN 'Opening' ELSE 'Step' END], lambda n: n <> ''), ' / '),
+               trim(CASE WHEN nth = 1 THEN 'Opening First entry ' ELSE 'Step ' END || {_sql_text("part")}), len(string_split(part, '<br>')) - 1 FROM parts),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY page_id, name ORDER BY nth) AS use,
+                 prose || CASE WHEN equations > 0 THEN ' Equations: ' || array_to_string(list_transform(range(equations), lambda i: 'a = b'), ' ; ') ELSE '' END AS text FROM own),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY nth) - 1 AS pos FROM numbered WHERE length(text) >= 40)
+    SELECT page_id, CAST(pos AS INTEGER) AS pos, 'section:' || CASE WHEN name = '' THEN 'Unnamed ' || (pos + 1) ELSE name || CASE WHEN use > 1 THEN '#' || use ELSE '' END END AS locator,
+           length(text) AS chars, sha256(text) AS digest FROM kept""")
+def nested_sections(spark, d):
+    bodies = fulltext.read_html(_restructured(spark, d), "page_id")
+    return fulltext.sections(bodies, "page_id").select("page_id", "pos", "locator", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
+def _tabled(spark, d):
+    """The pages with a table or figure between any two paragraphs: captioned, known by id, or of no identity; alone,
+    or in a figure that carries caption and id."""
+    n, turn = F.col("page_id").cast("string"), F.col("page_id") % 5
+    cells = F.concat(F.lit("<tr><td>Total score "), n, F.lit("</td><td>0.5</td></tr></table>"))
+    between = (F.when(turn == 0, F.concat(F.lit("<table><caption>Table "), n, F.lit(": Scores &amp; costs</caption>"), cells))
+               .when(turn == 1, F.concat(F.lit("<table id='T."), n, F.lit("'>"), cells))
+               .when(turn == 2, F.concat(F.lit("<table>"), cells))
+               .when(turn == 3, F.concat(F.lit("<figure class='ltx_table' id='F"), n, F.lit("'><figcaption>All scores</figcaption><table>"), cells, F.lit("</figure>")))
+               .otherwise(F.concat(F.lit("<figure><img><figcaption>Figure "), n, F.lit(": Overview of the pipeline</figcaption></figure>"))))
+    html = F.replace(F.replace("html", F.lit("<h1>"), F.lit("<section><h2>")), F.lit("</h1>"), F.lit("</h2>"))
+    html = F.replace(html, F.lit("</p><p>"), F.concat(F.lit("</p>"), between, F.lit("<p>")))
+    return table(spark, d, "pages").withColumn("html", F.replace(html, F.lit("</article>"), F.lit("</section></article>")))
+
+
+_TABLED = """put AS (
+        SELECT page_id, page_id % 5 AS turn, unnest(range(1, CAST(len(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</p><p>')) AS BIGINT))) AS nth FROM pages)"""
+
+
+@query(f"""
+    WITH {_TABLED} SELECT page_id, CAST(nth AS INTEGER) AS nth, CASE turn WHEN 0 THEN 'table:Table ' || page_id WHEN 1 THEN 'table:html-id:T.' || page_id WHEN 2 THEN 'table:html-node:' || nth
+           ELSE 'table:html-id:F' || page_id END AS locator,
+           CASE turn WHEN 0 THEN 'Table ' || page_id || ': Scores & costs Table ' || page_id || ': Scores & costs ' WHEN 3 THEN 'All scores ' ELSE '' END || 'Total score ' || page_id || ' 0.5' AS text
+    FROM put WHERE turn < 4""")
+def html_tables(spark, d):
+    tables = fulltext.read_html(_tabled(spark, d), "page_id").select("page_id", F.posexplode(F.filter("sections", lambda x: x["kind"] == "table")).alias("nth", "t"))
+    return tables.select("page_id", (F.col("nth") + 1).alias("nth"), "t.locator", "t.text")
+
+
+@query(f"""
+    WITH {_TABLED} SELECT page_id, CAST(nth AS INTEGER) AS nth, CASE turn WHEN 0 THEN 'Table ' WHEN 3 THEN 'HTML table id F' ELSE 'Figure ' END || page_id AS label,
+           'caption:' || CASE turn WHEN 0 THEN 'Table ' WHEN 3 THEN 'html-id:F' ELSE 'Figure ' END || page_id AS locator,
+           CASE turn WHEN 0 THEN 'Table ' || page_id || ': Scores & costs' WHEN 3 THEN 'All scores' ELSE 'Figure ' || page_id || ': Overview of the pipeline' END AS caption, turn = 4 AS required
+    FROM put WHERE turn IN (0, 3, 4)""")
+def html_figures(spark, d):
+    figures = fulltext.read_html(_tabled(spark, d), "page_id").select("page_id", F.posexplode("figures").alias("nth", "f"))
+    return figures.select("page_id", (F.col("nth") + 1).alias("nth"), "f.label", "f.locator", "f.caption", "f.required")
+
+
 _NAMES = ("Introduction", "Our Method", "Results and Discussion", "Notes")
 
 

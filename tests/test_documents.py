@@ -31,7 +31,8 @@ def test_sections_and_figures_of_pages(spark):
         ("section:Cable bridges & wind", "Long spans sway when steady gusts meet their lowest natural frequency."),
         ("section:Approach", "A damper is tuned twice a year by two people with a wrench. Its mass follows the deck."),
         ("section:Results", "Sway fell by a third on nine of the ten bridges that were measured.")]
-    assert [(f.label, f.locator, f.required) for f in rows[0].figures] == [("Figure 7", "caption:Figure 7", True), ("Table 2", "caption:Table 2", False)]
+    assert [(f.label, f.locator, f.required) for f in rows[0].figures] == [
+        ("Figure 7", "caption:Figure 7", True), ("figure 2", "caption:figure 2", False), ("Table 2", "caption:Table 2", False)]
     assert [r.error for r in rows[:4]] == [None, "html_body_missing", None, "html_body_missing"] and [r.sections for r in rows[1:4]] == [[], [], []]
     assert [s.locator for s in rows[4].sections] == ["section:Same"]
 
