@@ -8,10 +8,10 @@ theirs and cut them into full sequences, round after round, until one group is l
 sequences whose lengths are powers of two, which need no padding. Each round is stored, a task holds at most its
 open windows, and a group at most FAN_IN x OPEN_WINDOWS windows.
 
-Encoding: the tokenizer works word by word, so each distinct piece between blanks is encoded once and remembered
-(up to `REMEMBERED` pieces a worker). Pieces of Latin-1 letters are divided as the tokenizer's own rules divide
-them, and unseen parts are encoded together; other pieces go to the tokenizer as they are. Ids are those of the
-library on the whole text, which the tests check.
+Encoding: the tokenizer encodes each word and each run of marks on its own, so a distinct one is encoded once and
+remembered (up to about `REMEMBERED` a worker). Texts of Latin-1 characters are divided as the tokenizer's own rules
+divide them, and unseen parts are encoded together; pieces between blanks with other characters go to the tokenizer
+as they are. Ids are those of the library on the whole text, which the tests check.
 
 Nulls and edge cases: a null or empty text is its end id; repeated rows and null ids are packed like others; special
 tokens' strings in texts get their special ids, as the library's plain call gives. An empty table has no sequences.
@@ -36,7 +36,7 @@ OPEN_WINDOWS = 64
 LEAST_CUT = 16
 FAN_IN = 32
 END_ID = 2
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 SEGMENT = 1 << 20
 BATCH_TOKENS = 1 << 18
 
@@ -69,23 +69,29 @@ class Encoder:
         vocabulary = self.parts.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def divide(self, text: str) -> list[str]:
+        """Parts that the tokenizer encodes on their own; a blank begins those that it has to divide itself."""
+        if _PLAIN.fullmatch(text) and _SPECIAL not in text:
+            return _PARTS.findall(text.lower())
+        found = []
+        for piece in text.split(" "):
+            if _PLAIN.fullmatch(piece) and _SPECIAL not in piece:
+                found += _PARTS.findall(piece.lower())
+            else:
+                found.append(" " + piece)
+        return found
+
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode the pieces not seen before."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
+        """Encode the parts not seen before."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*texts).difference(self.pieces))
-        plain = [piece for piece in new if _PLAIN.fullmatch(piece) and _SPECIAL not in piece]
-        if len(plain) < len(new):
-            rest = list(set(new).difference(plain))
-            for piece, one in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-                self.pieces[piece] = np.asarray(one.ids, "<u4").tobytes()
-        divided = [_PARTS.findall(piece.lower()) for piece in plain]
-        unseen = list(set().union(*divided).difference(self.known))
+        new = list(set().union(*texts).difference(self.known))
+        odd = [part for part in new if part[0] == " "]
+        for part, one in zip(odd, self.whole.encode_batch_fast([part[1:] for part in odd], add_special_tokens=False)):
+            self.known[part] = np.asarray(one.ids, "<u4").tobytes()
+        unseen = [part for part in new if part[0] != " "] if odd else new
         joined = [unseen[k:k + 500] for k in range(0, len(unseen), 500)]
         for some, one in zip(joined, self.parts.encode_batch_fast([" ".join(some) for some in joined], add_special_tokens=False)):
             ids = np.asarray(one.ids, "<u4")
@@ -93,8 +99,6 @@ class Encoder:
             for part, end in zip(some, (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), strict=True):
                 self.known[part] = raw[begin:end]
                 begin = end
-        for piece, parts in zip(plain, divided):
-            self.pieces[piece] = b"".join(map(self.known.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Texts together; long ones are handled in segments that end at a blank."""
@@ -102,7 +106,7 @@ class Encoder:
         held, size = [], 0
         for i, text in enumerate(texts):
             for segment in segments(text):
-                held.append((i, segment.split(" ")))
+                held.append((i, self.divide(segment)))
                 size += len(segment)
                 if size > SEGMENT:
                     self._fill(held, out)
@@ -111,9 +115,9 @@ class Encoder:
         return [np.frombuffer(b"".join(parts), "<u4") for parts in out]
 
     def _fill(self, held, out) -> None:
-        self.learn([pieces for _, pieces in held])
-        for i, pieces in held:
-            out[i].append(b"".join(map(self.pieces.__getitem__, pieces)))
+        self.learn([parts for _, parts in held])
+        for i, parts in held:
+            out[i].append(b"".join(map(self.known.__getitem__, parts)))
 
 
 def segments(text: str):
