@@ -33,7 +33,7 @@ UNIT = 1_000_000_000
 TOP_TERMS = 50
 HELD_TERMS = 400_000
 SLICE_BYTES = 1 << 20
-BLOCK_CELLS = 1 << 18
+BLOCK_CELLS = 1 << 16
 LEAF = 8
 BAND = 1024
 FRONTIER = 1 << 17
