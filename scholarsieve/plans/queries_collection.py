@@ -10,7 +10,7 @@ from scholarsieve.operators import merge, rules
 from scholarsieve.operators.rules import RuleSet
 from scholarsieve.plans import stand_ins as s
 from scholarsieve.plans.registry import query, table
-from scholarsieve.streaming import rolling
+from scholarsieve.streaming import gaps, rolling
 from scholarsieve.plans.window import next_cursor, plan_windows
 from scholarsieve.sources import scan
 
@@ -254,6 +254,19 @@ def late_rows(spark, d):
     return on_time.select("event_id", F.lit("on_time").alias("side")).unionByName(late.select("event_id", F.lit("late").alias("side")))
 
 
+@query("""
+    WITH arrived AS (SELECT event_id % 40 AS batch, epoch_us(CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 9 DAY ELSE ts END) // 1000 AS ms FROM events),
+    newest AS (SELECT batch, max(ms) AS ms FROM arrived GROUP BY batch),
+    marks AS (SELECT batch, max(ms) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5 * 86400000 AS mark FROM newest)
+    SELECT (ms // 21600000 + 1) * 21600000 AS window_end, count(*) AS "rows", min(ms) AS first_ms, max(ms) AS last_ms
+    FROM arrived JOIN marks USING (batch) WHERE (ms // 21600000 + 1) * 21600000 <= mark GROUP BY 1""")
+def gap_report(spark, d):
+    """Events as arrivals in forty batches, every third one nine days old: late ones are gaps of their windows."""
+    at = F.when(F.col("event_id") % 3 == 0, F.col("ts") - F.expr("interval 9 days")).otherwise(F.col("ts"))
+    rows = table(spark, d, "events").select((F.col("event_id") % 40).alias("batch"), at.alias("at"))
+    return gaps.replay(rows, "at", "batch", hours=6, lookback_days=5)
+
+
 @query("""
     SELECT CAST(coalesce(reason, 'usable') AS VARCHAR) AS reason, count(*) AS papers FROM (
         SELECT CASE WHEN event_id % 13 = 0 THEN 'invalid_id' WHEN event_id % 17 = 0 THEN 'time_not_zoned' WHEN event_id % 19 = 0 THEN 'title_or_abstract_missing' END AS reason FROM events) GROUP BY 1""")
