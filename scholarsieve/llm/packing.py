@@ -48,7 +48,8 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.l
 LETTERS = "a-zªµºß-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-_PARTS = re.compile(f"{'|'.join(CONTRACTIONS)}|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+# Words come first, because most parts are words and none begins like the other alternatives.
+_PARTS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|{'|'.join(CONTRACTIONS)}|[^\\s{LETTERS}{NUMBERS}]+")
 _PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
 _SPECIAL = "<|"  # begins the special tokens' strings
 
