@@ -11,11 +11,12 @@ from datetime import datetime, timezone
 from typing import Protocol
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from scholarsieve import config as settings, schema
 from scholarsieve.functions import clock, text
 from scholarsieve.operators import grounding, merge, ranking, render, rules, state
+from scholarsieve.plans.window import collection_window, moved_cursor
 from scholarsieve.sources.fixtures import Fixture
 from scholarsieve.sources.sinks import Conflict, Store
 
@@ -87,17 +88,16 @@ class DailyRun:
         # Columns that an older version did not store are null.
         return empty if stored is None else empty.unionByName(stored, allowMissingColumns=True)
 
-    def _save(self, papers: DataFrame) -> DataFrame:
-        return self.store.save("papers", papers.select(*(c.name for c in self._papers().schema)))
+    def _save(self, changed: DataFrame, notes: dict | None = None) -> DataFrame:
+        """Add changed papers to the state; papers that stay as they are are not written."""
+        columns = [c.name for c in self.spark.createDataFrame([], schema.PAPER_STATE).schema]
+        return self.store.change("papers", changed.select(*columns), "base_id", notes=notes)
 
     def _set(self, changes: DataFrame, **columns: Column) -> None:
-        """Update the given columns of the papers named by `changes` (base_id, value, ...).
-
-        The state is rewritten only when there is something to change."""
+        """Update the given columns of the papers named by `changes` (base_id, value, ...)."""
         if changes.isEmpty():
             return
-        joined = self._papers().join(changes.withColumn("_hit", F.lit(True)), "base_id", "left")
-        self._save(joined.withColumns({n: F.when(F.col("_hit"), c).otherwise(F.col(n)) for n, c in columns.items()}))
+        self._save(self._papers().join(changes, "base_id").withColumns(columns))
 
     def _eligible(self, promoted=()) -> DataFrame:
         seen = state.confirmed_papers(self._events()).withColumn("confirmed", F.lit(True))
@@ -200,8 +200,19 @@ class DailyRun:
         self._set(accepted, manual_retry_until=until, manual_required=F.lit(False))
 
     # -- stages -------------------------------------------------------------
-    def collect(self, scanned: DataFrame) -> None:
-        """Screen, cap, merge and upsert; independent of everything later."""
+    def window(self, start: str | None = None, end: str | None = None) -> Row:
+        """The window to collect: automatic from the stored cursor, or a manual one. A gap is reported as an error."""
+        planned = collection_window(self.spark, self.store.notes("papers"), self.now, start, end)
+        if planned["gap_start"] is not None:
+            self.errors.append("collection_gap_outside_lookback")
+        return planned
+
+    def collect(self, scanned: DataFrame, window: Row | None = None, complete: bool = True) -> None:
+        """Screen, cap, merge and upsert; independent of everything later.
+
+        The cursor is stored in the same pointer as the papers: both become visible together, and only a complete
+        automatic window moves it. The first automatic window fixes the floor.
+        """
         known = self._papers().select("base_id")
         usable, rejected = merge.split_invalid(scanned)
         rejects = self.store.save("rejects", rejected.select("version_id", "reason"))
@@ -214,10 +225,14 @@ class DailyRun:
         kept = [c for c in papers.columns if c not in merged.columns]
         rest = papers.select("base_id", *kept)
         fresh = incoming.select("base_id", F.col("rule_trace").alias("_trace"), F.col("paper.version_id").alias("_version"))
-        joined = merged.join(rest, "base_id", "left").join(fresh, "base_id", "left")
+        # Only papers of this scan can have changed.
+        joined = merged.join(incoming.select("base_id"), "base_id", "left_semi").join(rest, "base_id", "left").join(fresh, "base_id", "left")
         takes = F.col("_trace").isNotNull() & F.col("decision").isNull() & (F.col("_version") == F.col("paper.version_id"))
         flags = {c: F.coalesce(c, F.lit(False)) for c in ("promotion_pending", "resend_pending", "manual_required")}
-        self._save(joined.withColumn("rule_trace", F.when(takes, F.col("_trace")).otherwise(F.col("rule_trace"))).withColumns(flags))
+        self._save(joined.withColumn("rule_trace", F.when(takes, F.col("_trace")).otherwise(F.col("rule_trace"))).withColumns(flags),
+                   notes=moved_cursor(self.store.notes("papers"), window, complete))
+        if not complete:
+            self.errors.append("collection_incomplete")
 
     def select(self) -> None:
         todo = self._eligible().where("outcome = 'eligible' AND NOT resend_pending AND decision IS NULL")
@@ -401,11 +416,12 @@ class DailyRun:
         self.store.report(f"reports/{self.run_id}.json", report)
         return report
 
-    def run(self, scanned: DataFrame, coverage_complete: bool = True) -> dict:
+    def run(self, scanned: DataFrame, coverage_complete: bool = True, window: Row | None = None) -> dict:
+        """One run over scanned papers; `window` is the one they come from, if the run is to move the cursor."""
         self.store.lock()
         report = {"run_id": self.run_id, "day": str(self.day), "coverage_complete": coverage_complete, "config_fingerprint": settings.fingerprint(self.config)}
         try:
-            self.collect(scanned)
+            self.collect(scanned, window, coverage_complete)
             self.select()
             self.list_metadata()
             if {"llm_summary", "evidence"} & set(self.modules):
@@ -413,6 +429,7 @@ class DailyRun:
                 self.summarize()
             self.translate()
             sent = self.send()
+            self.store.compact("papers")
             return self._report({**report, "records": self._papers().count(), "calls": self.calls, "errors": sorted(set(self.errors)), **sent})
         except Exception as exc:
             self._report({**report, "calls": self.calls, "errors": sorted({*self.errors, f"{type(exc).__name__}: {exc}"[:500]}), "status": "run_failed"})

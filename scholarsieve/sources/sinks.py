@@ -10,6 +10,7 @@ from scholarsieve.functions.text import html_escape
 
 
 POINTER = "POINTER-"
+SMALL_CHANGES = 4 << 20  # bytes as stored
 
 
 class Conflict(RuntimeError):
@@ -23,6 +24,10 @@ class Store:
     beside the older ones. The newest complete pointer wins, nothing is deleted or
     replaced, so readers, retried tasks and crashes between the steps never see half a
     table or an empty one.
+
+    A pointer names a base version and the changes made since, oldest first: `change` writes
+    only changed rows, reading takes the newest row of each key, and `compact` makes one base
+    of them. It may also carry notes (a cursor), which so become visible together with the rows.
     """
 
     FORMAT = "1"
@@ -56,33 +61,38 @@ class Store:
             stream.close()
 
     def _swap(self, path: str, content: str) -> None:
-        staged = f"{path}.{uuid.uuid4().hex}"
-        self._write_text(staged, content)
-        if self._fs.exists(self._path(path)):
-            self._fs.delete(self._path(path), False)
-        if not self._fs.rename(self._path(staged), self._path(path)):
-            raise Conflict(f"pointer_swap_failed:{path}")
+        """Replace a small file in one step; readers see the old or the new one."""
+        jvm, configuration = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        target = self._fs.makeQualified(self._path(path))
+        staged = self._fs.makeQualified(self._path(f"{path}.{uuid.uuid4().hex}"))
+        self._write_text(staged.toString(), content)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), configuration).rename(staged, target, options)
 
     def _names(self, folder: str) -> list[str]:
         path = self._path(folder)
         return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
-    def _pointer(self, table: str) -> tuple[int, str | None]:
-        """Highest pointer number and the newest version that a complete pointer names."""
+    def _pointer(self, table: str) -> tuple[int, dict | None]:
+        """Highest pointer number and what the newest complete pointer holds: versions (base first), keys, notes."""
         numbers = sorted((int(n[len(POINTER):]) for n in self._names(f"{self.root}/{table}") if n.startswith(POINTER)), reverse=True)
         for number in numbers:
             version = self._read_text(f"{self.root}/{table}/{POINTER}{number:012d}")
             if version and version.endswith("\n"):  # a pointer cut off while it was written lacks its end
-                return numbers[0], version.strip()
+                held = version.strip()  # a bare version name is a table without changes
+                return numbers[0], json.loads(held) if held.startswith("{") else {"versions": [held], "keys": [], "notes": {}}
         return (numbers or [0])[0], None
 
-    def save(self, table: str, df: DataFrame) -> DataFrame:
-        """Write a new version and point at it; returns the stored table."""
-        number, _ = self._pointer(table)
+    def _publish(self, table: str, df: DataFrame, make) -> DataFrame:
+        """Write a version folder, then a pointer made of the current one; returns the table."""
+        number, held = self._pointer(table)
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{table}/{version}")
+        pointer = json.dumps(make(held or {"versions": [], "keys": [], "notes": {}}, version), sort_keys=True)
         # Creating fails if another writer has taken the number meanwhile.
-        self._write_text(f"{self.root}/{table}/{POINTER}{number + 1:012d}", version + "\n", overwrite=False)
+        self._write_text(f"{self.root}/{table}/{POINTER}{number + 1:012d}", pointer + "\n", overwrite=False)
         if self.publisher is not None:
             try:
                 self.publisher(table, version)
@@ -90,14 +100,43 @@ class Store:
                 raise Conflict(f"checkpoint_publish_failed:{type(exc).__name__}") from None
         return self.load(table)
 
+    def save(self, table: str, df: DataFrame, notes: dict | None = None) -> DataFrame:
+        """Write a new base version and point at it; returns the stored table. Notes stay unless new ones are given."""
+        return self._publish(table, df, lambda held, version: {
+            "versions": [version], "keys": [], "notes": held["notes"] if notes is None else notes})
+
+    def change(self, table: str, df: DataFrame, *keys: str, notes: dict | None = None) -> DataFrame:
+        """Add rows that replace those with the same keys (one row per key in `df`); the rest of the table is not written."""
+        def added(held, version):
+            if held["keys"] and tuple(held["keys"]) != keys:
+                raise Conflict(f"state_corrupt: {table} is keyed by {held['keys']}")
+            return {"versions": [*held["versions"], version], "keys": list(keys), "notes": held["notes"] if notes is None else notes}
+
+        return self._publish(table, df, added)
+
+    def compact(self, table: str) -> DataFrame | None:
+        """One base version of a table with changes; without any, nothing is written."""
+        _, held = self._pointer(table)
+        return self.load(table) if held is None or len(held["versions"]) < 2 else self.save(table, self.load(table))
+
+    def notes(self, table: str) -> dict:
+        """What was last noted with the table's rows."""
+        _, held = self._pointer(table)
+        return dict(held["notes"]) if held else {}
+
     def load(self, table: str) -> DataFrame | None:
-        """The newest version; None only for a table that was never written."""
-        _, version = self._pointer(table)
-        if version is not None:
-            return self.spark.read.parquet(f"{self.root}/{table}/{version}")
-        if self._names(f"{self.root}/{table}"):
-            raise Conflict(f"state_corrupt: {table} has versions but no pointer")
-        return None
+        """The newest rows; None only for a table that was never written."""
+        _, held = self._pointer(table)
+        if held is None:
+            if self._names(f"{self.root}/{table}"):
+                raise Conflict(f"state_corrupt: {table} has versions but no pointer")
+            return None
+        read = lambda version: self.spark.read.parquet(f"{self.root}/{table}/{version}")
+        base, *changes = held["versions"]
+        if not changes:
+            return read(base)
+        size = sum(self._fs.getContentSummary(self._path(f"{self.root}/{table}/{version}")).getLength() for version in changes)
+        return newest([read(version) for version in (base, *changes)], held["keys"], small=size <= SMALL_CHANGES)
 
     def append(self, log: str, df: DataFrame) -> None:
         """Add rows to a log; the file committer makes each append all or nothing."""
@@ -140,6 +179,28 @@ class Store:
         self._swap(f"{self.root}/{relative}", json.dumps(run, ensure_ascii=False, sort_keys=True, indent=2, default=str) + "\n")
 
 
+def newest(versions: list[DataFrame], keys: list[str], small: bool) -> DataFrame:
+    """Rows of the last version that has their key.
+
+    Changes are reduced first, and the base only loses the rows they replace, so it is not shuffled where the stored
+    changes are small. Columns that a version did not store are null.
+    """
+    base, *changes = versions
+    numbered = [change.withColumn("_change", F.lit(i)) for i, change in enumerate(changes)]
+    stacked = numbered[0]
+    for more in numbered[1:]:
+        stacked = stacked.unionByName(more, allowMissingColumns=True)
+    columns = [c for c in stacked.columns if c != "_change"]
+    latest = stacked.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_change").alias("_row")).select("_row.*")
+    same = None
+    marked = stacked.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    marked = F.broadcast(marked) if small else marked
+    for k in keys:
+        test = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = test if same is None else same & test
+    return base.join(marked, same, "left_anti").unionByName(latest, allowMissingColumns=True)
+
+
 # Export columns in their order.
 EXPORT_COLUMNS = ("base_id", "version_id", "published_local", "title", "link", "categories", "routes", "matched_groups", "abstract")
 
