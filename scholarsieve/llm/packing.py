@@ -36,9 +36,9 @@ OPEN_WINDOWS = 64
 LEAST_CUT = 16
 FAN_IN = 32
 END_ID = 2
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 SEGMENT = 1 << 20
-BATCH_TOKENS = 1 << 18
+BATCH_TOKENS = 1 << 17
 
 PIECES = "doc_id long, start long, ids array<int>, doc_tokens long, sequence_id long, offset long, origin long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_tokens", pa.int64()),
