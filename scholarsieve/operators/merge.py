@@ -21,12 +21,13 @@ def canonical(papers: DataFrame) -> DataFrame:
 
 
 def from_feed(raw: DataFrame) -> DataFrame:
-    """Feed record (entry_id, title, summary, categories, authors, times) to a paper row."""
+    """Feed record (entry_id, title, summary, categories, authors, times) to a paper row; `arrival` is null if it has none."""
+    arrival = F.col("arrival") if "arrival" in raw.columns else F.lit(None)
     return canonical(raw.select(
         F.col("entry_id").alias("version_id"), strip(F.col("title")).alias("title"), strip(F.col("summary")).alias("abstract"),
         "categories", clock.parse_time(F.col("published")).alias("published"),
         clock.parse_time(F.col("updated")).alias("updated"), F.transform("authors", lambda a: a["name"]).alias("authors"),
-        F.coalesce("pdf_url", F.lit("")).alias("pdf_url")))
+        F.coalesce("pdf_url", F.lit("")).alias("pdf_url"), arrival.cast("long").alias("arrival")))
 
 
 def invalid_reason(papers: DataFrame) -> Column:

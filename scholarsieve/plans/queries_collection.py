@@ -49,13 +49,13 @@ def collection_window(spark, d):
              AND (SELECT sum(n) FROM per_minute WHERE m BETWEEN lo AND hi) >= (SELECT cap FROM limits)),
     counted AS (SELECT lo, hi, depth, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM per_minute WHERE m BETWEEN lo AND hi), 0) AS n, (SELECT cap FROM limits) AS cap FROM spans)
     SELECT strftime(lo, '%Y%m%d%H%M') AS "start", strftime(hi, '%Y%m%d%H%M') AS "end", depth, least(n, cap) AS seen,
-           CASE WHEN n < cap THEN 'complete' ELSE 'split' END AS status
+           CASE WHEN n < cap THEN 'complete' WHEN lo < hi THEN 'split' ELSE 'shard_limit' END AS status, (SELECT bool_and(n < cap OR lo < hi) FROM counted) AS complete
     FROM counted""")
 def shard_plan(spark, d):
     events = table(spark, d, "events").select(F.col("ts").alias("published"), F.array("event_type").alias("categories"))
     total = scan.window_scan(events, _START, _END).count()
     audit = scan.shard_audit(events, _START, _END, (), shard_limit=total // 9)
-    return audit.select(clock.query_stamp("start").alias("start"), clock.query_stamp("end").alias("end"), "depth", "seen", "status")
+    return audit.select(clock.query_stamp("start").alias("start"), clock.query_stamp("end").alias("end"), "depth", "seen", "status", "complete")
 
 
 @query("""

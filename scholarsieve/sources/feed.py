@@ -3,6 +3,11 @@
 Rows are feed records for `merge.from_feed`. The feed allows one slow request at a
 time, so the plan is built for politeness: a shard is one partition, and `lanes`
 (default 1) bounds how many run at once.
+
+Every row carries `arrival`: its shard's start minute and its place in the shard, which
+are the same whenever the window is read again. As a stream, offsets are minutes; each
+batch is the window since the last one, so a batch replayed after a failure asks for
+the same window.
 """
 from __future__ import annotations
 
@@ -10,14 +15,16 @@ import time
 import urllib.parse
 import urllib.request
 import xml.etree.ElementTree as ElementTree
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
+from importlib import import_module
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from scholarsieve.sources import scan
 
 FEED_SCHEMA = ("entry_id string, title string, summary string, categories array<string>, published string, updated string, "
-               "authors array<struct<name:string>>, pdf_url string")
+               "authors array<struct<name:string>>, pdf_url string, arrival long")
+PLACES = 1_000_000  # places of one start minute
 
 # Public feed address and XML names.
 _API = "https://export.arxiv.org/api/query"
@@ -56,18 +63,26 @@ class _Lane(InputPartition):
         self.shards = shards
 
 
-class _Reader(DataSourceReader):
+class _Windows:
+    """Shards of one window and their rows."""
+
     def __init__(self, options: dict):
-        self.start, self.end = (datetime.fromisoformat(options[k]) for k in ("start", "end"))
         self.categories = tuple(c for c in options.get("categories", "").split(",") if c)
         self.page, self.delay = int(options.get("page_size", 100)), float(options.get("delay_seconds", 3))
         self.limit, self.lanes = int(options.get("shard_limit", 10000)), int(options.get("lanes", 1))
+        # "module:function" with the signature of fetch_page, for proxies and tests
+        module, _, function = options.get("transport", f"{__name__}:fetch_page").partition(":")
+        self.transport = (module, function)
+
+    def _fetch(self, search: str, offset: int, size: int) -> bytes:
+        module, function = self.transport
+        return getattr(import_module(module), function)(search, offset, size, self.delay)
 
     def _count(self, start, end, categories) -> int:
-        return parse_page(fetch_page(query(start, end, categories), 0, 1, self.delay))[0]
+        return parse_page(self._fetch(query(start, end, categories), 0, 1))[0]
 
-    def partitions(self):
-        audit, complete = scan.plan_shards(self._count, self.start, self.end, self.categories, self.limit)
+    def lanes_of(self, start: datetime, end: datetime) -> list[_Lane]:
+        audit, complete = scan.plan_shards(self._count, start, end, self.categories, self.limit)
         if not complete:
             raise RuntimeError("collection window cannot be split below the feed's row limit")
         leaves = [s for s in audit if s.status == "complete" and s.seen]
@@ -76,16 +91,57 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         for shard in partition.shards:
             search, offset = query(shard.start, shard.end, shard.categories), 0
+            first = int(shard.start.replace(tzinfo=timezone.utc).timestamp() // 60) * PLACES
             while offset < shard.seen:
-                _, rows = parse_page(fetch_page(search, offset, self.page, self.delay))
+                _, rows = parse_page(self._fetch(search, offset, self.page))
                 if not rows:
                     raise RuntimeError("feed page ended early")
-                yield from rows
+                for place, row in enumerate(rows, offset):
+                    yield (*row, first + place)
                 offset += len(rows)
 
 
+class _Reader(_Windows, DataSourceReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.start, self.end = (datetime.fromisoformat(options[k]) for k in ("start", "end"))
+
+    def partitions(self):
+        return self.lanes_of(self.start, self.end)
+
+
+class _StreamReader(_Windows, DataSourceStreamReader):
+    """Offsets are the first minute not read yet, and nothing else is remembered: a restart goes on from its checkpoint.
+
+    `until` ends the stream's time (default: the clock, less a minute); a long absence is one batch of many shards.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.start, self.until = options["start"], options.get("until")
+
+    @staticmethod
+    def _offset(moment: datetime) -> dict:
+        return {"minute": moment.replace(second=0, microsecond=0, tzinfo=None).isoformat()}
+
+    def initialOffset(self) -> dict:
+        return self._offset(datetime.fromisoformat(self.start))
+
+    def latestOffset(self) -> dict:
+        now = datetime.now(timezone.utc) - timedelta(minutes=1)
+        return max(self.initialOffset(), self._offset(datetime.fromisoformat(self.until) if self.until else now), key=lambda offset: offset["minute"])
+
+    def partitions(self, start: dict, end: dict):
+        low, high = (datetime.fromisoformat(offset["minute"]) for offset in (start, end))
+        # Both ends of a search are inclusive minutes; the end minute belongs to the next batch.
+        return self.lanes_of(low, high - timedelta(minutes=1)) if low < high else []
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class PaperFeed(DataSource):
-    """spark.dataSource.register(PaperFeed); spark.read.format("paper_feed").option("start", ...)..."""
+    """spark.dataSource.register(PaperFeed); spark.read.format("paper_feed").option("start", ...), or spark.readStream."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,3 +152,6 @@ class PaperFeed(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options)

@@ -1,15 +1,15 @@
 """Windowed metadata scans, shard planning and the cached raw snapshot."""
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import json
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scholarsieve.config import fingerprint
 from scholarsieve.functions import clock
+from scholarsieve.session import cut_lineage
 
 # Shard work limits.
 MAX_SHARDS, MAX_DEPTH = 256, 24
@@ -69,27 +69,39 @@ def plan_shards(count, start: datetime, end: datetime, categories: tuple, shard_
     return audit, complete
 
 
-def shard_audit(papers: DataFrame, start: datetime, end: datetime, categories: tuple, shard_limit: int) -> DataFrame:
-    """Shard plan for a stored table.
+def _family(shard: Shard, levels: int) -> list[Shard]:
+    """A shard with what it may be split into, by time only."""
+    found = level = [shard]
+    for _ in range(levels):
+        level = [half for s in level if s.end > s.start for half in _halves(s)]
+        found = found + level
+    return found
 
-    The driver gets one count per minute of the window, so its size depends on the
-    window's length only. Shards narrower than the category list, which exist only
-    for a single saturated minute, are counted by a job of their own.
+
+def shard_audit(papers: DataFrame, start: datetime, end: datetime, categories: tuple, shard_limit: int, levels: int = 5) -> DataFrame:
+    """Shard plan for a stored table, with `complete`: does the plan cover the whole window?
+
+    Rows are counted per minute on the cluster; the driver only gets the counts of shards it asks for, those of a
+    shard and of `levels` further splits in one job, so the plan takes few jobs and at most `MAX_SHARDS` decisions,
+    whatever the window's length. Shards narrower than the category list, which exist only for a single saturated
+    minute, are counted by a job of their own.
     """
-    spark = papers.sparkSession
-    rows_in = window_scan(papers, start, end, categories)
-    per_minute = sorted(rows_in.groupBy(clock.minute(F.col("published")).alias("m")).count().collect())
-    minutes = [r[0] for r in per_minute]
-    sums = list(accumulate((r[1] for r in per_minute), initial=0))
+    spark, whole = papers.sparkSession, tuple(categories)
+    per_minute = cut_lineage(window_scan(papers, start, end, categories).groupBy(clock.minute(F.col("published")).alias("m")).agg(F.count("*").alias("n")))
+    known: dict = {}
 
     def count(lo, hi, cats):
-        if cats == tuple(categories):
-            return sums[bisect_right(minutes, hi)] - sums[bisect_left(minutes, lo)]
-        return window_scan(papers, max(lo, start), min(hi + timedelta(minutes=1, microseconds=-1), end), cats).count()
+        if cats != whole:
+            return window_scan(papers, max(lo, start), min(hi + timedelta(minutes=1, microseconds=-1), end), cats).count()
+        if (lo, hi) not in known:
+            spans = sorted({(s.start, s.end) for s in _family(Shard(lo, hi, whole, 0), levels)})
+            sums = (F.sum(F.when(F.col("m").between(clock.utc(a), clock.utc(b)), F.col("n"))).alias(f"n{i}") for i, (a, b) in enumerate(spans))
+            known.update(zip(spans, (n or 0 for n in per_minute.agg(*sums).first())))
+        return known[lo, hi]
 
-    audit, _ = plan_shards(count, start.replace(second=0, microsecond=0), end.replace(second=0, microsecond=0), tuple(categories), shard_limit)
-    rows = [(s.start, s.end, list(s.categories), s.depth, s.status, s.seen) for s in audit]
-    return spark.createDataFrame(rows, "start timestamp_ntz, end timestamp_ntz, categories array<string>, depth int, status string, seen long")
+    audit, complete = plan_shards(count, start.replace(second=0, microsecond=0), end.replace(second=0, microsecond=0), whole, shard_limit)
+    rows = [(s.start, s.end, list(s.categories), s.depth, s.status, s.seen, complete) for s in audit]
+    return spark.createDataFrame(rows, "start timestamp_ntz, end timestamp_ntz, categories array<string>, depth int, status string, seen long, complete boolean")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -97,18 +109,39 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+SNAPSHOT_SCHEMA = 1
+
+
+def _described(window: dict, categories, cap: int) -> dict:
+    return {"schema": SNAPSHOT_SCHEMA, "window": window, "categories": sorted(set(categories)), "max_papers": cap}
+
+
 def snapshot_path(root: str, window: dict, categories, cap: int) -> str:
-    key = fingerprint({"schema": 1, "window": window, "categories": sorted(set(categories)), "max_papers": cap})
-    return f"{root.rstrip('/')}/{key[:24]}"
+    return f"{root.rstrip('/')}/{fingerprint(_described(window, categories, cap))[:24]}"
+
+
+def snapshot_manifest(spark: SparkSession, path: str) -> dict | None:
+    """What a snapshot says of itself; null for one that was not finished."""
+    target = f"{path}.manifest"
+    return json.loads("\n".join(r[0] for r in spark.read.text(target).collect())) if _exists(spark, f"{target}/_SUCCESS") else None
 
 
-def cached_snapshot(spark: SparkSession, root: str, window: dict, categories, cap: int, fetch, refresh: bool = False) -> tuple[DataFrame, bool]:
-    """Raw rows for one (window, categories, cap); rule changes reuse them.
+def cached_snapshot(spark: SparkSession, root: str, window: dict, categories, cap: int, fetch, refresh: bool = False) -> tuple[DataFrame, dict, bool]:
+    """(raw rows, manifest, reused) for one (window, categories, cap); rule changes reuse them.
 
-    Non-matching rows are kept: widening a rule must not need another fetch.
+    `fetch()` gives the rows, or the rows and whether they cover the window. Non-matching rows are kept: widening a rule
+    must not need another fetch. The manifest beside the data names window, categories, cap and coverage; it is written
+    last, and one that does not fit the request is an error, not a hit. `lab.check_coverage` takes it.
     """
-    path = snapshot_path(root, window, categories, cap)
-    reused = not refresh and _exists(spark, f"{path}/_SUCCESS")
-    if not reused:
-        fetch().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), reused
+    path, asked = snapshot_path(root, window, categories, cap), _described(window, categories, cap)
+    manifest = None if refresh else snapshot_manifest(spark, path)
+    if manifest is not None:
+        if any(manifest.get(name) != value for name, value in asked.items()):
+            raise ValueError("the stored snapshot is of another experiment: fetch it again with refresh=True")
+        return spark.read.parquet(path), manifest, True
+    fetched = fetch()
+    rows, complete = fetched if isinstance(fetched, tuple) else (fetched, True)
+    rows.write.mode("overwrite").parquet(path)
+    manifest = {**asked, "complete": complete}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").write.mode("overwrite").text(f"{path}.manifest")
+    return spark.read.parquet(path), manifest, False
