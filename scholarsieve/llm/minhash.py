@@ -13,7 +13,7 @@ belong together), and a family is compared in blocks: a task multiplies the shin
 gives all exact intersections at once, and returns a spanning forest of the links it finds, never a list of pairs.
 
 Nulls and edge cases: null or wordless texts have no shingles and link with nothing; fewer words than the
-shingle width make one shingle of all of them; rows with a null doc_id are left out; rows repeating a doc_id
+shingle width make one shingle of all of them; a null doc_id links with nothing and has a null component; rows repeating a doc_id
 are each compared by their own text (doc_id should be unique; repeats share the links of any of their texts); other columns are ignored.
 Shingles are compared as 64-bit hashes.
 """
@@ -85,7 +85,7 @@ def _signer(width: int, bands: int, rows: int):
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n, h1, h2, keys): set size, order-free 128-bit hash of the set, one bucket key per band."""
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_signer(width, bands, rows), "doc_id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_signer(width, bands, rows), "doc_id long, n long, h1 long, h2 long, keys array<long>")
 
 
 def _set_maker(width: int):
@@ -174,7 +174,7 @@ def _compare(percent: int):
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest doc_id reachable by links."""
     signed = stored(signatures(docs, width, bands, rows), "near-signatures")
-    some = signed.where("n > 0")
+    some = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "near-classes")
     members = classes.select("rep", "n", F.explode("keys").alias("key"))
     # Hub = smallest member; buckets of one member end here.
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
                .select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id")))
     return (signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
             .join(classed.withColumnRenamed("n", "n_shingles"), ["n_shingles", "h1", "h2"], "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

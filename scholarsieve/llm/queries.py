@@ -113,7 +113,7 @@ def op8_suffix_dedup(spark, folder):
 @query
 def op9_minhash_near_dedup(spark, folder):
     found = minhash.near_duplicates(table(spark, folder, "documents"), width=2)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 @query

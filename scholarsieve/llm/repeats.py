@@ -17,8 +17,8 @@ split by window content before this step, which keeps every group bounded and st
 Whole documents with equal bytes are one before all this: all but the smallest doc_id are repeats throughout.
 
 Nulls and edge cases: null texts are empty; texts below `LENGTH` bytes keep everything; a null doc_id takes no part
-in matching and keeps its text; rows repeating a doc_id are compared with other documents and with themselves;
-an empty table gives no rows; other columns are ignored.
+in matching and keeps its text; rows that share a doc_id are documents of their own, in the order of their texts'
+hashes; an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -381,8 +381,23 @@ def merged_spans(starts, lengths) -> list[tuple[int, int]]:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document; spans are byte ranges, end exclusive."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are byte ranges, end exclusive.
+
+    Where rows share a doc_id, each row is given a key of its own in the order of (doc_id, text hash), and the work is
+    done by keys: spans belong to rows, and of equal rows the first stays whole.
+    """
     texts = docs.select("doc_id", "text")
+    options = {"length": length, "gram": gram, "bucket_bytes": bucket_bytes, "hot": hot}
+    if texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _repeats(texts, **options)
+    ordered = texts.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = stored(ordered.withColumn("key", F.monotonically_increasing_id()), "repeat-rows")
+    nameless = texts.where("doc_id is null")
+    found = _repeats(keyed.select(F.col("key").alias("doc_id"), "text").unionByName(nameless), **options)
+    return found.withColumnRenamed("doc_id", "key").join(keyed.select("key", "doc_id"), "key", "left").select("doc_id", *(c for c in found.columns if c != "doc_id"))
+
+
+def _repeats(texts: DataFrame, length: int, gram: int, bucket_bytes: int, hot: int) -> DataFrame:
     named = texts.where("doc_id is not null")
     sized = named.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.octet_length("text").alias("n")).where(F.col("n") >= length)
     leaders = sized.groupBy("hash").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c"), F.max("n").alias("n"))

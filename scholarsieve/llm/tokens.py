@@ -14,6 +14,7 @@ ordered by text; null doc_ids come first; an empty table gives no rows. Other co
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -29,23 +30,105 @@ CHUNK_IDS = 1 << 17
 PERCENTILE = 90
 END_ID = 2
 BATCH_ROWS = 128
+REMEMBERED = 300_000
+SEGMENT = 1 << 20
 
 FILE_SCHEMA = ("shard int, chunk long, first_id long, n_ids long, doc_ids array<long>, lengths array<int>, "
                "block_starts binary, payload binary")
 _HEADER = np.dtype([("low", "<u4"), ("width", "u1"), ("_a", "u1"), ("n", "<u2"), ("extra", "<u2"), ("_b", "<u2")])
 
 
-def _tokenizer(path: str):
-    """One per worker."""
-    if path not in _loaded:
+# Letters and numbers of Latin-1 and the contractions of the byte-level rule.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+NUMBERS = "0-9²³¹¼-¾"
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+# Words come first, because most parts are words and none begins like a contraction.
+_PARTS = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|{'|'.join(CONTRACTIONS)}| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
+_PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
+_INNER_SPACE = re.compile(r".+\s|^[\t\n\r]|^ $", re.S)
+#: Before a blank with a character behind it, a text may be cut without changing its ids.
+_CUT = re.compile(r"(?= \S)")
+_SPECIAL, _ODD, _BREAK = "<|", "\0", "\n"
+
+
+class Encoder:
+    """Ids of texts under a byte-level tokenizer, as little-endian 32-bit values; one per worker.
+
+    The tokenizer encodes each word, number and run of marks or spaces on its own, so a distinct one is encoded once
+    and remembered (up to about `REMEMBERED`). Texts of Latin-1 characters are divided as the tokenizer's own rule
+    divides them, and unseen parts are encoded together, parted by line breaks; pieces between blanks with other
+    characters, or with a special token's string, go to the tokenizer as they are. Ids are those of its plain call on
+    the whole text.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        _loaded[path] = Tokenizer.from_file(path)
-        _loaded[path].encode_special_tokens = True  # their strings in a text are ordinary text
-    return _loaded[path]
+        self.whole = Tokenizer.from_file(path)
+        [self.line_break] = self.whole.encode(_BREAK, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+
+    def divide(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text) and _SPECIAL not in text:
+            return _PARTS.findall(text)
+        found = []
+        for piece in _CUT.split(text):
+            if _PLAIN.fullmatch(piece) and _SPECIAL not in piece:
+                found += _PARTS.findall(piece)
+            else:
+                found.append(_ODD + piece)
+        return found
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the parts not seen before."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = set().union(*texts).difference(self.known)
+        alone = [part for part in new if part[0] == _ODD or _INNER_SPACE.search(part)]
+        for part, one in zip(alone, self.whole.encode_batch_fast([part.removeprefix(_ODD) for part in alone], add_special_tokens=False)):
+            self.known[part] = np.asarray(one.ids, "<u4").tobytes()
+        unseen = list(new.difference(alone))
+        joined = [unseen[k:k + 500] for k in range(0, len(unseen), 500)]
+        for some, one in zip(joined, self.whole.encode_batch_fast([_BREAK.join(some) + _BREAK for some in joined], add_special_tokens=False)):
+            ids = np.asarray(one.ids, "<u4")
+            raw, begin = ids.tobytes(), 0
+            for part, end in zip(some, (4 * np.flatnonzero(ids == self.line_break)).tolist(), strict=True):
+                self.known[part] = raw[begin:end]
+                begin = end + 4
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts together; long ones are handled in segments."""
+        out: list = [[] for _ in texts]
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for segment in segments(text):
+                held.append((i, self.divide(segment)))
+                size += len(segment)
+                if size > SEGMENT:
+                    self._fill(held, out)
+                    held, size = [], 0
+        self._fill(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _fill(self, held, out) -> None:
+        self.learn([parts for _, parts in held])
+        for i, parts in held:
+            out[i].append(b"".join(map(self.known.__getitem__, parts)))
+
+
+def segments(text: str):
+    """A long text in slices that begin at a blank with a character behind it."""
+    begin = 0
+    while len(text) - begin > SEGMENT:
+        cut = _CUT.search(text, begin + SEGMENT)
+        if cut is None:
+            break
+        yield text[begin:cut.start()]
+        begin = cut.start()
+    yield text[begin:]
 
 
-_loaded: dict = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -119,7 +202,7 @@ def _writer(path: str, end_id: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def write(batches):
-        tokenizer = _tokenizer(path)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         shard = TaskContext.get().partitionId()
         chunk = first = held = 0
         docs, sizes, parts = [], [], []
@@ -132,10 +215,9 @@ def _writer(path: str, end_id: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, BATCH_ROWS):
                 some = batch.slice(begin, BATCH_ROWS)
-                texts = [text or "" for text in some.column(1).to_pylist()]
-                encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                for doc, one in zip(some.column(0).to_pylist(), encoded):
-                    ids = np.asarray(one.ids, "<u4").tobytes() + end
+                encoded = encoder.encode([text or "" for text in some.column(1).to_pylist()])
+                for doc, ids in zip(some.column(0).to_pylist(), encoded):
+                    ids += end
                     docs.append(doc)
                     sizes.append(len(ids) // 4)
                     parts.append(ids)

@@ -83,3 +83,12 @@ def test_null_ids_repeats_and_empty_tables(documents):
     rows = repeats.repeats(documents([(None, text, "s"), (3, text, "s"), (5, text, None), (5, text, None)])).collect()
     assert sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in rows) == [("3", 0, 0), ("5", 300, 1), ("5", 300, 1), ("None", 0, 0)]
     assert repeats.repeats(documents({1: "a"}).limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_lose_only_what_an_earlier_row_holds(documents):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    text, other, shared = make(300), make(400), make(150)
+    rows = [(7, text, "s"), (7, text, "s"), (7, other + shared, "s"), (4, shared, "s"), (9, text[:200], None), (None, text, "s")]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, [tuple(x) for x in r.spans]) for r in repeats.repeats(documents(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(7, 300, 0, []), (7, 300, 300, [(0, 300)]), (7, 550, 150, [(400, 550)]), (4, 150, 0, []), (9, 200, 200, [(0, 200)]), (None, 300, 0, [])], key=str)

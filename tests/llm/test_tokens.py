@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -29,7 +30,6 @@ def test_files_match_the_library(documents, monkeypatch):
     texts = {5: "Hello  world\n\n x", 3: "", 9: None, 1: "ß é <|endoftext|> 12", 70: "long " * 900, 8: "same", 2: "same"}
     got = {r.doc_id: r for r in tokens.read_digest(tokens.write_files(documents(texts), PATH)).collect()}
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     start = 0
     for doc in sorted(texts):
         ids = [*library.encode(texts[doc] or "", add_special_tokens=False).ids, 2]
@@ -44,3 +44,18 @@ def test_repeated_and_null_ids_and_empty_tables(documents):
     assert sorted(r.start for r in got) == [0, 2, 4, 6] and sum(r.n_tokens for r in got) == 9
     assert [r.start for r in got if r.doc_id is None] == [0]
     assert tokens.read_digest(tokens.write_files(documents(rows).limit(0), PATH)).count() == 0
+
+
+ODD = ["", " ", "Hello  World\n\n x", "a <|endoftext|> b", "a<|endoftext|>  b", "don't WE'LL it's 'tis 'S 's", "12 ½ ²³ ªº µ ß", "naïve ÀÉ ÿ × ÷", "İ ǅ ΣΑΣ", "éa ́b",
+       "x y z \x85 \x1c\x1d q \x0b\x0c", "東京 とう きょう", "emoji 👩‍👩 ️ x", "...!?,; :-- __ ## ' '", "tab\tnew\r\n line \n \n  two", "\x00\x01 \x7f", "  lead", "trail  ", "a  b   c\t d"]
+
+
+def test_ids_are_those_of_the_plain_call(monkeypatch):
+    library, rng = Tokenizer.from_file(PATH), random.Random(5)
+    alphabet = "aB é'’sßΣİ\n\t  12½.,<|>endoftxt́ 東\u3000"
+    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Encoder(PATH).encode(texts) == want
+    monkeypatch.setattr(tokens, "SEGMENT", 9)
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    assert tokens.Encoder(PATH).encode(texts) == want
