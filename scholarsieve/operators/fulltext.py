@@ -287,11 +287,14 @@ def page_stats(pages: DataFrame, doc: str = "version_id") -> DataFrame:
     """Line and heading statistics of extracted pages for the PDF gate."""
     filled = F.filter(F.transform(F.split("raw", LINE_BREAK), strip), lambda x: x != "")
     heads = F.filter(F.transform(F.split("raw", LINE_BREAK), pdf_heading), lambda x: x.isNotNull())
-    rows = pages.select(doc, "page", F.size(filled).alias("lines"), F.size(F.filter(filled, lambda x: F.length(x) <= 2)).alias("short"),
-                        (F.length(collapse(F.col("raw"))) < 80).alias("missing"), F.array_join(heads, " ").alias("heads"))
+    rows = pages.withColumn("_text", once(collapse(F.col("raw")))).select(doc, "page", F.size(filled).alias("lines"), F.size(F.filter(filled, lambda x: F.length(x) <= 2)).alias("short"),
+                        (F.length("_text") < 80).alias("missing"), F.array_join(heads, " ").alias("heads"), F.length("_text").alias("chars"),
+                        (F.length("_text") - F.length(F.replace("_text", F.lit("\ufffd"), F.lit("")))).alias("broken"))
     first = F.col("page") == 1
     return rows.groupBy(doc).agg(
-        F.count("*").alias("physical_page_count"), F.count_if("missing").alias("missing_pages"),
+        F.count("*").alias("physical_page_count"), F.count_if("missing").alias("missing_pages"), F.count_if(F.col("chars") > 0).alias("filled_pages"),
+        # Pages are joined by one blank.
+        (F.sum("chars") + F.greatest(F.count_if(F.col("chars") > 0) - 1, F.lit(0))).alias("read_chars"), F.sum("broken").alias("broken_glyphs"),
         ((F.sum("lines") > 0) & (F.sum("short") / F.nullif(F.sum("lines"), F.lit(0)) < 0.25)).alias("order_ok"),
         F.coalesce(F.bool_or(F.col("heads").rlike(METHOD)), F.lit(False)).alias("has_method"),
         F.coalesce(F.bool_or(F.col("heads").rlike(EVALUATION)), F.lit(False)).alias("has_evaluation_or_theory"),
@@ -299,6 +302,19 @@ def page_stats(pages: DataFrame, doc: str = "version_id") -> DataFrame:
         F.coalesce(F.bool_or(first & F.col("heads").rlike(EVALUATION)), F.lit(False)).alias("evaluation_on_first_page"))
 
 
+def pdf_quality(stats: DataFrame, min_chars: int) -> DataFrame:
+    """Gate of extracted pages from their statistics (`page_stats`): every page is a section of its own, and headings
+    inside pages stand for section names; a single page with both needs no further structure. Adds passed and reasons."""
+    both = F.col("has_method") & F.col("has_evaluation_or_theory")
+    reasons = F.array_compact(F.array(
+        F.when(F.col("read_chars") < min_chars, "too_short"),
+        F.when((F.col("filled_pages") < 2) & ~(both & (F.col("physical_page_count") == 1)), "no_section_structure"),
+        F.when(~F.col("has_method"), "method_section_missing"), F.when(~F.col("has_evaluation_or_theory"), "evaluation_or_theory_section_missing"),
+        F.when(~F.col("order_ok"), "reading_order_uncertain"), F.when(F.col("missing_pages") > 0, "missing_or_unreadable_pages"),
+        F.when(F.col("broken_glyphs") > 0.001 * F.col("read_chars"), "replacement_glyphs")))
+    return stats.withColumns({"reasons": reasons, "passed": F.size(reasons) == 0})
+
+
 def caption_label(line: Column) -> Column:
     """'Figure 3', 'Table S1', ... at the start of a caption line, else null."""
     found = F.regexp_extract(line, markup.CAPTION, 1)
@@ -348,9 +364,6 @@ def chunk_cap(chunk_chars: int, input_chars: int) -> int:
     return max(256, min(chunk_chars, input_chars - 512))
 
 
-_PIECE = "array<struct<locator:string,text:string>>"
-
-
 def _last(text: Column, mark: str) -> Column:
     """Characters before the last use of a mark; -1 without one."""
     behind = F.instr(F.reverse(text), mark[::-1])
@@ -365,43 +378,70 @@ def _pieces(section: Column, cap: int) -> Column:
     """
     text = F.coalesce(section["text"], F.lit(""))
 
-    def step(done, _):
-        start = done["start"]
+    def step(start, _):
         window = F.substring(text, start + 1, F.lit(cap))
         mark = F.greatest(*(_last(window, m) for m in (". ", "。", " ")))
-        end = F.when((start + cap < F.length(text)) & (mark > cap // 2), mark + 1).otherwise(F.length(window))
-        piece = F.struct(section["locator"].alias("locator"), F.substring(window, F.lit(1), end).alias("text"))
-        return F.when(start >= F.length(text), done).otherwise(F.struct((start + end).alias("start"), F.concat(done["out"], F.array(piece)).alias("out")))
+        size = F.when((start + cap < F.length(text)) & (mark > cap // 2), mark + 1).otherwise(F.length(window))
+        return F.struct((start + size).alias("state"), F.struct(start.alias("start"), size.alias("size")).alias("out"))
 
-    first = F.struct(F.lit(0).alias("start"), F.array().cast(_PIECE).alias("out"))
     steps = F.sequence(F.lit(0), (F.length(text) / (cap // 2)).cast("int"))
-    return F.aggregate(steps, first, step, lambda done: done["out"])
+    cuts = F.filter(arrays.scan(steps, F.lit(0), step, "struct<start:int,size:int>"), lambda c: c["size"] > 0)
+    return F.transform(cuts, lambda c: F.struct(section["locator"].alias("locator"), F.substring(text, c["start"] + 1, c["size"]).alias("text")))
 
 
-def chunks(bodies: DataFrame, cap: int, *keys: str) -> DataFrame:
-    """Chunk pieces (chunk, seq, locator, text) of every body's sections.
-
-    Pieces fill a chunk in order until the next one would pass the cap.
-    """
+def _packed(cap: int) -> Column:
+    """Pieces (chunk, locator, text) of a body's `sections`: they fill a chunk in order until the next one would pass the cap."""
     def pack(state, piece):
         size = F.length(piece["text"])
         full = (state["size"] > 0) & (state["size"] + size > cap)
         chunk = state["chunk"] + full.cast("int")
-        entry = F.struct(chunk.alias("chunk"), piece["locator"].alias("locator"), piece["text"].alias("text"))
-        return F.struct(chunk.alias("chunk"), F.when(full, size).otherwise(state["size"] + size).alias("size"), F.concat(state["out"], F.array(entry)).alias("out"))
+        return F.struct(F.struct(chunk.alias("chunk"), F.when(full, size).otherwise(state["size"] + size).alias("size")).alias("state"),
+                        F.struct(chunk.alias("chunk"), piece["locator"].alias("locator"), piece["text"].alias("text")).alias("out"))
 
-    pieces = F.flatten(F.transform(F.coalesce("sections", F.array().cast("array<struct<locator:string,text:string,kind:string>>")), lambda x: _pieces(x, cap)))
-    first = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<struct<chunk:int,locator:string,text:string>>").alias("out"))
-    packed = bodies.select(*keys, pieces.alias("_pieces")).select(*keys, F.posexplode(F.aggregate("_pieces", first, pack, lambda state: state["out"])).alias("seq", "c"))
-    return packed.select(*keys, "seq", "c.*")
+    pieces = F.flatten(F.transform(F.coalesce("sections", F.array().cast(_SECTIONS)), lambda x: _pieces(x, cap)))
+    first = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"))
+    return arrays.scan(pieces, first, pack, "struct<chunk:int,locator:string,text:string>")
 
 
-def reading_context(bodies: DataFrame, input_chars: int, evidence_on: bool) -> Column:
-    """How a body reaches the model: whole, as chunk notes, or not at all."""
-    direct = F.to_json(F.struct("source_url", F.transform("sections", lambda s: F.struct(s["locator"].alias("locator"), s["text"].alias("text")))
-                                .alias("sections")))
-    return (F.when(F.length(direct) <= input_chars, "direct")
-            .otherwise("chunk_notes" if evidence_on else "fulltext_exceeds_direct_input_limit"))
+def chunks(bodies: DataFrame, cap: int, *keys: str) -> DataFrame:
+    """Chunk pieces (chunk, seq, locator, text) of every body's sections."""
+    return bodies.select(*keys, F.posexplode(_packed(cap)).alias("seq", "c")).select(*keys, "seq", "c.*")
+
+
+def _spaced_json(value: Column, separators: Column) -> Column:
+    """Length of a value as JSON with a blank behind each of its separators; nulls are written out."""
+    return F.length(F.to_json(value, {"ignoreNullFields": "false"})) + separators
+
+
+def _commas(values: Column) -> Column:
+    return F.greatest(F.size(values) - 1, F.lit(0))
+
+
+def reading_context(bodies: DataFrame, input_chars: int, evidence_on: bool, chunk_chars: int = 12_000, max_section_calls: int = 64) -> Column:
+    """How a body reaches the model: whole, as notes on its chunks, or not at all, and then why.
+
+    Measured is all that is sent: address, sections, captions with their pages, and the locators that were read. A body
+    may have `figures` (label, locator, caption) and `figure_pages` (label to page). Notes take one call per chunk.
+    """
+    columns = bodies.columns
+    no_figures = F.array().cast("array<struct<label:string,locator:string,caption:string>>")
+    figures = F.coalesce("figures", no_figures) if "figures" in columns else no_figures
+    page = lambda label: F.try_element_at("figure_pages", label) if "figure_pages" in columns else F.lit(None).cast("int")
+
+    def measured(captions):
+        covered = F.transform(F.filter("sections", lambda s: ~blank(s["text"])), lambda s: s["locator"])
+        texts = F.transform("sections", lambda s: F.struct(s["locator"].alias("locator"), s["text"].alias("text")))
+        context = F.struct("source_url", texts.alias("sections"), captions.alias("captions"), covered.alias("coverage"))
+        # An object of k fields has 2k - 1 separators.
+        separators = 7 + 3 * F.size("sections") + _commas(F.col("sections")) + 7 * F.size(captions) + _commas(captions) + _commas(covered)
+        return _spaced_json(context, separators)
+
+    captions = F.transform(figures, lambda f: F.struct(f["locator"].alias("locator"), f["label"].alias("label"), f["caption"].alias("caption"), page(f["label"]).alias("pdf_physical_page")))
+    fits = let(captions, measured) <= input_chars
+    if not evidence_on:
+        return F.when(fits, "direct").otherwise("fulltext_exceeds_direct_input_limit")
+    calls = F.coalesce(F.element_at(F.transform(_packed(chunk_cap(chunk_chars, input_chars)), lambda c: c["chunk"]), -1) + 1, F.lit(0))
+    return F.when(fits, "direct").when(calls > max_section_calls, "section_call_limit_exceeded").otherwise("chunk_notes")
 
 
 def chunk_key(*, prompt_fingerprint: str, settings: dict) -> Column:

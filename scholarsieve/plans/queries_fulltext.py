@@ -172,13 +172,24 @@ def body_acceptance(spark, d):
     return fulltext.accept_body(records, bodies).select("doc_id", "error")
 
 
-@query("""
-    WITH x AS (SELECT doc_id, length(CAST(to_json({'source_url': 'https://arxiv.org/html/' || 'corpusa/0000000', 'sections':
-               list_transform(string_split(text, chr(10)), lambda x, i: {'locator': 'section:' || ['Introduction', 'Our Method', 'Results and Discussion', 'Notes'][(i - 1) % 4 + 1], 'text': x})}) AS VARCHAR)) AS n FROM documents)
-    SELECT doc_id, CASE WHEN n <= 2000 THEN 'direct' ELSE 'chunk_notes' END AS context FROM x""")
+@query(f"""
+    WITH {_LINES}, sent AS (
+        SELECT doc_id, length(text) AS chars, list_transform(string_split(text, chr(10)), lambda x, i: {{'locator': 'section:' || ['Introduction', 'Our Method', 'Results and Discussion', 'Notes'][(i - 1) % 4 + 1], 'text': x}}) AS sections,
+               list_transform(parts, lambda x: 'section:' || x.name) AS coverage,
+               CASE WHEN doc_id % 2 = 0 THEN [{{'locator': 'caption:Figure 1', 'label': 'Figure 1', 'caption': "left"(text, 200), 'pdf_physical_page': CASE WHEN doc_id % 3 = 0 THEN 7 END}}] ELSE [] END AS captions
+        FROM documents JOIN lines USING (doc_id)),
+    measured AS (
+        SELECT doc_id, length(CAST(to_json({{'source_url': 'https://arxiv.org/html/' || 'corpusa/0000000', 'sections': sections, 'captions': captions, 'coverage': coverage}}) AS VARCHAR))
+               + 7 + 3 * len(sections) + len(sections) - 1 + 7 * len(captions) + greatest(len(coverage) - 1, 0) AS n FROM sent)
+    SELECT doc_id, CASE WHEN n <= 2000 THEN 'direct' ELSE 'notes' END AS context FROM measured""")
 def reading_context(spark, d):
-    bodies = _bodies(spark, d)
-    return bodies.select("doc_id", fulltext.reading_context(bodies, 2000, evidence_on=True).alias("context"))
+    """All that is sent is measured: sections, captions of every second body, locators read."""
+    n = F.col("doc_id")
+    figure = F.struct(F.lit("Figure 1").alias("label"), F.lit("caption:Figure 1").alias("locator"), F.substring("text", 1, 200).alias("caption"))
+    bodies = _bodies(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumns({
+        "figures": F.when(n % 2 == 0, F.array(figure)), "figure_pages": F.create_map(F.lit("Figure 1"), F.when(n % 3 == 0, 7))})
+    context = fulltext.reading_context(bodies, 2000, evidence_on=True, chunk_chars=1000, max_section_calls=4)
+    return bodies.select("doc_id", context.alias("context")).select("doc_id", F.when(F.col("context") == "direct", "direct").otherwise("notes").alias("context"))
 
 
 _CHUNK = 1000
@@ -248,12 +259,16 @@ def margins_removed(spark, d):
 
 @query(f"""
     WITH {_PAGES},
-    p AS (SELECT source, list_filter(list_transform(regexp_split_to_array(raw, '\\r\\n|[\\n\\r]'), lambda x: trim(x)), lambda x: x <> '') AS lines, length({s.sql_collapse('raw')}) < 80 AS missing FROM pages_of)
-    SELECT source, count(*) AS physical_page_count, count(*) FILTER (missing) AS missing_pages,
-           sum(len(list_filter(lines, lambda x: length(x) <= 2))) / sum(len(lines)) < 0.25 AS order_ok, TRUE AS has_evaluation_or_theory FROM p GROUP BY source""")
+    p AS (SELECT source, list_filter(list_transform(regexp_split_to_array(raw, '\\r\\n|[\\n\\r]'), lambda x: trim(x)), lambda x: x <> '') AS lines, {s.sql_collapse('raw')} AS t FROM pages_of),
+    counted AS (
+        SELECT source, count(*) AS physical_page_count, count(*) FILTER (length(t) < 80) AS missing_pages, sum(len(list_filter(lines, lambda x: length(x) <= 2))) / sum(len(lines)) < 0.25 AS order_ok,
+               CAST(sum(length(t)) + count(*) - 1 AS BIGINT) AS read_chars FROM p GROUP BY source)
+    SELECT *, concat_ws(',', CASE WHEN read_chars < 90000 THEN 'too_short' END, 'method_section_missing', CASE WHEN NOT order_ok THEN 'reading_order_uncertain' END,
+           CASE WHEN missing_pages > 0 THEN 'missing_or_unreadable_pages' END) AS reasons FROM counted""")
 def page_quality(spark, d):
-    stats = fulltext.page_stats(_pages(spark, d))
-    return stats.select(F.col("version_id").alias("source"), "physical_page_count", "missing_pages", "order_ok", "has_evaluation_or_theory")
+    """Verdict on each source's pages; their only headings are results."""
+    gate = fulltext.pdf_quality(fulltext.page_stats(_pages(spark, d)), 90_000)
+    return gate.select(F.col("version_id").alias("source"), "physical_page_count", "missing_pages", "order_ok", "read_chars", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""
