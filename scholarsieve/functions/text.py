@@ -9,7 +9,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Dash code points, Unicode whitespace and word characters.
 DASHES = r"\u2010-\u2015\u2212\ufe58\ufe63\uff0d\-"
@@ -185,6 +185,33 @@ def drop_forbidden(pairs: Column) -> Column:
     return F.map_filter(pairs, lambda key, _: ~F.lower(key).isin(*FORBIDDEN_KEYS))
 
 
+def _public(value: Column, kind: T.DataType, secrets) -> Column | None:
+    """A value without forbidden fields at any depth and with scrubbed texts; None if nothing is left of its type."""
+    if isinstance(kind, T.StringType):
+        return scrub(value, secrets)
+    if isinstance(kind, T.ArrayType):
+        if _public(F.lit(None).cast(kind.elementType), kind.elementType, secrets) is None:
+            return None
+        return F.transform(value, lambda x: _public(x, kind.elementType, secrets))
+    if isinstance(kind, T.MapType):
+        named = drop_forbidden(value) if isinstance(kind.keyType, T.StringType) else value
+        if _public(F.lit(None).cast(kind.valueType), kind.valueType, secrets) is None:
+            return None
+        return F.transform_values(named, lambda _, x: _public(x, kind.valueType, secrets))
+    if isinstance(kind, T.StructType):
+        kept = [(f.name, _public(value.getField(f.name), f.dataType, secrets)) for f in kind if f.name.lower() not in FORBIDDEN_KEYS]
+        fields = [column.alias(name) for name, column in kept if column is not None]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else None
+    return value
+
+
+def public_records(records: DataFrame, secrets=()) -> DataFrame:
+    """Records as they may be published: the schema is walked through structs, arrays and maps, forbidden fields and
+    keys go at any depth, and every text is scrubbed. It is one projection; a struct with forbidden fields only goes."""
+    kept = [(f.name, _public(F.col(f"`{f.name}`"), f.dataType, secrets)) for f in records.schema if f.name.lower() not in FORBIDDEN_KEYS]
+    return records.select(*(column.alias(name) for name, column in kept if column is not None))
+
+
 def numbers(text: Column) -> Column:
     """Distinct numeric claims, without blanks and thousands separators."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_.])(\p{Nd}+(?:[.,]\p{Nd}+)*(?:[" + SPACES + r"]*%)?)"), F.lit(1))

@@ -6,6 +6,7 @@ translation and delivery are adapters; attempts are durable before a call is mad
 """
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime, timezone
 from typing import Protocol
@@ -15,14 +16,18 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from scholarsieve import config as settings, schema
 from scholarsieve.functions import clock, text
-from scholarsieve.operators import grounding, merge, ranking, render, rules, state
+from scholarsieve.operators import grounding, ledger, merge, ranking, render, rules, state
 from scholarsieve.plans.window import collection_window, moved_cursor
 from scholarsieve.sources.fixtures import Fixture
 from scholarsieve.sources.sinks import Conflict, Store
 
 
 class Analysis(Protocol):
-    """Each method maps requested rows to (base_id, value); a missing row is a failure."""
+    """Each method maps requested rows to (base_id, value); a missing row is a failure.
+
+    A `usage` column (struct of prompt_tokens, completion_tokens, cached_tokens), where an adapter has one, is priced
+    and stored; the cost guard reads what is stored.
+    """
 
     def select(self, papers: DataFrame) -> DataFrame: ...
     def bodies(self, papers: DataFrame) -> DataFrame: ...
@@ -71,16 +76,19 @@ class MockDelivery:
 class DailyRun:
     """One run: collect, screen, decide, rank, translate, render, deliver."""
 
-    def __init__(self, store: Store, config: dict, analysis: Analysis, delivery=None, now: datetime | None = None):
+    def __init__(self, store: Store, config: dict, analysis: Analysis, delivery=None, now: datetime | None = None, run_id: str | None = None):
         self.store, self.config, self.analysis, self.delivery = store, config, analysis, delivery
         self.spark = store.spark
         self.rules = rules.RuleSet.of(config["rules"])
         moment = (now or datetime.now(timezone.utc)).astimezone(timezone.utc)
         self.now = clock.utc(moment)
         self.day = moment.astimezone(ZoneInfo("Asia/Shanghai")).date()
-        self.run_id = f"{moment:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+        # A run that is taken up again keeps its id, and with it what it has spent.
+        self.run_id = run_id or f"{moment:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+        self.clock = time.monotonic
+        self.started = self.clock()
         self.modules = settings.modules(config)
-        self.calls, self.errors = {}, []
+        self.calls, self.errors, self.requested = {}, [], False
 
     # -- state ------------------------------------------------------------
     def _papers(self) -> DataFrame:
@@ -113,6 +121,26 @@ class DailyRun:
         log = self.store.log("digests", schema.DIGEST_LOG)
         return log.groupBy("digest_id").agg(*(F.max_by(c, "at").alias(c) for c in ("run_id", "chain_root", "day", "kind", "status")), F.min("at").alias("created_at"))
 
+    # -- guards -------------------------------------------------------------
+    def _guard(self) -> str | None:
+        """Why no further call may be made, or None: the run's time, and its stored costs against the cap."""
+        if self.clock() - self.started >= self.config["limits"]["run_seconds"]:
+            return "run_time_guard"
+        cap = self.config["llm"]["max_run_cost"]
+        if cap is None:
+            return None
+        if min(float(self.config["llm"]["pricing"][k]) for k in ("cache_hit_per_million", "cache_miss_per_million", "output_per_million")) <= 0:
+            return "cost_guard_requires_verified_prices"
+        spent = self.store.log("usage", schema.USAGE_LOG).where(F.col("run_id") == self.run_id)
+        state_now = ledger.run_budget(spent, ["run_id"], cap).first()
+        return {"usage_unknown": "run_cost_guard_usage_unknown", "cost_cap": "run_cost_guard"}.get(state_now["guard"]) if state_now else None
+
+    def _spend(self, stage: str, answers: DataFrame) -> None:
+        """Store what the calls of a stage cost; a call whose usage is unknown has no cost."""
+        if "usage" in answers.columns:
+            priced = answers.select("base_id", "usage.*").withColumn("cost", ledger.usage_cost(self.config["llm"]["pricing"]))
+            self.store.append("usage", priced.select(F.lit(self.run_id).alias("run_id"), F.lit(stage).alias("stage"), "base_id", self.now.alias("at"), "cost"))
+
     # -- one stage ----------------------------------------------------------
     def _stage(self, stage: str, todo: DataFrame, call) -> DataFrame:
         """Gate, record the attempts, call, record the outcome; returns stored (base_id, value)."""
@@ -127,6 +155,10 @@ class DailyRun:
         gated = self.store.save(f"work_{stage}", gated)
         if gated.isEmpty():
             return gated.select("base_id", F.lit(None).alias("value")).limit(0)
+        stop = self._guard()
+        if stop is not None:
+            self.errors.append(f"{stage}:{stop}")
+            return gated.select("base_id", F.lit(None).alias("value")).limit(0)
         refused = {r["gate"]: r["n"] for r in gated.groupBy("gate").agg(F.count("*").alias("n")).collect()}
         self.calls[stage] = self.calls.get(stage, 0) + refused.pop("run", 0)
         self.errors += [f"{stage}:{gate}:{n}" for gate, n in refused.items()]
@@ -138,6 +170,7 @@ class DailyRun:
             answers = answers.withColumn("error", F.lit(None).cast("string"))
         answers = self.store.save(f"result_{stage}", answers.withColumn("error", F.coalesce("error", F.when(F.col("value").isNull(), f"{stage}_missing"))))
         self.store.append("attempts", answers.select(*entry(F.col("error").isNotNull(), F.col("error"))))
+        self._spend(stage, answers)
         failed = answers.where("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n")).collect()
         self.errors += [f"{stage}:{r['error']}:{r['n']}" for r in failed]
         if "attempts_exhausted_manual_required" in refused:
@@ -147,7 +180,8 @@ class DailyRun:
     def _decide(self, stage: str, todo: DataFrame, call) -> None:
         def checked(papers):
             rows = call(papers).withColumn("decision", F.col("value"))
-            return rows.withColumn("value", F.col("value").withField("tier", state.decided_tier())).select("base_id", "value", state.decision_error().alias("error"))
+            usage = [c for c in rows.columns if c == "usage"]
+            return rows.withColumn("value", F.col("value").withField("tier", state.decided_tier())).select("base_id", "value", *usage, state.decision_error().alias("error"))
 
         answers = self._stage(stage, todo, checked)
         status = F.col("value.status")
@@ -173,12 +207,14 @@ class DailyRun:
 
     def promote(self, ids) -> None:
         """Upgrade papers that were delivered light to a full summary."""
+        self.requested = True
         accepted = self._refuse(self._requested(ids), state.promotion_error())
         self._set(accepted, intended_tier=F.lit("full"), promotion_pending=F.lit(True), manual_required=F.lit(False), stage=F.lit("selected"),
                   modules=F.array(*map(F.lit, self.modules)))
 
     def resend(self, ids) -> None:
         """Deliver confirmed content once more, without new model calls."""
+        self.requested = True
         accepted = self._refuse(self._requested(ids), state.resend_error())
         self._set(accepted, resend_pending=F.lit(True), stage=F.when(F.col("intended_tier") == "full", "summary_validated").otherwise("ready"))
 
@@ -187,7 +223,7 @@ class DailyRun:
         log = self.store.log("attempts", schema.ATTEMPT_LOG).where(F.col("stage") == stage)
         tries = log.groupBy("base_id").agg(F.count("*").alias("attempts"), F.max(F.when(F.col("failed"), F.col("at"))).alias("last_failure"))
         accepted = self._refuse(self._requested(ids).join(tries, "base_id", "left"), state.retry_error(F.lit(stage)))
-        accepted = self.store.save("retried", accepted)
+        accepted, self.requested = self.store.save("retried", accepted), True
         until = self.now + F.expr(f"interval {self.config['limits']['recovery_days']} days")
         limit = F.lit(self.config["delivery"]["chain_attempts"])
         if stage == "delivery":
@@ -324,10 +360,22 @@ class DailyRun:
             if todo.isEmpty():
                 continue
             answers = self._stage(stage, todo, self.analysis.translate)
+            self._log_translation_errors(stage, todo)
             abstract = F.col("value.abstract_zh") if stage == "translation" else F.col("abstract_zh")
             self._set(answers, title_zh=F.col("value.title_zh"), abstract_zh=abstract)
             self._set(todo.join(answers, "base_id", "left_anti").select("base_id"), stage=F.lit("presentation_pending"))
 
+    def _log_translation_errors(self, stage: str, todo: DataFrame) -> None:
+        """Keep failed answers, scrubbed, once for each run, stage and paper."""
+        result = self.store.load(f"result_{stage}")
+        if result is None:
+            return
+        failed = result.where("error IS NOT NULL").join(todo.select("base_id"), "base_id", "left_semi")
+        response = F.when(F.col("value").isNotNull(), text.scrub(F.to_json("value")))
+        rows = failed.select(F.lit(self.run_id).alias("run_id"), F.lit(stage).alias("stage"), "base_id", self.now.alias("at"), "error", response.alias("response"))
+        if not rows.isEmpty():
+            self.store.append_once("translation_errors", rows, schema.TRANSLATION_ERROR_LOG, "run_id", "stage", "base_id", within=F.col("run_id") == self.run_id)
+
     def recoveries(self) -> DataFrame:
         """Unconfirmed deliveries that may be sent again."""
         sends = self.store.log("digests", schema.DIGEST_LOG).where("status = 'sending'").groupBy("chain_root").agg(F.count("*").alias("attempts"), F.min("at").alias("created_at"))
@@ -402,6 +450,54 @@ class DailyRun:
             self.errors.append(f"delivery_{status}")
         return {**result, "status": status}
 
+    def notify(self, sent: dict, complete: bool, manual: bool) -> dict:
+        """Without a digest: an alert about errors, or word that there is nothing new, each at most once a day.
+
+        The day's notice of a kind is claimed before it is sent, so concurrent or repeated runs send one.
+        """
+        if self.delivery is None:
+            return sent
+        today = self.store.log("digests", schema.DIGEST_LOG).where(F.col("day") == F.lit(self.day))
+        confirmed = state.confirmed_papers(self._events())
+        waiting = self._papers().where(F.col("stage").isin("ready", "summary_validated")).join(confirmed, "base_id", "left_anti").count()
+        alerts = today.where("kind = 'alert'").select("digest_id").distinct().count()
+        seen = self.spark.createDataFrame([(sent["digest_id"] is not None, len(set(self.errors)), alerts, waiting, complete, manual)],
+                                          "digest_sent boolean, errors int, alerts_today int, waiting_ready int, coverage_complete boolean, manual_run boolean")
+        kind = seen.select(state.fallback_notice().alias("kind")).first()["kind"]
+        units = 1 + (self.config["delivery"]["poll_limit"] if self.config["delivery"]["query_counts_quota"] else 0)
+        used = today.where("status = 'sending'").select("digest_id").distinct().count()
+        if kind == "none" or (used + 1) * units > self.config["delivery"]["daily_limit"] or not self.store.claim(f"{self.day}-{kind}"):
+            return sent
+        digest_id = f"{self.run_id}-{kind}"
+        record = lambda status, at: self.spark.range(1).select(
+            F.lit(digest_id).alias("digest_id"), F.lit(self.run_id).alias("run_id"), F.lit(digest_id).alias("chain_root"), F.lit(self.day).alias("day"),
+            F.lit(kind).alias("kind"), F.lit(status).alias("status"), at.alias("at"))
+        self.store.append("digests", record("sending", self.now))
+        outcome = self.delivery.send(f"arXiv 每日简报 {self.day}", self._notice(kind))
+        status = "unknown" if outcome == "queued" else outcome
+        self.store.append("digests", record(status, self.now + F.expr("interval 1 microsecond")))
+        return {**sent, "digest_id": digest_id, "status": status, "delivery_kind": kind}
+
+    def _notice(self, kind: str) -> str:
+        """Text of a notice within the byte cap; error codes that don't fit are counted."""
+        head = f"# arXiv 每日简报 · {self.day}\n\n"
+        if kind == "empty":
+            return head + "今日没有新增论文。\n"
+        codes = self._clean(sorted(set(self.errors)))
+        body, cap = head + "运行出现问题：\n\n", self.config["delivery"]["body_bytes"]
+        for at, code in enumerate(codes):
+            line, rest = f"- {code}\n", f"- … {len(codes) - at}\n"
+            if len((body + line + rest).encode()) > cap:
+                return body + rest
+            body += line
+        return body
+
+    def _clean(self, errors: list[str]) -> list[str]:
+        """Error texts without anything that looks like a credential."""
+        if not errors:
+            return []
+        return list(self.spark.range(1).select(F.transform(F.array(*map(F.lit, errors)), lambda e: text.scrub(e)).alias("errors")).first()["errors"])
+
     def _message(self, rendered: DataFrame, fitted: DataFrame, url: str, index: str) -> str:
         """The message text; its size was proven to be within the byte cap (at most 32 KiB)."""
         lines = render.notification_lines(rendered, fitted, F.lit(url)).orderBy("recovery", "tier_order", "part", "position").select("recovery", "line").collect()
@@ -410,9 +506,7 @@ class DailyRun:
 
     def _report(self, report: dict) -> dict:
         """Store the run's report; its error texts lose anything that looks like a credential."""
-        errors = [F.lit(e) for e in report["errors"]]
-        clean = self.spark.range(1).select(F.transform(F.array(*errors), lambda e: text.scrub(e)).alias("errors")).first()["errors"] if errors else []
-        report = {**report, "errors": list(clean)}
+        report = {**report, "errors": self._clean(report["errors"])}
         self.store.report(f"reports/{self.run_id}.json", report)
         return report
 
@@ -429,6 +523,8 @@ class DailyRun:
                 self.summarize()
             self.translate()
             sent = self.send()
+            sent = {"delivery_kind": "digest" if sent["digest_id"] else "none", **sent}
+            sent = self.notify(sent, coverage_complete, manual=self.requested or (window is not None and window["manual"]))
             self.store.compact("papers")
             return self._report({**report, "records": self._papers().count(), "calls": self.calls, "errors": sorted(set(self.errors)), **sent})
         except Exception as exc:

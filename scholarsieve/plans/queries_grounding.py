@@ -170,6 +170,22 @@ def secret_scrub(spark, d):
     return table(spark, d, "pages").select("page_id", text.scrub(F.concat("url", tail), ["hidden", "hidden-canary"]).alias("clean"))
 
 
+@query("""
+    SELECT page_id, '{"url":"' || url || '?token=[REDACTED]","runs":[{"n":' || page_id || ',"by":"Bearer [REDACTED]"}' || CASE WHEN page_id % 3 = 0 THEN ',{"n":1}' ELSE '' END || '],"notes":{'
+           || CASE WHEN page_id % 2 = 0 THEN '"lang":{"n":2}' ELSE '' END || '}}' AS record FROM pages""")
+def public_records(spark, d):
+    """Pages as nested run records with credentials at every depth."""
+    n = F.col("page_id")
+    run = lambda i, by: F.struct(i.cast("long").alias("n"), F.lit("hidden").alias("Raw_Response"), by.alias("by"))
+    runs = F.array(run(n, F.concat(F.lit("Bearer tok."), n.cast("string"))), F.when(n % 3 == 0, run(F.lit(1), F.lit(None).cast("string"))))
+    note = F.struct(F.lit(2).alias("n"), F.lit("x").alias("sendkey"))
+    notes = F.map_filter(F.create_map(F.lit("READKEY"), note, F.lit("lang"), note), lambda k, _: (n % 2 == 0) | (k == "READKEY"))
+    record = F.struct(F.concat("url", F.lit("?token="), n.cast("string")).alias("url"), F.array_compact(runs).alias("runs"), notes.alias("notes"),
+                      F.struct(F.lit("k").alias("api_key")).alias("account"))
+    rows = table(spark, d, "pages").select("page_id", F.lit("secret").alias("Authorization"), record.alias("record"))
+    return text.public_records(rows).select("page_id", F.to_json("record").alias("record"))
+
+
 @query(r"""
     WITH x AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '^https?', 'https') WHEN 1 THEN regexp_replace(url, '^https?://', 'https://user:pw@')
                       WHEN 2 THEN 'https://export.arxiv.org/abs/' || page_id ELSE 'ftp' || substr(url, 5) END AS url FROM pages)

@@ -55,6 +55,8 @@ ATTEMPT_LOG = "base_id string, stage string, run_id string, at timestamp_ntz, fa
 EVENT_LOG = ("base_id string, digest_id string, kind string, tier string, mode string, status string, "
              "at timestamp_ntz, recovery_of string")
 DIGEST_LOG = "digest_id string, run_id string, chain_root string, day date, kind string, status string, at timestamp_ntz"
+USAGE_LOG = "run_id string, stage string, base_id string, at timestamp_ntz, cost double"
+TRANSLATION_ERROR_LOG = "run_id string, stage string, base_id string, at timestamp_ntz, error string, response string"
 SLOT_LOG = "day date, kind string, base_id string"
 
 SUMMARY_FIELDS = ("background", "contribution", "method", "experiments", "conclusion")

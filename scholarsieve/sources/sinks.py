@@ -4,7 +4,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scholarsieve.functions.text import html_escape
 
@@ -142,6 +142,21 @@ class Store:
         """Add rows to a log; the file committer makes each append all or nothing."""
         df.write.mode("append").parquet(f"{self.root}/{log}.log")
 
+    def append_once(self, log: str, df: DataFrame, schema: str, *keys: str, within: Column | None = None) -> None:
+        """Add the rows whose keys the log does not hold yet, so that a repeated stage adds nothing.
+
+        `within` narrows the rows of the log that are looked at, such as those of one run.
+        """
+        held = self.log(log, schema)
+        held = (held if within is None else held.where(within)).select(*keys).distinct()
+        self.append(log, df.dropDuplicates(list(keys)).join(held, list(keys), "left_anti").select(*(c.name for c in self.spark.createDataFrame([], schema).schema)))
+
+    def claim(self, name: str) -> bool:
+        """Take a name for good; of several claimants exactly one is told yes."""
+        path = self._path(f"{self.root}/claims/{name}")
+        self._fs.mkdirs(path.getParent())
+        return self._fs.createNewFile(path)
+
     def log(self, log: str, schema: str) -> DataFrame:
         """All rows of a log; success markers play no part, they may be switched off."""
         path = f"{self.root}/{log}.log"

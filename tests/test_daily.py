@@ -61,7 +61,8 @@ def test_metadata_run_lists_accepted_papers_without_full_text_calls(spark, tmp_p
     sizes = {r["message_bytes"] for r in run.store.load("notification").collect()}
     assert sizes == {len(body.encode())}
     again, papers = start(spark, tmp_path, fixture(tmp_path), delivery, NOW + timedelta(hours=1))
-    assert again.run(papers)["status"] == "none" and len(delivery.sent) == 1
+    later = again.run(papers)
+    assert (later["delivery_kind"], later["records"]) == ("empty", 4) and len(delivery.sent) == 2 and "Paper" not in delivery.sent[1][1]
 
 
 def test_full_run_reviews_summarizes_and_fills_tiers(spark, tmp_path):
