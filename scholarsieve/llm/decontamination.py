@@ -9,7 +9,8 @@ Items are sent to the tasks in blocks of at most `BLOCK_CHARS` characters, a pro
 makes several passes over the documents, whatever its size.
 
 Nulls and edge cases: null or empty texts match nothing; items whose plain form has fewer than `least` letters
-and digits are ignored (they would match by chance); equal items each report their own id; rows with equal
+and digits must stand unchanged between word edges (no errors are allowed there), and items without any are ignored;
+equal items each report their own id; rows with equal
 doc_ids give one row per item with the smallest distance; null doc_ids are reported as such. Extra columns
 are ignored by `matches` and kept by `clean`.
 """
@@ -79,7 +80,8 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], tolerance: float = TOLERANCE):
         self.items = items
-        self.most = [budget(len(text), tolerance) for _, text in items]
+        # Short items come with a blank at both ends.
+        self.most = [0 if text.startswith(" ") else budget(len(text), tolerance) for _, text in items]
         self.pieces: dict[str, list[tuple]] = {}
         for i, (_, text) in enumerate(items):
             cuts = cut(text, self.most[i] + 1)
@@ -151,7 +153,7 @@ def _searcher(items, tolerance):
         for batch in batches:
             docs, hits, distances = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for i, distance in matcher.search(plain(text.as_py())).items():
+                for i, distance in matcher.search(f" {plain(text.as_py())} ").items():
                     docs.append(doc)
                     hits.append(ids[i])
                     distances.append(distance)
@@ -165,8 +167,11 @@ def item_blocks(benchmark: DataFrame, least: int = LEAST, block_chars: int = BLO
     held = 0
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         text = plain(row.text)
-        if len(text) - text.count(" ") < least:
+        letters = len(text) - text.count(" ")
+        if not letters:
             continue
+        if letters < least:
+            text = f" {text} "
         if block and held + len(text) > block_chars:
             yield block
             block, held = [], 0
@@ -186,5 +191,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE,
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any item, all columns kept; a null doc_id is judged with all null doc_ids."""
-    hit = stored(matches(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(small_enough(hit, 16), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    hit = stored(matches(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
+    return docs.alias("docs").join(small_enough(hit, 16).alias("hits"), F.col("docs.doc_id").eqNullSafe(F.col("hits.doc_id")), "left_anti").select("docs.*")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from scholarsieve.llm import decontamination as d
 
 
@@ -73,3 +75,18 @@ def test_nulls_repeats_and_empty_tables(spark, documents):
     assert [r.doc_id for r in d.clean(docs, benchmark).collect()] == [2]
     assert d.matches(docs, benchmark.limit(0)).count() == 0 and d.clean(docs, benchmark.limit(0)).count() == 4
     assert d.matches(docs.limit(0), benchmark).count() == 0
+
+
+def test_short_items_match_unchanged_between_word_edges(spark, documents):
+    items = spark.createDataFrame([(1, "Paris is it"), (2, "yes"), (3, "!?"), (4, None)], "item_id long, text string")
+    docs = documents({1: "They say: PARIS, is it!", 2: "paris is itself", 3: "yesterday", 4: "Yes", 5: "paris was it", 6: "!?"})
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in d.matches(docs, items).collect()) == [(1, 1, 0), (4, 2, 0)]
+
+
+def test_clashing_names_stay(spark, documents):
+    items = spark.createDataFrame([(1, "a sentence that is long enough to be an item of its own")], "item_id long, text string")
+    docs = documents({1: "Well: a sentence that is long enough to be an item of its own.", 2: "clean"})
+    for name in ("_hit", "distance", "item_id", "docs", "hits"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = d.clean(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
