@@ -98,8 +98,8 @@ class DailyRun:
 
     def _save(self, changed: DataFrame, notes: dict | None = None) -> DataFrame:
         """Add changed papers to the state; papers that stay as they are are not written."""
-        columns = [c.name for c in self.spark.createDataFrame([], schema.PAPER_STATE).schema]
-        return self.store.change("papers", changed.select(*columns), "base_id", notes=notes)
+        columns = self.spark.createDataFrame([], schema.PAPER_STATE).schema
+        return self.store.change("papers", changed.select(*(F.col(c.name).cast(c.dataType).alias(c.name) for c in columns)), "base_id", notes=notes)
 
     def _set(self, changes: DataFrame, **columns: Column) -> None:
         """Update the given columns of the papers named by `changes` (base_id, value, ...)."""

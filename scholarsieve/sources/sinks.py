@@ -4,7 +4,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from scholarsieve.functions.text import html_escape
 
@@ -90,7 +90,10 @@ class Store:
         number, held = self._pointer(table)
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{table}/{version}")
-        pointer = json.dumps(make(held or {"versions": [], "keys": [], "notes": {}}, version), sort_keys=True)
+        made = make(held or {"versions": [], "keys": [], "notes": {}}, version)
+        known = self.load(table).schema if len(made["versions"]) > 1 else T.StructType([])
+        fields = [*known, *(f for f in df.schema if f.name not in known.names)]
+        pointer = json.dumps({**made, "schema": T.StructType(fields).jsonValue()}, sort_keys=True)
         # Creating fails if another writer has taken the number meanwhile.
         self._write_text(f"{self.root}/{table}/{POINTER}{number + 1:012d}", pointer + "\n", overwrite=False)
         if self.publisher is not None:
@@ -131,12 +134,14 @@ class Store:
             if self._names(f"{self.root}/{table}"):
                 raise Conflict(f"state_corrupt: {table} has versions but no pointer")
             return None
-        read = lambda version: self.spark.read.parquet(f"{self.root}/{table}/{version}")
-        base, *changes = held["versions"]
+        base, *changes = (f"{self.root}/{table}/{version}" for version in held["versions"])
+        # Columns that a version did not store are null.
+        reader = self.spark.read.schema(T.StructType.fromJson(held["schema"])) if "schema" in held else self.spark.read
         if not changes:
-            return read(base)
-        size = sum(self._fs.getContentSummary(self._path(f"{self.root}/{table}/{version}")).getLength() for version in changes)
-        return newest([read(version) for version in (base, *changes)], held["keys"], small=size <= SMALL_CHANGES)
+            return reader.parquet(base)
+        size = sum(self._fs.getContentSummary(self._path(path)).getLength() for path in changes)
+        order = {version: i for i, version in enumerate(held["versions"][1:])}
+        return newest(reader.parquet(base), reader.parquet(*changes), order, held["keys"], small=size <= SMALL_CHANGES)
 
     def append(self, log: str, df: DataFrame) -> None:
         """Add rows to a log; the file committer makes each append all or nothing."""
@@ -194,26 +199,21 @@ class Store:
         self._swap(f"{self.root}/{relative}", json.dumps(run, ensure_ascii=False, sort_keys=True, indent=2, default=str) + "\n")
 
 
-def newest(versions: list[DataFrame], keys: list[str], small: bool) -> DataFrame:
-    """Rows of the last version that has their key.
+def newest(base: DataFrame, changes: DataFrame, order: dict[str, int], keys: list[str], small: bool) -> DataFrame:
+    """Rows of the last version that has their key; `order` numbers the folders that the changes lie in.
 
-    Changes are reduced first, and the base only loses the rows they replace, so it is not shuffled where the stored
-    changes are small. Columns that a version did not store are null.
+    All changes are one scan. They are reduced first, and the base only loses the rows they replace, so it is not
+    shuffled where the stored changes are small.
     """
-    base, *changes = versions
-    numbered = [change.withColumn("_change", F.lit(i)) for i, change in enumerate(changes)]
-    stacked = numbered[0]
-    for more in numbered[1:]:
-        stacked = stacked.unionByName(more, allowMissingColumns=True)
-    columns = [c for c in stacked.columns if c != "_change"]
-    latest = stacked.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_change").alias("_row")).select("_row.*")
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    place = F.element_at(F.create_map(*(F.lit(x) for pair in order.items() for x in pair)), folder)
+    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), place).alias("_row")).select("_row.*")
+    marked = changes.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
     same = None
-    marked = stacked.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
-    marked = F.broadcast(marked) if small else marked
     for k in keys:
         test = F.col(k).eqNullSafe(F.col(f"_{k}"))
         same = test if same is None else same & test
-    return base.join(marked, same, "left_anti").unionByName(latest, allowMissingColumns=True)
+    return base.join(F.broadcast(marked) if small else marked, same, "left_anti").unionByName(latest)
 
 
 # Export columns in their order.
