@@ -2,9 +2,12 @@
 
 The base rules (assignments of secrets, access keys, long hexadecimal runs) label credentials. From a bounded
 sample of them a prefix-tree of character classes is grown and its statistically compatible states are merged
-(ALERGIA, Hoeffding bound) into a probabilistic automaton of credential formats. Every candidate token is scored
-by the mean log-likelihood per character under the automaton minus that under the class frequencies of all texts; tokens above `THRESHOLD` are added
-as spans of kind "format", whatever classes they hold. Tokens are learnt and scored whole. Base spans always stay; added spans never overlap one.
+(ALERGIA, Hoeffding bound) into a probabilistic automaton of credential formats. Every candidate token is scored by its
+log-likelihood under the automaton minus that under the ordinary text of the corpus: character pairs counted over all
+texts outside base spans, with steady letter case, repeated characters and running numbers likely. Tokens above
+`THRESHOLD` are added as spans of kind "format", whatever classes they hold; words in capitals, rules of one character,
+numbers and dates are likely as ordinary text, so likelihood rejects them. Tokens are learnt and scored whole, dots
+inside included. Base spans always stay; added spans never overlap one.
 
 Nulls and edge cases: a null text is empty; empty texts have no spans; no labelled credential in the sample
 means that nothing is added; rows with equal doc_ids each give a row; an empty table gives no rows; other columns
@@ -15,13 +18,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scholarsieve.llm.common import byte_blocks
+from scholarsieve.llm.common import BLOCK_BYTES, stored
 
 # The base rules and their least lengths.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -30,10 +33,14 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "format")
 
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_ASSIGN},}}")
+#: Tokens with the dots inside them; shorter matches are left out.
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_.=-]{{{LEAST_ASSIGN}}})[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 SAMPLE = 5000  # labelled credentials that the automaton is inferred from
 ALPHA = 0.05
-THRESHOLD = 0.5
+THRESHOLD = math.log(1e6)  # one token in a million is a credential
+SWITCH = 0.05  # chance that the letter case changes inside a word
+REPEAT = 0.1  # chance that a character is the one before once more
+DIGITS = 30  # counts that a digit after a digit has beforehand
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,6 +66,15 @@ class _Classes(dict):
 _TABLE = _Classes({ord(c): name for c, name in _CLASS.items()})
 
 
+_SIZE = Counter(_CLASS.values())
+#: Symbols of ordinary text: folded letters, digits as one, six marks, and all else, which parts tokens.
+_PAIR = np.full(256, 33, np.int64)
+_PAIR[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = _PAIR[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = np.arange(26)
+_PAIR[[ord(c) for c in "0123456789"]] = 26
+_PAIR[[ord(c) for c in "+/_.=-"]] = [27, 28, 29, 30, 31, 32]
+_APART, _DIGIT, _DOT, _WIDE = 33, 26, 30, 34
+
+
 def symbols(token: str) -> str:
     """The class of every character."""
     return token.translate(_TABLE)
@@ -187,25 +203,52 @@ class Automaton:
         return (total + self.steps[state][""][0]) / (len(classes) + 1)
 
 
+class Ordinary:
+    """Likelihood of a token as ordinary text, from counts of neighbouring symbols (`_PAIR`)."""
+
+    def __init__(self, pairs: dict[int, int]):
+        counts = np.full((_WIDE, _WIDE), 0.5)
+        counts[_DIGIT, _DIGIT] += DIGITS
+        for pair, n in pairs.items():
+            counts[divmod(pair, _WIDE)] += n
+        self.chance = (counts / counts.sum(1, keepdims=True)).tolist()
+
+    def score(self, token: str) -> float:
+        before, last, inside, total = _APART, "", 0, 0.0
+        for c in token:
+            now = int(_PAIR[ord(c)])
+            p = self.chance[before][now]
+            if now < _DIGIT:
+                # The first letter of a word has either case; so has the second after a capital.
+                either = inside == 0 or (inside == 1 and last.isupper())
+                p *= 0.5 if either else 1 - SWITCH if c.isupper() == last.isupper() else SWITCH
+            elif now == _DIGIT:
+                p /= 10
+            inside = inside + 1 if now < _DIGIT else 0
+            total += math.log((1 - REPEAT) * p + (REPEAT if c == last else 0.0))
+            before, last = now, c
+        return total + math.log(self.chance[before][_APART])
+
+
 class Model:
-    def __init__(self, tokens: list[str], background: dict[str, int], alpha: float = ALPHA, threshold: float = THRESHOLD):
+    def __init__(self, tokens: list[str], pairs: dict[int, int], alpha: float = ALPHA, threshold: float = THRESHOLD):
         self.automaton = Automaton(tokens, alpha) if tokens else None
-        everything = sum(background.values()) + 6
-        self.ordinary = {s: math.log((background.get(s, 0) + 1) / everything) for s in "azA0-?"}
+        self.ordinary = Ordinary(pairs)
         self.threshold = threshold
 
     def is_secret(self, token: str) -> bool:
+        """Whether the format explains the token's characters better than ordinary text does, by `threshold`."""
         if self.automaton is None:
             return False
         classes = symbols(token)
-        ordinary = sum(classes.count(s) * p for s, p in self.ordinary.items()) / len(classes)
-        return self.automaton.score(token) - ordinary > self.threshold
+        format_ = self.automaton.score(token) * (len(classes) + 1) - sum(n * math.log(_SIZE[s]) for s, n in Counter(classes).items())
+        return format_ - self.ordinary.score(token) > self.threshold
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         base = base_spans(text)
         added = []
         for m in CANDIDATE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, _, b in base) and self.is_secret(m.group()):
+            if m.end() - m.start() >= LEAST_ASSIGN and not any(a < m.end() and m.start() < b for a, _, b in base) and self.is_secret(m.group()):
                 added.append((m.start(), 3, m.end()))
         return sorted(base + added)
 
@@ -214,38 +257,49 @@ def written(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def _labelled(batches):
-    """Credentials found by the base rules, one row each with a hash that orders the sample."""
+def _pairs(texts: list[str]) -> np.ndarray:
+    """Counts of neighbouring symbols; texts are apart from each other, however they are batched.
+
+    A dot that ends a sentence parts tokens; only dots inside tokens count as dots.
+    """
+    codes = _PAIR[np.frombuffer(("\n" + "\n".join(texts) + "\n").encode(), np.uint8)]
+    codes[:-1][(codes[:-1] == _DOT) & (codes[1:] == _APART)] = _APART
+    return np.bincount(codes[:-1] * _WIDE + codes[1:], minlength=_WIDE * _WIDE)
+
+
+def _gathered(batches):
+    """One row per credential that the base rules find, with a hash that orders the sample, and the symbol pairs of the rest."""
     for batch in batches:
-        values = []
+        values, plain, size = [], [], 0
+        total = np.zeros(_WIDE * _WIDE, np.int64)
         for text in batch.column(0):
             text = text.as_py() or ""
+            end_before, rest = 0, []
             for start, kind, end in base_spans(text):
                 found = text[start:end]
                 values.append(ASSIGN.match(found)[2] if kind == 0 else found)
+                rest.append(text[end_before:start])
+                end_before = max(end_before, end)
+            plain.append("\n".join([*rest, text[end_before:]]))
+            size += len(text)
+            if size > BLOCK_BYTES:
+                total += _pairs(plain)
+                plain, size = [], 0
+        total += _pairs(plain)
         order = [int.from_bytes(hashlib.md5(v.encode()).digest()[:7], "big") for v in values]
-        yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(order, pa.int64())], names=["value", "place"])
-
-
-def _classes(batches):
-    """Class counts of all characters of the texts, per batch."""
-    for batch in batches:
-        total = np.zeros(256, np.int64)
-        for _, data, _ in byte_blocks(batch.column(0)):
-            total += np.bincount(data, minlength=256)
-        seen: dict[str, int] = defaultdict(int)
-        for c, name in _CLASS.items():
-            seen[name] += int(total[ord(c)])
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["class", "n"])
+        seen = np.flatnonzero(total)
+        nothing = [None] * len(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(values + nothing, pa.string()), pa.array(order + nothing, pa.int64()),
+                                          pa.array([None] * len(values) + seen.tolist(), pa.int32()), pa.array([None] * len(values) + total[seen].tolist(), pa.int64())],
+                                         names=["value", "place", "pair", "n"])
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, alpha: float = ALPHA, threshold: float = THRESHOLD) -> Model:
     """Infer the automaton from at most `sample` distinct labelled credentials, chosen by hash from all documents."""
-    texts = docs.select("text")
-    values = (texts.mapInArrow(_labelled, "value string, place long").groupBy("value").agg(F.min("place").alias("place"))
-              .orderBy("place", "value").limit(sample).select("value"))
-    background = texts.mapInArrow(_classes, "class string, n long").groupBy("class").agg(F.sum("n"))
-    return Model([r[0] for r in values.collect()], dict(background.collect()), alpha, threshold)
+    found = stored(docs.select("text").mapInArrow(_gathered, "value string, place long, pair int, n long"), "secrets-gathered")
+    values = found.where("value IS NOT NULL").groupBy("value").agg(F.min("place").alias("place")).orderBy("place", "value").limit(sample).select("value")
+    pairs = found.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n"))  # at most 34 x 34 rows
+    return Model([r[0] for r in values.collect()], dict(pairs.collect()), alpha, threshold)
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:

@@ -95,3 +95,46 @@ def test_tails_past_a_common_head_count():
     head = "g" * 64
     machine = secrets.Automaton([head + "0" * 20] * 3 + [head + "0" * 19] * 3)
     assert machine.score(head + "0" * 20) > machine.score(head + "Z" * 20) and machine.score(head + "0" * 20) > machine.score(head)
+
+
+def ordinary_tokens(rng, n):
+    """Tokens that only look like credentials: words, capitals, rules, numbers, dates, names, paths."""
+    words = "the quick brown foxes jumped over lazy dogs while internationalization efforts continued standing between mountains".split()
+    some = lambda k: [rng.choice(words) for _ in range(k)]
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    kinds = [lambda: "".join(some(3)).upper(), lambda: rng.choice("=-_+/") * rng.randrange(12, 60), lambda: number(rng.randrange(12, 16)),
+             lambda: f"20{number(2)}-{number(2)}-{number(2)}-{number(4)}", lambda: "-".join(some(4)), lambda: "_".join(some(3)).upper(),
+             lambda: "".join(w.capitalize() for w in some(3)) + "foxes", lambda: ".".join(some(4))]
+    return [t for t in (rng.choice(kinds)() for _ in range(2 * n)) if len(t) >= 12][:n]
+
+
+def test_precision_and_recall_on_held_out_tokens(documents):
+    rng = random.Random(7)
+    prose = "the quick brown foxes jumped over lazy dogs; in 2024 internationalization efforts continued, standing between 17 mountains "
+    plain, labelled, hidden = ordinary_tokens(rng, 300), credentials(rng, 300), credentials(rng, 100)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pieces = [".".join("".join(rng.choice(mixed) for _ in range(k)) for k in (20, 30, 24)) for _ in range(200)]
+    labelled, hidden = labelled + pieces[:100], hidden + pieces[100:]
+    cases = {i: f"{prose * 5} token = {v} {prose}" for i, v in enumerate(labelled)} | {1000 + i: f"{prose * 5} {v} {prose}" for i, v in enumerate(hidden)} | {
+        2000 + i: f"{prose * 5} {v} {prose}" for i, v in enumerate(plain)}
+    docs = documents(cases)
+    rows = {r.doc_id: [cases[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "format"] for r in secrets.scan(docs, secrets.learn(docs)).collect()}
+    right = sum(rows[1000 + i] == [v] for i, v in enumerate(hidden))
+    wrong = [token for i in range(len(plain)) for token in rows[2000 + i]]
+    assert right >= 0.9 * len(hidden)
+    assert right >= 0.9 * (right + len(wrong)), wrong[:20]
+
+
+def test_shouted_words_rules_numbers_and_dates_are_ordinary():
+    rng = random.Random(3)
+    text = "the entelechy of antithetical traditions is mentioned in 1998 and 2007 " * 50
+    pairs = {i: int(n) for i, n in enumerate(secrets._pairs([text])) if n}
+    model = secrets.Model(["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(200)] + credentials(rng, 200), pairs)
+    for token in ("ANTITHETICALTRADITION", "=" * 40, "____________", "1234567890123", "2026-12-01-2026"):
+        assert not model.is_secret(token), token
+    assert model.is_secret("c0ffee12deadbeef77aa01") and model.is_secret(credentials(rng, 1)[0])
+
+
+def test_pairs_are_counted_alike_however_texts_are_batched():
+    texts_ = ["ab", "", "12 é", "x"]
+    assert (secrets._pairs(texts_) == sum(secrets._pairs([t]) for t in texts_)).all()
