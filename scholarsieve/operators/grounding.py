@@ -14,12 +14,12 @@ from scholarsieve.schema import SUMMARY_FIELDS
 _MARK = "\x01\x02\x03"
 
 
-def abstract_quotes(decisions: DataFrame) -> DataFrame:
-    """Check decision quotes against the paper's own abstract.
+def abstract_verdicts(decisions: DataFrame) -> DataFrame:
+    """Check decision quotes against the paper's own abstract; adds quotes, bad and quote_error.
 
-    Rows: base_id, abstract, status, abstract_evidence, uncertainty. Everything a
-    verdict needs is in its own row: the quotes are folded together and split again,
-    so nothing is exploded, shuffled or copied per quote.
+    Rows: abstract, status, abstract_evidence, uncertainty. Everything a verdict needs
+    is in its own row: the quotes are folded together and split again, so nothing is
+    exploded, shuffled or copied per quote.
     """
     folded = decisions.withColumns({
         "_source": once(text.quote_form(F.col("abstract"))),
@@ -32,7 +32,12 @@ def abstract_quotes(decisions: DataFrame) -> DataFrame:
     error = (F.when(F.col("status").isin("select", "reject") & (count <= 0), "decision_evidence_missing")
              .when(F.col("bad") > 0, "decision_abstract_quote_unlocated")
              .when((F.col("status") == "uncertain") & (F.size("uncertainty") <= 0), "decision_uncertainty_missing"))
-    return folded.withColumn("bad", wrong).select("base_id", "status", count.alias("quotes"), "bad", error.alias("error"))
+    return folded.withColumn("bad", wrong).withColumns({"quotes": count, "quote_error": error}).drop("_source", "_quotes")
+
+
+def abstract_quotes(decisions: DataFrame) -> DataFrame:
+    """Verdicts alone: base_id, status, quotes, bad, error."""
+    return abstract_verdicts(decisions).select("base_id", "status", "quotes", "bad", F.col("quote_error").alias("error"))
 
 
 def passages(sections: DataFrame, figures: DataFrame | None = None) -> DataFrame:
@@ -123,6 +128,22 @@ def review_fields_error() -> Column:
             .when((F.col("status") == "select") & (F.col("route") == "general_rl") & ~cites("method"), "review_method_evidence_missing"))
 
 
+def review_errors(reviews: DataFrame, sources: DataFrame, urls: DataFrame) -> DataFrame:
+    """First fault of the body evidence of each review, or null.
+
+    Reviews: base_id, version_id, status, route, review_evidence; sources as from `passages`; urls: version_id,
+    source_url. A quote that cannot be located outranks a missing field. One row per review.
+    """
+    cited = reviews.select("base_id", "version_id", F.posexplode("review_evidence").alias("_at", "_e")).select(
+        "base_id", "version_id", "_at", "_e.locator", "_e.quote", "_e.source_url")
+    faults = locate(cited, sources, urls).where("error IS NOT NULL").groupBy("base_id").agg(F.min_by("error", "_at").alias("_fault"))
+    # One evidence entry without a field names none.
+    fields = F.transform("review_evidence", lambda e: F.coalesce(e["field"], F.lit("")))
+    named = reviews.withColumn("fields", F.coalesce(fields, F.array().cast("array<string>")))
+    return named.join(faults, "base_id", "left").select(
+        "base_id", F.when(F.size("fields") <= 0, "review_evidence_missing").otherwise(F.coalesce("_fault", review_fields_error())).alias("error"))
+
+
 # Kinds a section note may have.
 NOTE_KINDS = ("method", "evaluation", "theory", "conclusion", "limitation", "background", "other")
 

@@ -112,6 +112,24 @@ def archive_lines(rendered: DataFrame, digest: str = "digest_id") -> DataFrame:
     return body.unionByName(heads)
 
 
+def archive_page(rendered: DataFrame, day: Column, notes: list[str] = ()) -> DataFrame:
+    """Lines of a digest's page with its title first and the run's notes last; sort as `archive_lines`, digests apart.
+
+    Notes belong to the run and are few: they come as literals.
+    """
+    digest = rendered.select("digest_id").distinct()
+    lines = archive_lines(rendered)
+    shape = {c.name: c.dataType for c in lines.schema}
+    extra = [F.struct(F.lit(False).alias("recovery"), F.lit(-1).alias("tier_order"), F.lit(0).alias("part"), F.lit(0).alias("position"),
+                      F.concat(F.lit("# arXiv 每日简报 · "), day).alias("line"))]
+    # Fixed value: the heading of the notes.
+    texts = ["## 运行备注", *(f"- {n}" for n in notes)] if notes else []
+    extra += [F.struct(F.lit(True).alias("recovery"), F.lit(99).alias("tier_order"), F.lit(2).alias("part"), F.lit(i).alias("position"), F.lit(t).alias("line"))
+              for i, t in enumerate(texts)]
+    around = digest.select("digest_id", F.inline(F.array(*extra)))
+    return lines.unionByName(around.select(*(F.col(c).cast(t).alias(c) for c, t in shape.items())))
+
+
 def duplicate_items(rendered: DataFrame, digest: str = "digest_id") -> DataFrame:
     """Papers listed more than once in a digest; must be empty."""
     return rendered.groupBy(digest, "base_id").count().where("count > 1")
@@ -126,6 +144,18 @@ def paper_index(records: DataFrame) -> DataFrame:
     return lined.orderBy(F.desc("first_discovered"), F.desc("version_id"))
 
 
+# Title, note and table head of the index.
+_INDEX_HEAD = ("# arXiv 论文长期索引", "日期为北京时间首次收集日期；按 arXiv ID 去重，包含规则命中的候选论文（不等同于已推送或已通过终筛）。",
+               "| 日期 | 英文标题 | 中文标题 | 链接 |", "| --- | --- | --- | --- |")
+
+
+def paper_index_page(records: DataFrame) -> DataFrame:
+    """The index with its head: part counts the head's lines, rows come after them."""
+    rows = paper_index(records).select(F.lit(len(_INDEX_HEAD)).alias("part"), "first_discovered", "version_id", "line")
+    head = records.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, _INDEX_HEAD))).alias("part", "line"))
+    return head.unionByName(rows, allowMissingColumns=True).select("part", "first_discovered", "version_id", "line")
+
+
 def digest_items(records: DataFrame) -> DataFrame:
     """State record to digest item: only full items carry a summary, traces stay frozen."""
     return records.withColumns({

@@ -177,11 +177,22 @@ class DailyRun:
             self._set(gated.where("gate = 'attempts_exhausted_manual_required'").select("base_id"), manual_required=F.lit(True))
         return answers.where("error IS NULL").select("base_id", "value")
 
-    def _decide(self, stage: str, todo: DataFrame, call) -> None:
+    def _decide(self, stage: str, todo: DataFrame, call, bodies: DataFrame | None = None) -> None:
+        """Store decisions whose form holds, whose quotes are in the abstract and, given bodies, whose evidence is in the body."""
         def checked(papers):
-            rows = call(papers).withColumn("decision", F.col("value"))
-            usage = [c for c in rows.columns if c == "usage"]
-            return rows.withColumn("value", F.col("value").withField("tier", state.decided_tier())).select("base_id", "value", *usage, state.decision_error().alias("error"))
+            answers = call(papers).join(papers.select("base_id", "paper.abstract"), "base_id").withColumn("decision", F.col("value"))
+            usage = [c for c in answers.columns if c == "usage"]
+            rows = grounding.abstract_verdicts(answers.select("*", "decision.status", "decision.abstract_evidence", "decision.uncertainty"))
+            error = F.coalesce(state.decision_error(), F.col("quote_error"))
+            if bodies is not None:
+                # The answers are stored, so that the evidence and the decision come from one call.
+                rows = self.store.save(f"raw_{stage}", rows.select("base_id", "decision", "value", "quote_error", *usage))
+                body, sources = self._sources(bodies)
+                named = rows.join(body.select("base_id", "version_id"), "base_id").select("base_id", "version_id", "decision.status", "decision.route", "decision.review_evidence")
+                faults = grounding.review_errors(named, sources, body.select("version_id", "source_url"))
+                rows = rows.join(faults.withColumnRenamed("error", "_body_error"), "base_id", "left")
+                error = F.coalesce(state.decision_error(), F.col("_body_error"), F.col("quote_error"))
+            return rows.withColumn("value", F.col("value").withField("tier", state.decided_tier())).select("base_id", "value", *usage, error.alias("error"))
 
         answers = self._stage(stage, todo, checked)
         status = F.col("value.status")
@@ -299,7 +310,17 @@ class DailyRun:
         picks = self.store.save("review_picks", ranking.fill_slots(queue, taken, ["day"], "order", self.config["limits"]["review_daily_limit"]).drop("rank", "order"))
         self.store.append("slots", picks.select("day", F.lit("review").alias("kind"), "base_id"))
         bodies = self._body(picks)
-        self._decide("review", picks.join(bodies.select("base_id"), "base_id", "left_semi"), self.analysis.review)
+        self._decide("review", picks.join(bodies.select("base_id"), "base_id", "left_semi"), self.analysis.review, bodies)
+
+    @staticmethod
+    def _sources(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Bodies with their quality flags, and the passages that evidence may quote."""
+        body = bodies.select("base_id", F.col("value.version_id").alias("version_id"), "value.source_url", "value.source_type", F.lit(True).alias("qualified"),
+                             "value.quality.physical_page_count", *(F.coalesce(f"value.quality.{flag}", F.lit(False)).alias(flag) for flag in ("method_on_first_page", "evaluation_on_first_page")),
+                             F.col("value.sections").alias("sections"), F.col("value.figures").alias("figures"))
+        parts = body.select("version_id", F.posexplode("sections").alias("pos", "s")).select("version_id", "pos", "s.locator", "s.text")
+        captions = body.select("version_id", F.posexplode("figures").alias("pos", "f")).select("version_id", "pos", "f.locator", "f.caption")
+        return body, grounding.passages(parts, captions)
 
     def _body(self, papers: DataFrame) -> DataFrame:
         """Qualified full text of exactly the requested version."""
@@ -344,13 +365,9 @@ class DailyRun:
 
     def _validated(self, rows: DataFrame, bodies: DataFrame, evidence: bool) -> DataFrame:
         answers = self.store.save("summaries_raw", self.analysis.summarize(rows, evidence))
-        body = bodies.select("base_id", F.col("value.version_id").alias("version_id"), "value.source_url", "value.source_type", F.lit(True).alias("qualified"),
-                             "value.quality.physical_page_count", *(F.coalesce(f"value.quality.{flag}", F.lit(False)).alias(flag) for flag in ("method_on_first_page", "evaluation_on_first_page")),
-                             F.col("value.sections").alias("sections"), F.col("value.figures").alias("figures"))
-        parts = body.select("version_id", F.posexplode("sections").alias("pos", "s")).select("version_id", "pos", "s.locator", "s.text")
-        captions = body.select("version_id", F.posexplode("figures").alias("pos", "f")).select("version_id", "pos", "f.locator", "f.caption")
+        body, sources = self._sources(bodies)
         named = answers.join(body.select("base_id", "version_id"), "base_id").select("version_id", F.col("value").alias("summary"))
-        verdict = grounding.summary_errors(named, body.drop("sections", "figures", "base_id"), grounding.passages(parts, captions), evidence)
+        verdict = grounding.summary_errors(named, body.drop("sections", "figures", "base_id"), sources, evidence)
         return answers.join(body.select("base_id", "version_id"), "base_id").join(verdict, "version_id").select("base_id", "value", "error")
 
     def translate(self) -> None:
@@ -365,6 +382,24 @@ class DailyRun:
             self._set(answers, title_zh=F.col("value.title_zh"), abstract_zh=abstract)
             self._set(todo.join(answers, "base_id", "left_anti").select("base_id"), stage=F.lit("presentation_pending"))
 
+    def backfill_titles(self) -> None:
+        """Titles of collected papers that no stage translates, for the long-term index, where titles are translated at all.
+
+        A run with manual requests makes no calls of its own accord.
+        """
+        if not self.config["presentation"]["title_translation"] or self.requested:
+            return
+        todo = self.store.save("need_index_titles", self._papers().where("coalesce(title_zh, '') = ''"))
+        if not todo.isEmpty():
+            answers = self._stage("title_translation", todo, self.analysis.translate)
+            self._log_translation_errors("title_translation", todo)
+            self._set(answers, title_zh=F.col("value.title_zh"))
+
+    def index(self) -> DataFrame:
+        """Replace the long-term index of all collected papers: sort by (part, first_discovered, version_id), the last two descending."""
+        records = self._papers().select("first_discovered", "paper.version_id", "paper.title", "title_zh")
+        return self.store.save("paper_index", render.paper_index_page(records))
+
     def _log_translation_errors(self, stage: str, todo: DataFrame) -> None:
         """Keep failed answers, scrubbed, once for each run, stage and paper."""
         result = self.store.load(f"result_{stage}")
@@ -412,7 +447,7 @@ class DailyRun:
             raise Conflict("duplicate_digest_items")
         base = self.config["archive"]["public_base_url"].rstrip("/") or "https://example.invalid/digests"
         path = f"archive/{self.day:%Y/%m/%d}/{digest_id}"
-        self.store.snapshot(path, render.archive_lines(rendered), ["recovery", "tier_order", "part", "position"])
+        self.store.snapshot(path, render.archive_page(rendered, F.lit(str(self.day)), self._clean(sorted(set(self.errors)))), ["recovery", "tier_order", "part", "position"])
         url, index, cap = F.lit(f"{base}/{path}"), f"{base}/archive/papers", self.config["delivery"]["body_bytes"]
         fitted = self.store.save("notification", render.notification(rendered, url, cap, F.lit(str(self.day)), index_url=index))
         if not fitted.where("NOT fits").isEmpty():
@@ -522,6 +557,8 @@ class DailyRun:
                 self.review()
                 self.summarize()
             self.translate()
+            self.backfill_titles()
+            self.index()
             sent = self.send()
             sent = {"delivery_kind": "digest" if sent["digest_id"] else "none", **sent}
             sent = self.notify(sent, coverage_complete, manual=self.requested or (window is not None and window["manual"]))
