@@ -385,11 +385,12 @@ class DailyRun:
     def backfill_titles(self) -> None:
         """Titles of collected papers that no stage translates, for the long-term index, where titles are translated at all.
 
-        A run with manual requests makes no calls of its own accord.
+        A run with manual requests makes no calls of its own accord; what failed in this run waits for the next.
         """
         if not self.config["presentation"]["title_translation"] or self.requested:
             return
-        todo = self.store.save("need_index_titles", self._papers().where("coalesce(title_zh, '') = ''"))
+        tried = self.store.log("attempts", schema.ATTEMPT_LOG).where((F.col("run_id") == self.run_id) & F.col("stage").isin("translation", "title_translation"))
+        todo = self.store.save("need_index_titles", self._papers().where("coalesce(title_zh, '') = ''").join(tried.select("base_id").distinct(), "base_id", "left_anti"))
         if not todo.isEmpty():
             answers = self._stage("title_translation", todo, self.analysis.translate)
             self._log_translation_errors("title_translation", todo)
