@@ -9,7 +9,7 @@ sequences whose lengths are powers of two, which need no padding. Each round is
 open windows, and a group at most FAN_IN x OPEN_WINDOWS windows.
 
 Encoding: the tokenizer encodes each word and each run of marks on its own, so a distinct one is encoded once and
-remembered (up to about `REMEMBERED` a worker). Texts of Latin-1 characters are divided as the tokenizer's own rules
+remembered (up to about `REMEMBERED` a worker, in two generations). Texts of Latin-1 characters are divided as the tokenizer's own rules
 divide them, and unseen parts are encoded together; pieces between blanks with other characters go to the tokenizer
 as they are. Ids are those of the library on the whole text, which the tests check.
 
@@ -19,10 +19,10 @@ Other columns are ignored.
 """
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from scholarsieve.llm.common import stored
+from scholarsieve.llm.encoding import (
+    BYTE_NAMES, CONTRACTIONS, NUMBER, PLAIN as _PLAIN, SEGMENT, SPACE, SPECIAL as _SPECIAL, PartEncoder, as_bytes, classes, part_contractions)
 
 LENGTH = 4096
 OPEN_WINDOWS = 64
@@ -37,45 +39,36 @@ LEAST_CUT = 16
 FAN_IN = 32
 END_ID = 2
 REMEMBERED = 300_000
-SEGMENT = 1 << 20
 BATCH_TOKENS = 1 << 17
 
 PIECES = "doc_id long, start long, ids array<int>, doc_tokens long, sequence_id long, offset long, origin long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_tokens", pa.int64()),
                      ("sequence_id", pa.int64()), ("offset", pa.int64()), ("origin", pa.int64())])
 
-# The letters and numbers of Latin-1 and the contractions that the tokenizer's rule keeps whole.
+# The letters and numbers of Latin-1.
 LETTERS = "a-zªµºß-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
-CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 # Words come first, because most parts are words and none begins like the other alternatives.
 _PARTS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|{'|'.join(CONTRACTIONS)}|[^\\s{LETTERS}{NUMBERS}]+")
-_PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
-_SPECIAL = "<|"  # begins the special tokens' strings
+_KIND = classes(LETTERS, NUMBERS)
+_NAMES = BYTE_NAMES | {32: " "}  # blanks part
 
 
-class Encoder:
-    """Ids of texts under a word-level tokenizer with lower case, as little-endian 32-bit values; one per worker."""
+class Encoder(PartEncoder):
+    """Ids of texts under a word-level tokenizer with lower case."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
-        self.whole = Tokenizer.from_file(path)
-        # For parts that are divided and in lower case already.
-        self.parts = Tokenizer.from_file(path)
+        super().__init__(path, REMEMBERED)
+        from tokenizers import pre_tokenizers
         self.parts.normalizer = None
-        self.parts.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.parts.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         suffix = "</w>"
         vocabulary = self.parts.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
 
     def divide(self, text: str) -> list[str]:
-        """Parts that the tokenizer encodes on their own; a blank begins those that it has to divide itself."""
-        if _PLAIN.fullmatch(text) and _SPECIAL not in text:
-            return _PARTS.findall(text.lower())
+        """A blank begins the parts that the tokenizer has to divide itself."""
         found = []
         for piece in text.split(" "):
             if _PLAIN.fullmatch(piece) and _SPECIAL not in piece:
@@ -84,41 +77,36 @@ class Encoder:
                 found.append(" " + piece)
         return found
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the parts not seen before."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
-        odd = [part for part in new if part[0] == " "]
+    def plain(self, texts):
+        """`_PARTS` for all texts at once, without the spaces."""
+        data, bounds, first = as_bytes([text.lower() for text in texts])
+        kind = _KIND[data]
+        start = first.copy()
+        start[1:-1] |= kind[1:] != kind[:-1]
+        start[:-1] |= kind == NUMBER
+        start[:-1] &= kind != SPACE
+        part_contractions(data, kind, start, first)
+        starts, kept = np.flatnonzero(start[:-1]), kind != SPACE
+        return data[kept], np.append(0, np.cumsum(kept))[starts], np.searchsorted(starts, bounds)
+
+    def learn(self) -> None:
+        self.waiting, self.known.unseen = self.known.unseen, defaultdict(bytearray)
+        odd = [part for part in self.waiting if part[0] == " "]
         for part, one in zip(odd, self.whole.encode_batch_fast([part[1:] for part in odd], add_special_tokens=False)):
-            self.known[part] = np.asarray(one.ids, "<u4").tobytes()
-        unseen = [part for part in new if part[0] != " "] if odd else new
-        joined = [unseen[k:k + 500] for k in range(0, len(unseen), 500)]
-        for some, one in zip(joined, self.parts.encode_batch_fast([" ".join(some) for some in joined], add_special_tokens=False)):
+            self._keep([part], raw := np.asarray(one.ids, "<u4").tobytes(), [len(raw)])
+        unseen = [part for part in self.waiting if part[0] != " "]
+        some = [unseen[k:k + 500] for k in range(0, len(unseen), 500)]
+        lines = [" ".join(parts).encode().decode("latin-1").translate(_NAMES) for parts in some]
+        for parts, one in zip(some, self.parts.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.asarray(one.ids, "<u4")
-            raw, begin = ids.tobytes(), 0
-            for part, end in zip(some, (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), strict=True):
-                self.known[part] = raw[begin:end]
-                begin = end
+            self._keep(parts, ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist())
+        self.known.age()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Texts together; long ones are handled in segments that end at a blank."""
-        out: list = [[] for _ in texts]
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            for segment in segments(text):
-                held.append((i, self.divide(segment)))
-                size += len(segment)
-                if size > SEGMENT:
-                    self._fill(held, out)
-                    held, size = [], 0
-        self._fill(held, out)
-        return [np.frombuffer(b"".join(parts), "<u4") for parts in out]
-
-    def _fill(self, held, out) -> None:
-        self.learn([parts for _, parts in held])
-        for i, parts in held:
-            out[i].append(b"".join(map(self.known.__getitem__, parts)))
+        return [np.frombuffer(ids, "<u4") for ids in super().encode(texts)]
+
+    def segments(self, text: str):
+        return segments(text)
 
 
 def segments(text: str):
