@@ -114,8 +114,14 @@ class PartEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.parts = Tokenizer.from_file(path)  # for parts that are divided and written in `BYTE_NAMES` already
-        self.known = Remembered(remembered // 2)
+        self.remembered = remembered // 2
+        self.forget()
+
+    def forget(self) -> None:
+        """Give the memory of a task's words back: idle workers wait in numbers, each with what it holds."""
+        self.known = Remembered(self.remembered)
+        self.waiting: dict = {}
+        pa.default_memory_pool().release_unused()
 
     def divide(self, text: str) -> list[str]:
         """Parts that the tokenizer encodes on their own."""

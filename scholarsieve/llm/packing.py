@@ -59,7 +59,9 @@ class Encoder(PartEncoder):
 
     def __init__(self, path: str):
         super().__init__(path, REMEMBERED)
-        from tokenizers import pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
+        # For parts that are divided, in lower case and written in `BYTE_NAMES` already.
+        self.parts = Tokenizer.from_file(path)
         self.parts.normalizer = None
         self.parts.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         suffix = "</w>"

@@ -13,9 +13,9 @@ ordered by text; null doc_ids come first; an empty table gives no rows. Other co
 """
 from __future__ import annotations
 
-import os
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from scholarsieve.llm.common import small_enough, stored
+from scholarsieve.llm.encoding import (
+    BYTE_NAMES, CONTRACTIONS, PLAIN as _PLAIN, SEGMENT, SPACE, SPECIAL as _SPECIAL, PartEncoder, as_bytes, classes, part_contractions)
 
 BLOCK = 1024
 LANES = 32
@@ -30,47 +32,43 @@ CHUNK_IDS = 1 << 17
 PERCENTILE = 90
 END_ID = 2
 BATCH_ROWS = 128
-REMEMBERED = 600_000
-SEGMENT = 1 << 20
+REMEMBERED = 400_000
 
 FILE_SCHEMA = ("shard int, chunk long, first_id long, n_ids long, doc_ids array<long>, lengths array<int>, "
                "block_starts binary, payload binary")
 _HEADER = np.dtype([("low", "<u4"), ("width", "u1"), ("_a", "u1"), ("n", "<u2"), ("extra", "<u2"), ("_b", "<u2")])
 
 
-# Letters and numbers of Latin-1 and the contractions of the byte-level rule.
+# Letters and numbers of Latin-1.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
-CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 # Words come first, because most parts are words and none begins like a contraction.
 _PARTS = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|{'|'.join(CONTRACTIONS)}| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
-_PLAIN = re.compile("[\t\n\r -~¡-ÿ]*")
 _INNER_SPACE = re.compile(r".+\s|^[\t\n\r]|^ $", re.S)
 #: Before a blank with a character behind it, a text may be cut without changing its ids.
 _CUT = re.compile(r"(?= \S)")
-_SPECIAL, _ODD, _BREAK = "<|", "\0", "\n"
+_ODD, _BREAK = "\0", "\n"
+_KIND = classes(LETTERS, NUMBERS)
 
 
-class Encoder:
-    """Ids of texts under a byte-level tokenizer, as little-endian 32-bit values; one per worker.
+class Encoder(PartEncoder):
+    """Ids of texts under a byte-level tokenizer.
 
     The tokenizer encodes each word, number and run of marks or spaces on its own, so a distinct one is encoded once
-    and remembered (up to about `REMEMBERED`). Texts of Latin-1 characters are divided as the tokenizer's own rule
-    divides them, and unseen parts are encoded together, parted by line breaks; pieces between blanks with other
-    characters, or with a special token's string, go to the tokenizer as they are. Ids are those of its plain call on
-    the whole text.
+    and remembered (up to about `REMEMBERED`, in two generations). Texts of Latin-1 characters are divided as the
+    tokenizer's own rule divides them, and unseen parts are encoded together, parted by line breaks; pieces between
+    blanks with other characters, or with a special token's string, go to the tokenizer as they are. Ids are those of
+    its plain call on the whole text.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.whole = Tokenizer.from_file(path)
+        super().__init__(path, REMEMBERED)
+        from tokenizers import pre_tokenizers
         [self.line_break] = self.whole.encode(_BREAK, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        # One tokenizer with its own rule, or with this one for parts that are divided and written in `BYTE_NAMES` already.
+        self.rule, self.lines = self.whole.pre_tokenizer, pre_tokenizers.Split(BYTE_NAMES[ord(_BREAK)], "isolated")
 
     def divide(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text) and _SPECIAL not in text:
-            return _PARTS.findall(text)
         found = []
         for piece in _CUT.split(text):
             if _PLAIN.fullmatch(piece) and _SPECIAL not in piece:
@@ -79,41 +77,39 @@ class Encoder:
                 found.append(_ODD + piece)
         return found
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the parts not seen before."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*texts).difference(self.known)
-        alone = [part for part in new if part[0] == _ODD or _INNER_SPACE.search(part)]
+    def plain(self, texts):
+        """`_PARTS` for all texts at once: a blank goes to the word, number or marks behind it, other spaces in front of it are parted."""
+        data, bounds, first = as_bytes(texts)
+        kind = _KIND[data]
+        start = first.copy()
+        start[1:-1] |= kind[1:] != kind[:-1]
+        led = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~first[1:-1]) + 1
+        start[led - 1] = True
+        start[led[data[led - 1] == 32]] = False
+        part_contractions(data, kind, start, first)
+        starts = np.flatnonzero(start[:-1])
+        return data, starts, np.searchsorted(starts, bounds)
+
+    def learn(self) -> None:
+        self.waiting, self.known.unseen = self.known.unseen, defaultdict(bytearray)
+        alone = [part for part in self.waiting if part[0] == _ODD or _INNER_SPACE.search(part)]
         for part, one in zip(alone, self.whole.encode_batch_fast([part.removeprefix(_ODD) for part in alone], add_special_tokens=False)):
-            self.known[part] = np.asarray(one.ids, "<u4").tobytes()
-        unseen = list(new.difference(alone))
-        joined = [unseen[k:k + 500] for k in range(0, len(unseen), 500)]
-        for some, one in zip(joined, self.whole.encode_batch_fast([_BREAK.join(some) + _BREAK for some in joined], add_special_tokens=False)):
+            self._keep([part], raw := np.asarray(one.ids, "<u4").tobytes(), [len(raw)])
+        unseen = list(self.waiting.keys() - set(alone))
+        some = [unseen[k:k + 500] for k in range(0, len(unseen), 500)]
+        lines = [(_BREAK.join(parts) + _BREAK).encode().decode("latin-1").translate(BYTE_NAMES) for parts in some]
+        self.whole.pre_tokenizer = self.lines
+        try:
+            encoded = self.whole.encode_batch_fast(lines, add_special_tokens=False)
+        finally:
+            self.whole.pre_tokenizer = self.rule
+        for parts, one in zip(some, encoded):
             ids = np.asarray(one.ids, "<u4")
-            raw, begin = ids.tobytes(), 0
-            for part, end in zip(some, (4 * np.flatnonzero(ids == self.line_break)).tolist(), strict=True):
-                self.known[part] = raw[begin:end]
-                begin = end + 4
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts together; long ones are handled in segments."""
-        out: list = [[] for _ in texts]
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            for segment in segments(text):
-                held.append((i, self.divide(segment)))
-                size += len(segment)
-                if size > SEGMENT:
-                    self._fill(held, out)
-                    held, size = [], 0
-        self._fill(held, out)
-        return [b"".join(parts) for parts in out]
-
-    def _fill(self, held, out) -> None:
-        self.learn([parts for _, parts in held])
-        for i, parts in held:
-            out[i].append(b"".join(map(self.known.__getitem__, parts)))
+            self._keep(parts, ids.tobytes(), (4 * np.flatnonzero(ids == self.line_break)).tolist(), 4)
+        self.known.age()
+
+    def segments(self, text: str):
+        return segments(text)
 
 
 def segments(text: str):
@@ -228,6 +224,7 @@ def _writer(path: str, end_id: int):
                         docs, sizes, parts = [], [], []
         if docs:
             yield row()
+        encoder.forget()
 
     return write
 

@@ -7,7 +7,7 @@ import pytest
 from scholarsieve.llm import encoding, packing, tokens
 
 PATHS = {tokens: public_tokenizers.path("byte_bpe_50k.json"), packing: public_tokenizers.path("word_bpe_49k.json")}
-both = pytest.mark.parametrize("module", [packing])
+both = pytest.mark.parametrize("module", [tokens, packing])
 
 
 def ids(encoder, texts):
