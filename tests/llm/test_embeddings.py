@@ -98,3 +98,14 @@ def test_labels_of_thousands_through_the_graph(spark):
     table = spark.createDataFrame([(i, [float(x) for x in p], 1) for i, p in enumerate(points)], "vec_id long, embedding array<float>, label int").repartition(3)
     got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table).collect()}
     assert sum(got.values()) >= 0.999 * (true.sum() - len(points)) and all(got[i] <= true[i].sum() - 1 for i in got)
+
+
+def test_vectors_without_structure_stay_with_narrow_beams():
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(5000, 64))
+    points[2500:3500] = points[:1000] + 0.15 * rng.normal(size=(1000, 64))
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    true = unit @ unit.T >= 0.98
+    found, beam = embeddings.search(embeddings.Graph(unit), points, points)
+    assert beam <= 256  # their nearest vectors but links are far, and no beam holds all of these
+    assert sum(map(len, found)) >= 0.99 * true.sum() and all(true[i, ids].all() for i, ids in enumerate(found))
