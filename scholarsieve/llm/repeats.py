@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from scholarsieve.llm.common import GOLDEN, byte_blocks, mix, prefix_hash, small_enough, span_hash, stored
@@ -34,6 +35,8 @@ LENGTH = 100
 GRAM = 50
 BUCKET_BYTES = 32 << 20  # text bytes whose segments share a bucket
 HOT = 4096
+SORT_BUCKETS = 4  # as many buckets for sorting, whose rows carry the segments' bytes, for one of segments
+SORTED = 200_000  # windows sorted at once, and those of one more anchor
 
 _CELL = "kind int, bucket int, docs binary, anchors binary, contents binary, owners binary, starts binary, sizes binary, offsets binary"
 _CELL_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("docs", "anchors", "contents", "owners", "starts", "sizes", "offsets"))])
@@ -126,18 +129,27 @@ def _deal(buckets: int, length: int, gram: int):
     return deal
 
 
-def _arrays(table: pa.Table):
-    """Unpacked (doc, start, size, offset, anchor, content) of the rows."""
-    parts = []
-    for docs, anchors, contents, owners, starts, sizes, offsets in zip(*(table.column(n).to_pylist() for n in ("docs", "anchors", "contents", "owners", "starts", "sizes", "offsets"))):
-        doc = np.frombuffer(docs, np.int64)
-        parts.append((doc[np.frombuffer(owners, np.uint32 if len(doc) > 65535 else np.uint16)], np.frombuffer(starts, np.uint32).astype(np.int64),
-                      np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(offsets, np.uint16).astype(np.int64), np.frombuffer(anchors, np.uint64), np.frombuffer(contents, np.uint64)))
-    if not parts:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+_TYPES = {"docs": np.int64, "anchors": np.uint64, "contents": np.uint64, "starts": np.uint32, "sizes": np.uint32, "offsets": np.uint16}
+
+
+def _arrays(table: pa.Table, kind: int):
+    """Unpacked (doc, start, size, offset, anchor, content) of the rows of a kind, in the types that they are packed in."""
+    parts = [tuple(np.zeros(0, _TYPES[n]) for n in ("docs", "starts", "sizes", "offsets", "anchors", "contents"))]
+    for batch in table.to_batches():
+        for i in np.flatnonzero(batch.column("kind").to_numpy() == kind).tolist():
+            docs, anchors, contents, starts, sizes, offsets = (np.frombuffer(batch.column(n)[i].as_buffer(), of) for n, of in _TYPES.items())
+            owners = np.frombuffer(batch.column("owners")[i].as_buffer(), np.uint32 if len(docs) > 65535 else np.uint16)
+            parts.append((docs[owners], starts, sizes, offsets, anchors, contents))
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
+def _joined(values: pa.Array) -> np.ndarray:
+    """Bytes of a binary column's values one after another, without a copy."""
+    _, ends, body = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(body, np.uint8)[ends[0]:ends[-1]] if body is not None and body.size else np.zeros(0, np.uint8)
+
+
 _FOUND = "doc_id long, kind int, starts array<int>, sizes array<int>, offsets array<int>, anchors array<long>, hot array<boolean>"
 
 
@@ -159,9 +171,7 @@ def _by_document(kind, doc, start, size, offset=None, anchor=None, hot=None):
 
 def _elect(hot_size: int):
     def elect(table: pa.Table) -> pa.Table:
-        kinds = np.asarray(table.column("kind"))
-        doc, start, size, offset, anchor, content = _arrays(table.filter(pa.array(kinds == LEADER)))
-        local = _arrays(table.filter(pa.array(kinds == REPEAT)))
+        doc, start, size, offset, anchor, content = _arrays(table, LEADER)
         order, new = firsts((anchor, content), doc, start)
         lead, rest = order[new], order[~new]
         key = anchor[lead]
@@ -170,7 +180,7 @@ def _elect(hot_size: int):
         versions = np.bincount(group)[group] if len(group) else np.zeros(0, np.int64)
         need = lead[versions > 1]
         out = [_by_document(NEED, doc[need], start[need], size[need], offset[need], anchor[need], (versions > hot_size)[versions > 1]),
-               _by_document(REPEAT, doc[rest], start[rest], size[rest]), _by_document(REPEAT, *local[:3])]
+               _by_document(REPEAT, doc[rest], start[rest], size[rest]), _by_document(REPEAT, *_arrays(table, REPEAT)[:3])]
         out = [t for t in out if t is not None]
         return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32())),
                                                             ("anchors", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_()))]).empty_table()
@@ -283,7 +293,7 @@ class Suffixes:
             same[1:] = span_hash(self.prefix, sorted_[1:], sorted_[1:] + self.length) == span_hash(self.prefix, sorted_[:-1], sorted_[:-1] + self.length)
             at = np.flatnonzero(same)
             reach = np.arange(self.length)
-            for some in np.array_split(at, max(1, len(at) // 20_000)):
+            for some in np.array_split(at, max(1, len(at) // 5_000)):
                 if len(some):
                     same[some] = (self.data[sorted_[some][:, None] + reach] == self.data[sorted_[some - 1][:, None] + reach]).all(axis=1)
         return same
@@ -317,39 +327,38 @@ def repeated_windows(data: np.ndarray, doc: np.ndarray, start: np.ndarray, size:
 
 def _sort_bucket(length: int):
     def run(table: pa.Table) -> pa.Table:
-        doc, start, size, offset, anchor, data = [], [], [], [], [], []
-        for d, s, z, o, a, b in zip(*(table.column(n).to_pylist() for n in ("doc_id", "starts", "sizes", "offsets", "anchors", "bytes"))):
-            start.append(np.frombuffer(s, np.int64))
-            size.append(np.frombuffer(z, np.int64))
-            offset.append(np.frombuffer(o, np.int64))
-            anchor.append(np.frombuffer(a, np.uint64))
-            doc.append(np.full(len(start[-1]), d, np.int64))
-            data.append(b)
-        doc, start, size, offset, anchor = map(np.concatenate, (doc, start, size, offset, anchor))
-        bytes_ = np.frombuffer(b"".join(data), np.uint8)
+        # The bytes stay where Arrow has them; of each segment it is known which batch holds it, and where.
+        batches = table.to_batches()
+        held = [_joined(batch.column("bytes")) for batch in batches]
+        start, size, offset = (np.concatenate([_joined(batch.column(n)) for batch in batches]).view(np.int64) for n in ("starts", "sizes", "offsets"))
+        anchor = np.concatenate([_joined(batch.column("anchors")) for batch in batches]).view(np.uint64)
+        counts = [pc.binary_length(batch.column("starts")).to_numpy() // 8 for batch in batches]
+        doc = np.repeat(table.column("doc_id").to_numpy(), np.concatenate(counts))
+        in_batch = np.repeat(np.arange(len(batches)), [n.sum() for n in counts])
+        place = np.cumsum(size + length - 1) - (size + length - 1)
+        place -= (np.cumsum([0, *map(len, held)])[:-1])[in_batch]
         # Groups of anchors are sorted in batches of bounded size.
         order = np.argsort(anchor, kind="stable")
-        place = np.cumsum(size + length - 1) - (size + length - 1)
         begins = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1]))
         load = np.cumsum(size[order])[np.append(begins[1:], len(order)) - 1]
-        docs, starts = [], []
-        for part in np.split(begins, np.flatnonzero(np.diff(load // 400_000)) + 1):
+        found = []
+        for part in np.split(begins, np.flatnonzero(np.diff(load // SORTED)) + 1):
             upto = begins[np.searchsorted(begins, part[-1]) + 1] if part[-1] != begins[-1] else len(order)
             some = order[part[0]:upto]
-            piece = np.concatenate([bytes_[place[i]:place[i] + size[i] + length - 1] for i in some])
-            d, s = repeated_windows(piece, doc[some], start[some], size[some], offset[some], anchor[some], length)
-            docs.append(d)
-            starts.append(s)
-        doc, start = np.concatenate(docs), np.concatenate(starts)
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)) if len(doc) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "start": pa.array(start[first].astype(np.int32), pa.int32()),
-                         "size": pa.array(np.diff(np.append(first, len(doc))).astype(np.int32), pa.int32())})
+            piece = np.concatenate([held[k][a:a + n + length - 1] for k, a, n in zip(in_batch[some].tolist(), place[some].tolist(), size[some].tolist())])
+            found.append(_runs(*repeated_windows(piece, doc[some], start[some], size[some], offset[some], anchor[some], length)))
+        return pa.table([np.concatenate(values) for values in zip(*found)], pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())]))
     return run
 
 
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, size) of the runs of consecutive windows."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))[:len(doc)])
+    return doc[first], start[first].astype(np.int32), np.diff(np.append(first, len(doc))).astype(np.int32)
+
+
 def _remove(length: int):
     def remove(batches):
         for batch in batches:
@@ -409,7 +418,7 @@ def _repeats(texts: DataFrame, length: int, gram: int, bucket_bytes: int, hot: i
     dealt = single.where(F.octet_length("text") >= length).mapInArrow(_deal(buckets, length, gram), _CELL)
     found = stored(dealt.groupBy("bucket").applyInArrow(_elect(hot), _FOUND), "repeat-segments")
     need = found.where(F.col("kind") == NEED).groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes", "offsets", "anchors", "hot")))
-    pieces = single.join(need, "doc_id").select("doc_id", "text", "starts", "sizes", "offsets", "anchors", "hot").mapInArrow(_fetch(buckets, length), _PIECE)
+    pieces = single.join(need, "doc_id").select("doc_id", "text", "starts", "sizes", "offsets", "anchors", "hot").mapInArrow(_fetch(SORT_BUCKETS * buckets, length), _PIECE)
     sorted_ = stored(pieces.groupBy("bucket").applyInArrow(_sort_bucket(length), "doc_id long, start int, size int"), "repeat-sorted")
     spans = (found.where(F.col("kind") == REPEAT).select("doc_id", F.explode(F.arrays_zip("starts", "sizes")).alias("s")).select("doc_id", F.col("s.starts").alias("start"), F.col("s.sizes").alias("size"))
              .unionByName(sorted_).unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.col("size").cast("int").alias("size"))))

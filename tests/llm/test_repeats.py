@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from scholarsieve.llm import repeats
 
@@ -92,3 +94,21 @@ def test_rows_that_share_an_id_lose_only_what_an_earlier_row_holds(documents):
     rows = [(7, text, "s"), (7, text, "s"), (7, other + shared, "s"), (4, shared, "s"), (9, text[:200], None), (None, text, "s")]
     got = [(r.doc_id, r.n_bytes, r.n_removed, [tuple(x) for x in r.spans]) for r in repeats.repeats(documents(rows)).collect()]
     assert sorted(got, key=str) == sorted([(7, 300, 0, []), (7, 300, 300, [(0, 300)]), (7, 550, 150, [(400, 550)]), (4, 150, 0, []), (9, 200, 200, [(0, 200)]), (None, 300, 0, [])], key=str)
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_bucket_is_sorted_in_bounded_parts():
+    rng, n, size = np.random.default_rng(4), 20_000, 51
+    column = lambda values, kind: [row.tobytes() for row in values.astype(kind).reshape(-1, 50)]
+    table = pa.table({"bucket": np.zeros(n // 50, np.int32), "doc_id": np.arange(n // 50), "starts": column(np.arange(n) % 50 * 200, np.int64), "sizes": column(np.full(n, size), np.int64),
+                      "offsets": column(np.full(n, 50), np.int64), "anchors": column(np.arange(n) // 4, np.uint64),
+                      "bytes": [row.tobytes() for row in rng.integers(97, 123, (n // 50, 50 * (size + 99)), np.uint8)]})
+    assert peak_mb(lambda: repeats._sort_bucket(100)(table)) < 110
