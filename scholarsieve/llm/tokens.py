@@ -44,10 +44,10 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBERS = "0-9²³¹¼-¾"
 # Words come first, because most parts are words and none begins like a contraction.
 _PARTS = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|{'|'.join(CONTRACTIONS)}| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
-_INNER_SPACE = re.compile(r".+\s|^[\t\n\r]|^ $", re.S)
 #: Before a blank with a character behind it, a text may be cut without changing its ids.
 _CUT = re.compile(r"(?= \S)")
-_ODD, _BREAK = "\0", "\n"
+_ODD = "\0"
+LINE_PARTS = 100
 _KIND = classes(LETTERS, NUMBERS)
 
 
@@ -56,17 +56,20 @@ class Encoder(PartEncoder):
 
     The tokenizer encodes each word, number and run of marks or spaces on its own, so a distinct one is encoded once
     and remembered (up to about `REMEMBERED`, in two generations). Texts of Latin-1 characters are divided as the
-    tokenizer's own rule divides them, and unseen parts are encoded together, parted by line breaks; pieces between
-    blanks with other characters, or with a special token's string, go to the tokenizer as they are. Ids are those of
-    its plain call on the whole text.
+    tokenizer's own rule divides them, and unseen parts are encoded together: many in one word, parted by a byte that
+    no longer token of the vocabulary holds, so that nothing merges across it. Pieces between blanks with other
+    characters, or with a special token's string, go to the tokenizer as they are. Ids are those of its plain call on
+    the whole text.
     """
 
     def __init__(self, path: str):
         super().__init__(path, REMEMBERED)
-        from tokenizers import pre_tokenizers
-        [self.line_break] = self.whole.encode(_BREAK, add_special_tokens=False).ids
-        # One tokenizer with its own rule, or with this one for parts that are divided and written in `BYTE_NAMES` already.
-        self.rule, self.lines = self.whole.pre_tokenizer, pre_tokenizers.Split(BYTE_NAMES[ord(_BREAK)], "isolated")
+        vocabulary = self.whole.get_vocab()
+        merged = set().union(*(token for token in vocabulary if len(token) > 1))
+        # A byte that no text of Latin-1 characters holds which `_PLAIN` lets through.
+        self.gap = next(chr(b) for b in range(32) if not _PLAIN.fullmatch(chr(b)) and BYTE_NAMES[b] in vocabulary and BYTE_NAMES[b] not in merged)
+        self.gap_id = vocabulary[BYTE_NAMES[ord(self.gap)]]
+        self.rule = self.whole.pre_tokenizer
 
     def divide(self, text: str) -> list[str]:
         found = []
@@ -92,20 +95,20 @@ class Encoder(PartEncoder):
 
     def learn(self) -> None:
         self.waiting, self.known.unseen = self.known.unseen, defaultdict(bytearray)
-        alone = [part for part in self.waiting if part[0] == _ODD or _INNER_SPACE.search(part)]
-        for part, one in zip(alone, self.whole.encode_batch_fast([part.removeprefix(_ODD) for part in alone], add_special_tokens=False)):
+        odd = [part for part in self.waiting if part[0] == _ODD]
+        for part, one in zip(odd, self.whole.encode_batch_fast([part[1:] for part in odd], add_special_tokens=False)):
             self._keep([part], raw := np.asarray(one.ids, "<u4").tobytes(), [len(raw)])
-        unseen = list(self.waiting.keys() - set(alone))
-        some = [unseen[k:k + 500] for k in range(0, len(unseen), 500)]
-        lines = [(_BREAK.join(parts) + _BREAK).encode().decode("latin-1").translate(BYTE_NAMES) for parts in some]
-        self.whole.pre_tokenizer = self.lines
+        unseen = [part for part in self.waiting if part[0] != _ODD]
+        some = [unseen[k:k + LINE_PARTS] for k in range(0, len(unseen), LINE_PARTS)]
+        lines = [(self.gap.join(parts) + self.gap).encode().decode("latin-1").translate(BYTE_NAMES) for parts in some]
+        self.whole.pre_tokenizer = None  # the parts are divided, and written in `BYTE_NAMES` already
         try:
             encoded = self.whole.encode_batch_fast(lines, add_special_tokens=False)
         finally:
             self.whole.pre_tokenizer = self.rule
         for parts, one in zip(some, encoded):
             ids = np.asarray(one.ids, "<u4")
-            self._keep(parts, ids.tobytes(), (4 * np.flatnonzero(ids == self.line_break)).tolist(), 4)
+            self._keep(parts, ids.tobytes(), (4 * np.flatnonzero(ids == self.gap_id)).tolist(), 4)
         self.known.age()
 
     def segments(self, text: str):

@@ -59,3 +59,31 @@ def test_ids_are_those_of_the_plain_call(monkeypatch):
     monkeypatch.setattr(tokens, "SEGMENT", 9)
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
     assert tokens.Encoder(PATH).encode(texts) == want
+
+
+def test_many_unseen_parts_are_one_word_of_the_tokenizer():
+    texts = [" ".join(f"w{i * 7919 % 10007}x{i}\n\n\tq{i}" for i in range(k, k + 500)) for k in range(0, 3000, 500)]
+    encoder, words = tokens.Encoder(PATH), []
+
+    class Recorder:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def __setattr__(self, name, value):
+            setattr(library, name, value)
+
+        def encode_batch_fast(self, lines, **options):
+            rule = library.pre_tokenizer
+            words.extend(len(rule.pre_tokenize_str(line)) if rule else 1 for line in lines)
+            return library.encode_batch_fast(lines, **options)
+
+    library, encoder.whole = encoder.whole, Recorder()
+    got, unseen = encoder.encode(texts), len(encoder.known)
+    assert unseen > 3000 and sum(words) <= unseen / 50
+    assert got == [np.asarray(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_byte_between_parts_merges_with_nothing():
+    encoder = tokens.Encoder(PATH)
+    name = tokens.BYTE_NAMES[ord(encoder.gap)]
+    assert [token for token in encoder.whole.get_vocab() if name in token] == [name] and not tokens._PLAIN.fullmatch(encoder.gap)
